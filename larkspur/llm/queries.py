@@ -7,19 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import jpeg_media, packing, quality, rollups, simhash
-from larkspur.llm.common import new_path, table
+from larkspur.llm import archives, jpeg_media, langid, mixing, packing, pii, quality, rollups, simhash
+from larkspur.llm.common import new_path, stored, table
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.media_features(jpeg_media.media_column(table(spark, sf_dir, "documents")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.listing(base), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = stored(archives.write_arcs(table(spark, sf_dir, "pages")), "arcs")
+    return archives.read_warcs(stored(archives.to_warcs(arcs), "warcs"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,7 +69,11 @@ def op10_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_archives": op4_archives,
+    "op5_mixing": op5_mixing,
+    "op7_langid": op7_langid,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_rollups": op10_rollups,

@@ -29,6 +29,8 @@ WEIGHTS, MOST, WORD = (5, 2, 1), 3, r"[^\x20\x09-\x0D]+"
 BUCKETS, ROUNDS, NEAR = 4096, 60, 1e-10
 #: Sources up to which their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Documents up to which their numbers of copies are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -130,5 +132,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 def apply_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents, each as often as the mix takes it; a part of half a document or more counts as one copy."""
     found = mix(docs, key, source, text).where("taken > 0")
-    times = found.groupBy(key).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_mix_times"))
-    return docs.join(times.where("_mix_times > 0"), key).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    times = F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_mix_times")
+    times = stored(found.groupBy(F.col(key).alias("_mix_key")).agg(times).where("_mix_times > 0"), "times")
+    times = F.broadcast(times) if times.count() <= BROADCAST_KEYS else times
+    copies = docs.join(times, F.col(key).eqNullSafe(F.col("_mix_key")))
+    return copies.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

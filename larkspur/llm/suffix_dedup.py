@@ -15,7 +15,7 @@ Strings that are equal must meet in one task, without every position of the corp
 5. Repeated strings go back to their documents, where they are joined to removed runs.
 
 Nothing is dropped or capped: a frequent anchor changes only the way in which its strings meet. Positions travel
-back by broadcast while there are at most ``BROADCAST_MARKS``, else by a shuffle join.
+back by a shuffle join with the documents, at every size alike.
 
 Defined results: null texts are empty; texts of fewer than 100 bytes lose nothing; rows with equal identifier and
 text count as one document and all get its result (identifiers are expected to tell different texts apart); a null
@@ -41,7 +41,8 @@ WINDOW, GRAM = 100, 24
 OFTEN, SLICE_OFTEN = 4096, 4
 #: Bytes of text in a slice, and of segments in a shard that is sorted at a time.
 SLICE_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
-BROADCAST_MARKS, BROADCAST_OFTEN = 1_000_000, 100_000
+#: Frequent anchors up to which their table is broadcast.
+BROADCAST_OFTEN = 100_000
 LAST = (1 << 63) - 1
 
 _SCHEMA = "kind tinyint, doc bigint, lo bigint, w bigint, anchor bigint, seg bigint"
@@ -307,10 +308,6 @@ def _finish():
     return work
 
 
-def _join(docs: DataFrame, marks: DataFrame, many: int, how: str) -> DataFrame:
-    return docs.join(F.broadcast(marks) if many <= BROADCAST_MARKS else marks, "doc", how)
-
-
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[DataFrame]:
     """Stored tables whose rows of kind REPEATED say which strings (document, first place, number) also start earlier."""
     own = docs.select(F.coalesce(F.col(key), F.lit(LAST)).cast("bigint").alias("doc"), F.col(text).alias("text"))
@@ -327,14 +324,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[D
 
     open_ = tables[1].where(F.col("kind") == OPEN)
     marks = open_.groupBy("doc").agg(*(F.collect_list(c).alias(c) for c in ("lo", "w", "anchor")))
-    cut = _join(own, marks, open_.count(), "inner").select("doc", "text", "lo", "w", "anchor")
+    cut = own.join(marks, "doc").select("doc", "text", "lo", "w", "anchor")
     cut = cut.mapInArrow(in_batches(_cut, SLICE_BYTES), "doc bigint, lo bigint, w bigint, anchor bigint, bytes binary")
     tables.append(stored(cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, _SCHEMA), "sorted"))
 
     if several:
         rows = single.join(few, "anchor", "left_semi")
         marks = rows.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("w").alias("w"))
-        strings = _join(own, marks, rows.count(), "inner").select("doc", "text", "lo", "w")
+        strings = own.join(marks, "doc").select("doc", "text", "lo", "w")
         strings = stored(strings.mapInArrow(in_batches(_strings, SLICE_BYTES), _SCHEMA), "strings")
         met = strings.where(F.col("kind") == SEGMENT).select(columns).repartition("anchor", "seg").sortWithinPartitions("anchor")
         tables += [strings, stored(met.mapInArrow(_settle, _SCHEMA), "met")]
@@ -348,9 +345,8 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     for t in repeated(docs, key, text):
         rows = t.where(F.col("kind") == REPEATED).select("doc", "lo", "w")
         marks = rows if marks is None else marks.unionByName(rows)
-    many = marks.count()
     marks = marks.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("w").alias("w"))
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key), F.lit(LAST)).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    joined = _join(own, marks, many, "left").select("key", "text", "lo", "w")
+    joined = own.join(marks, "doc", "left").select("key", "text", "lo", "w")
     schema = f"key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     return joined.mapInArrow(in_batches(_finish, SLICE_BYTES), schema).withColumnRenamed("key", key)

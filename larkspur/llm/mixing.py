@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import stored
+from larkspur.llm.common import fresh, stored
 
 WEIGHTS, MOST, WORD = (5, 2, 1), 3, r"[^\x20\x09-\x0D]+"
 BUCKETS, ROUNDS, NEAR = 4096, 60, 1e-10
@@ -132,8 +132,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 def apply_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents, each as often as the mix takes it; a part of half a document or more counts as one copy."""
     found = mix(docs, key, source, text).where("taken > 0")
-    times = F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_mix_times")
-    times = stored(found.groupBy(F.col(key).alias("_mix_key")).agg(times).where("_mix_times > 0"), "times")
+    at, many, copy = fresh(docs, "mix_key"), fresh(docs, "mix_times"), fresh(docs, "mix_copy")
+    number = F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias(many)
+    times = stored(found.groupBy(F.col(key).alias(at)).agg(number).where(F.col(many) > 0), "times")
     times = F.broadcast(times) if times.count() <= BROADCAST_KEYS else times
-    copies = docs.join(times, F.col(key).eqNullSafe(F.col("_mix_key")))
-    return copies.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    copies = docs.join(times, F.col(key).eqNullSafe(F.col(at)))
+    return copies.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)

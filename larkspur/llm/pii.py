@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import fresh
+
 CONTEXT, CONTEXT_GAIN, CONTEXT_LOSS, THRESHOLD = 32, 0.25, 0.25, 0.5
 #: Matches whose positions are added up at a time: the work for one match does not grow with a text's matches.
 BLOCK = 256
@@ -161,8 +163,9 @@ def listing(found: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; of overlapping spans, the first to start
     (then the longest, then by kind) is replaced and what it covers goes with it. Null texts stay null."""
-    held = docs.withColumn("_pii_spans", F.when(F.col(text).isNotNull(), spans(F.col(text))))
-    ordered = F.array_sort(F.transform(F.col("_pii_spans"), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
+    name = fresh(docs, "spans")
+    held = docs.withColumn(name, F.when(F.col(text).isNotNull(), spans(F.col(text))))
+    ordered = F.array_sort(F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
     empty = F.expr("cast(array() as array<string>)")
 
     def step(a: Column, x: Column) -> Column:
@@ -176,4 +179,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.concat(F.array_join(a["out"], ""), rest)
 
     clean = F.aggregate(ordered, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, end)
-    return held.withColumn(text, F.when(F.size("_pii_spans") > 0, clean).otherwise(F.col(text))).drop("_pii_spans")
+    return held.withColumn(text, F.when(F.size(name) > 0, clean).otherwise(F.col(text))).drop(name)

@@ -108,5 +108,45 @@ def best_splits(gain: DataFrame) -> DataFrame:
     return gain.groupBy("node").agg(F.max_by(what, rank).alias("s")).select("node", "s.feat", "s.bin", "s.nan_left", "s.gain")
 
 
+def dense(hist: pa.Table, nodes: list[int], features: int, bins: int, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A collected histogram as arrays: gradients (k, node, feature, bin), hessians (m, ...), rows (node, feature, bin)."""
+    place = {node: i for i, node in enumerate(nodes)}
+    node = np.array([place[v] for v in hist.column("node").to_pylist()], dtype=np.int64)
+    at = (node, hist.column("feat").to_numpy().astype(np.int64), hist.column("bin").to_numpy().astype(np.int64))
+    out = []
+    for names in ([f"g{i}" for i in range(k)], [f"h{i}" for i in range(m)], ["n"]):
+        cells = np.zeros((len(names), len(nodes), features, bins))
+        for i, name in enumerate(names):
+            cells[(i, *at)] = hist.column(name).to_numpy()
+        out.append(cells)
+    return out[0], out[1], out[2][0]
+
+
+def best_splits_dense(g: np.ndarray, h: np.ndarray, n: np.ndarray, lam: float, min_leaf: int) -> list[tuple[int, int, bool, float, np.ndarray, np.ndarray]]:
+    """For each node the best split as by ``gains`` and ``best_splits`` (feature position, bin, missing left, gain), and
+    the sums of gradients and hessians that go left. Bins without rows repeat a gain and are never first."""
+    running_g, running_h = np.cumsum(g, axis=3), np.cumsum(h, axis=3)
+    all_g, all_h, rows = running_g[..., -1:], running_h[..., -1:], n.sum(axis=2, keepdims=True)
+
+    def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a * a, b + lam, out=np.zeros(np.broadcast_shapes(a.shape, b.shape)), where=b + lam != 0)
+
+    sides = []
+    for left_g, left_h, missing_right in ((running_g, running_h, False), (running_g - g[..., :1], running_h - h[..., :1], True)):
+        count = np.divide(left_h, all_h, out=np.zeros_like(left_h), where=all_h != 0) * rows
+        fine = np.minimum(rows - count, count) > min_leaf
+        if missing_right:
+            fine &= (h[..., :1] > 0) & (running_h < all_h)
+        gain = part(left_g, left_h) + part(all_g - left_g, all_h - left_h) - part(all_g, all_h)
+        sides.append(np.where(fine, gain, 0.0).sum(axis=0))
+    both = np.stack(sides, axis=3)
+    out = []
+    for i in range(both.shape[0]):
+        f, b, side = np.unravel_index(int(both[i].argmax()), both.shape[1:])
+        less = (g[:, i, f, 0], h[:, i, f, 0]) if side else (0.0, 0.0)
+        out.append((int(f), int(b), bool(side == 0), float(both[i, f, b, side]), running_g[:, i, f, b] - less[0], running_h[:, i, f, b] - less[1]))
+    return out
+
+
 def split_search(rows: DataFrame, features: list[int], k: int, m: int, lam: float, min_leaf: int, path: str | None = None) -> DataFrame:
     return best_splits(gains(running(histogram(rows, features, k, m, path=path), k, m), k, m, lam, min_leaf))

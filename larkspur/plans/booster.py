@@ -19,7 +19,7 @@ from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.functions.metrics import Metric, metric_from_name
 from larkspur.operators import multioutput
 from larkspur.operators.binning import binner_from_name
-from larkspur.operators.histograms import split_search
+from larkspur.operators.histograms import best_splits_dense, dense, histogram, split_search
 from larkspur.operators.routing import leaf_values, node_of
 from larkspur.operators.sampling import ColumnSampler, RowSampler
 from larkspur.plans.callbacks import Callback, CallbackPipeline, EarlyStopping, EvalHistory
@@ -56,25 +56,46 @@ def leaf_column(group: GroupTree, bins: str = "bins") -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), node)
 
 
-def grow(rows: DataFrame, features: list[int], outputs: int, hessians: int, borders: list[np.ndarray], max_depth: int, lam: float, min_leaf: int, min_gain: float, path: str | None = None) -> GroupTree:
-    """A tree's structure from ``rows`` (codes, arrays g and h), depth by depth, until nothing splits."""
-    tree = GroupTree()
+#: Cells (nodes x features x bins x sums) of a level's histogram up to which the driver searches it; a larger one is
+#: searched where it lies, and only the best split of each node is sent.
+DRIVER_CELLS = 2_000_000
+
+
+def grow(rows: DataFrame, features: list[int], outputs: int, hessians: int, borders: list[np.ndarray], max_depth: int, lam: float, min_leaf: int, min_gain: float, path: str | None = None) -> tuple[GroupTree, dict[int, tuple] | None]:
+    """A tree's structure from ``rows`` (codes, arrays g and h), depth by depth, until nothing splits; and the sums of
+    gradients and hessians in each of its nodes, if the driver has seen them all."""
+    tree, sums = GroupTree(), {}
     live = [0]
     base = rows.select("bins", *(F.get("g", F.lit(k)).alias(f"g{k}") for k in range(outputs)), *(F.get("h", F.lit(k)).alias(f"h{k}") for k in range(hessians)))
+    widest = max((len(borders[f]) for f in features), default=0) + 2
     for _ in range(max_depth):
         placed = base.withColumn("node", node_of(tree))
         if len(live) < len(tree.leaves):
             placed = placed.where(F.col("node").isin(live))
-        best = sorted(split_search(placed, features, outputs, hessians, lam, min_leaf, path).collect(), key=lambda r: r["node"])
+        found = []
+        if len(live) * len(features) * widest * (outputs + hessians) <= DRIVER_CELLS:
+            table = histogram(placed, features, outputs, hessians, path=path).toArrow()
+            if not table.num_rows:
+                break
+            g, h, n = dense(table, live, len(features), widest, outputs, hessians)
+            if 0 in live:
+                sums[0] = (g[:, 0, 0].sum(axis=1), h[:, 0, 0].sum(axis=1))
+            found = [(node, *best) for node, best in zip(live, best_splits_dense(g, h, n, lam, min_leaf), strict=True)]
+        else:
+            best = split_search(placed, features, outputs, hessians, lam, min_leaf, path).collect()
+            found = [(int(r["node"]), r["feat"], int(r["bin"]), bool(r["nan_left"]), float(r["gain"]), None, None) for r in sorted(best, key=lambda r: r["node"])]
         live = []
-        for r in best:
-            if r["gain"] > min_gain:
-                f, split = features[r["feat"]], int(r["bin"])
+        for node, position, split, nan_left, gain, left_g, left_h in found:
+            if gain > min_gain:
+                f = features[position]
                 edge = borders[f][split - 1] if 0 < split <= len(borders[f]) else (-np.inf if split == 0 else np.inf)
-                live += tree.grow(int(r["node"]), f, split, float(edge), bool(r["nan_left"]), float(r["gain"]))
+                left, right = tree.grow(node, f, split, float(edge), nan_left, gain)
+                live += [left, right]
+                if left_g is not None and node in sums:
+                    sums[left], sums[right] = (left_g, left_h), (sums[node][0] - left_g, sums[node][1] - left_h)
         if not live:
             break
-    return tree
+    return tree, sums if all(leaf in sums for leaf in tree.leaves) else None
 
 
 class GradientBoosting:
@@ -136,22 +157,23 @@ class GradientBoosting:
         pipeline = CallbackPipeline(*samplers, *self.callbacks, history, stopping)
         state = {"model": self.model, "metric": metric, "train": frame, "valid": valid, "weighted": weighted, "borders": binner.borders, "builder": self, "num_iter": 0, "n": n, "leaves": [], "iter_score": None}
         pipeline.before_train(state)
-        splitter = self._groups()
+        splitter, older = self._groups(), []
         for turn in range(self.ntrees):
             state["num_iter"] = turn
             pipeline.before_iteration(state)
             tree, leaves = self._iteration(state, splitter, outputs, turn)
             state["leaves"] = [*state["leaves"][-8:], leaves]
-            last = state["train"]
+            # a frame is cached by the jobs of the turn after it; only then may the one that it came from go
+            for held in older:
+                held.unpersist()
+            older = [state["train"], *state["valid"]] if turn else []
             state["train"] = self._moved(state["train"], tree, turn)
-            if turn:
-                last.unpersist()
             state["valid"] = [self._moved(v, tree, turn) for v in state["valid"]]
             self.model.trees.append(tree)
             if pipeline.after_iteration(state):
                 break
         pipeline.after_train(state)
-        for held in (state["train"], frame, *state["valid"], *valid):
+        for held in (state["train"], frame, *older, *state["valid"], *valid):
             held.unpersist()
         self.history, self.best_round = history.history, stopping.best_round
         return self
@@ -212,9 +234,12 @@ class GradientBoosting:
                     k_ = k
             else:
                 k_, m_ = k, m
-            tree = grow(structure, features, k_, m_, state["borders"], self.max_depth, self.lambda_l2, self.min_data_in_leaf, self.min_gain_to_split)
+            tree, sums = grow(structure, features, k_, m_, state["borders"], self.max_depth, self.lambda_l2, self.min_data_in_leaf, self.min_gain_to_split)
             groups.append(tree)
-            values.append(self._values(part.withColumn("leaf", leaf_column(tree)), tree, k, m))
+            if structure is part and sums is not None:  # the search has summed what leaf values need
+                values.append(np.array([-self.lr * g / (h + self.lambda_l2) for g, h in (sums[leaf] for leaf in tree.leaves)]))
+            else:
+                values.append(self._values(part.withColumn("leaf", leaf_column(tree)), tree, k, m))
         tree = Tree(groups, sets, values)
         for step in range(self.gd_steps - 1):
             tree.values = self._refined(rows if whole else rows.where("_in"), tree, outputs)

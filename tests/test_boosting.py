@@ -10,6 +10,7 @@ from larkspur.functions.losses import loss_from_name
 from larkspur.functions.metrics import AUC, metric_from_name
 from larkspur.operators import multioutput, sampling
 from larkspur.operators.binning import BINNERS, binner_from_name
+from larkspur.plans import booster as booster_module
 from larkspur.plans.adaptive import AdaptiveESCV
 from larkspur.plans.booster import GradientBoosting, SketchBoost
 from larkspur.plans.callbacks import Callback, DuplicateFilter, LoggerStream, verbosity_to_loglevel
@@ -87,8 +88,9 @@ def predictions(booster, df):
     return {r.id: np.array(r.prediction) for r in booster.predict(df).collect()}
 
 
-@pytest.mark.parametrize("weighted", [False, True])
-def test_equals_the_numpy_twin(df, rows, weighted):
+@pytest.mark.parametrize(("weighted", "cells"), [(False, 2_000_000), (True, 2_000_000), (True, 0)])
+def test_equals_the_numpy_twin(df, rows, monkeypatch, weighted, cells):
+    monkeypatch.setattr(booster_module, "DRIVER_CELLS", cells)
     booster = GradientBoosting("mse", ntrees=3, max_depth=3, lr=0.4, es=0, verbose=0, checkpoint_every=2)
     booster.fit(df, FEATURES, "y", "id", "w" if weighted else None)
     twin = Twin(rows, 3, 0.4)

@@ -40,7 +40,7 @@ WINDOW, GRAM = 100, 24
 #: ``SLICE_OFTEN`` in a slice of the corpus are not added up for this.
 OFTEN, SLICE_OFTEN = 4096, 4
 #: Bytes of text in a slice, and of segments in a shard that is sorted at a time.
-SLICE_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+SLICE_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
 #: Frequent anchors up to which their table is broadcast.
 BROADCAST_OFTEN = 100_000
 LAST = (1 << 63) - 1

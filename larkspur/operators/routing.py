@@ -41,7 +41,8 @@ def child_ids(best: DataFrame, last: int, min_gain: float = 0.0) -> DataFrame:
 
 
 def members(rows: DataFrame, wanted: DataFrame, key: str = "node") -> DataFrame:
-    """``rows`` with ``pos``, the place of their key in the sorted ``wanted`` keys, or -1."""
+    """``rows`` with ``pos``, the place of their key in the sorted ``wanted`` keys, or -1. Wanted are nodes of a level,
+    2 ** depth at most, so they are numbered in one task and broadcast."""
     places = wanted.select(key).distinct().withColumn("pos", F.row_number().over(Window.orderBy(key)) - 1)
     return rows.join(F.broadcast(places), key, "left").na.fill(-1, ["pos"])
 

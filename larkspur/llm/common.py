@@ -50,7 +50,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def in_batches(
-    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most_bytes: int = 8 << 20
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most_bytes: int = 2 << 20
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for ``mapInArrow`` that hands over slices of about ``most_bytes`` (one row at least), so that
     a worker's memory follows the longest row and not the batch. ``make`` runs once in each task."""
@@ -62,6 +62,7 @@ def in_batches(
             step = max(1, int(rows * most_bytes / max(batch.nbytes, 1)))
             for at in range(0, rows, step):
                 yield work(batch.slice(at, step))
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other tasks
 
     return run
 

@@ -166,13 +166,13 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limits: Limit
         keys = pa.int64()
         for batch in batches:
             keys = batch.column(0).type
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(value or "") + end
+            for row in range(batch.num_rows):  # one text at a time leaves the batch
+                ids = encoder.encode(batch.column(1)[row].as_py() or "") + end
                 n = len(ids) // 4
-                held[number] = (name, ids, n)
+                held[number] = (batch.column(0)[row].as_py(), ids, n)
                 packer.add(Piece(number, 0, n, n - 1))
                 number += 1
-                if len(packer.placed) > 4096:
+                if len(packer.placed) > 1024:
                     yield out()
         packer.finish()
         if packer.placed:

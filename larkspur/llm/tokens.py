@@ -14,7 +14,7 @@ import numpy as np
 #: The vocabulary's file name, given to the tokenizer package's ``path``.
 VOCABULARY = "byte_bpe_50k.json"
 #: Words kept in a worker's cache; beyond it, words are encoded anew each time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _SPACE_THEN_SPACE = re.compile(r" \s")
 

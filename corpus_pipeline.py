@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, packing, pii, quality, simhash
+from larkspur.llm import mixing, packing, pii, quality, shingle_join
 from larkspur.llm.common import new_path, stored, table
 
 #: Identifiers of dropped documents up to which they are broadcast; beyond, they are joined by shuffle.
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest identifier; of rows that repeat an identifier,
     one stays. Rows without an identifier stay, as no component can name them."""
-    found = stored(simhash.near_duplicates(docs), "components")
+    found = stored(shingle_join.near_duplicates(docs), "components")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -42,11 +42,11 @@ CHUNK = 1024
 LEAVES = 64
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint of a text's bytes."""
+def digests(raw: bytes, shingle: int = SHINGLE) -> bytes:
+    """The eight-byte hashes of a text's shingles, repeats included; none if it has no words."""
     words = raw.lower().split()  # bytes: only A-Z change, only the six white-space bytes separate
     if not words:
-        return 0
+        return b""
     plain = b" ".join(words)
     stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     start = np.concatenate([[0], stop[:-1] + 1])
@@ -55,7 +55,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     else:
         start, stop = start[:1], stop[-1:]
     digest = xxhash.xxh64_digest
-    raw_hashes = b"".join([digest(plain[s:e], SEED) for s, e in zip(start.tolist(), stop.tolist(), strict=True)])
+    return b"".join([digest(plain[s:e], SEED) for s, e in zip(start.tolist(), stop.tolist(), strict=True)])
+
+
+def majority(raw_hashes: bytes) -> int:
+    """The 64 bits that are set in more than half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     hashes = np.frombuffer(raw_hashes, dtype=np.uint8).reshape(-1, 8)
     for at in range(0, len(hashes), 1 << 16):
@@ -63,6 +67,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of a text's bytes."""
+    return majority(digests(raw, shingle))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``key`` and ``fp``, the fingerprint as a signed long."""
     kind = dict(docs.dtypes)[key]

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from larkspur.llm import jpeg_media, packing, pii, quality, rollups, simhash, suffix_dedup
+import corpus_pipeline
+from larkspur.llm import jpeg_media, packing, pii, quality, rollups, shingle_join, simhash, suffix_dedup
 from larkspur.llm.tokens import Encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -292,3 +293,46 @@ def test_repeated_passages(spark, docs, monkeypatch, often):
     want = plain_removed(texts)
     assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in rows.items()} == want
     assert suffix_dedup.remove_repeated(empty(docs)).count() == 0
+
+
+def plain_components(texts, n=5):
+    sets = {}
+    for k, t in texts:
+        words = WORD.findall(lower(t or ""))
+        sets[k] = {" ".join(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set()
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_near_duplicates_down_to_the_similarity(spark, monkeypatch, chunk):
+    monkeypatch.setattr(shingle_join, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(500)]
+    made = []
+    for _ in range(12):
+        base = list(rng.choice(words, 120))
+        for edits in (0, 1, 2, 2, 3, 4, 5):
+            copy = list(base)
+            for at in rng.integers(0, 120, edits):
+                copy[at] = str(rng.choice(words))
+            made.append(" ".join(copy))
+    texts = list(enumerate([*TEXTS, *made]))
+    df = spark.createDataFrame([*texts, texts[6]], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in shingle_join.near_duplicates(df).collect()}
+    want = plain_components(texts)
+    assert got == want
+    narrow = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert sum(k != c for k, c in narrow.items() if k >= len(TEXTS)) < sum(k != c for k, c in want.items() if k >= len(TEXTS))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {k for k, c in want.items() if k == c}

@@ -15,7 +15,8 @@ scores are cached, a bounded number of them, and computed in numpy for all new w
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; words without letters take their
 neighbours' language and do not count; if no labelled text is given for training, all are ``und``; repeated rows get
-equal results; texts are read whole; columns other than those named are not read.
+equal results; texts are read whole (a stretch of more than ``LENGTH`` characters without white space, as in Chinese,
+counts as several words); columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +39,20 @@ _PUNCTUATION = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased words without punctuation and digits at their ends; a word may become empty."""
-    return [w.strip(_PUNCTUATION) for w in text.lower().split()]
+    """Lower-cased words without punctuation and digits at their ends; a word may become empty. Longer words than LENGTH
+    are cut in pieces, each a word, that have two characters in common with the next one: no n-gram is lost."""
+    out = []
+    for w in text.lower().split():
+        w = w.strip(_PUNCTUATION)
+        if len(w) <= LENGTH:
+            out.append(w)
+        else:
+            out += [w[k : k + LENGTH] for k in range(0, len(w) - 2, LENGTH - 2)]
+    return out
 
 
 def features(words: list[str], lexicon: np.ndarray) -> np.ndarray:
-    """(words, features) of weight rows; row 0 has no weight. Words are cut at LENGTH characters here."""
+    """(words, features) of weight rows; row 0 has no weight. Words have LENGTH characters at most, as from ``words_of``."""
     n = len(words)
     chars = np.array(words, dtype=f"U{LENGTH}").view(np.uint32).reshape(n, LENGTH).astype(np.uint64)
     size = (chars != 0).sum(axis=1)

@@ -145,3 +145,18 @@ def test_pipeline_stages(spark, tmp_path):
 def test_ten_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_long_words_are_read_to_their_ends():
+    rng = np.random.default_rng(6)
+    head = "".join(map(chr, range(97, 117)))
+    made = [(head + "".join(rng.choice(list(letters), 200)), lang) for lang, letters in (("xx", "山水火木金"), ("yy", "あいうえお")) for _ in range(40)]
+    model = langid.train(made)
+    found = langid.label([t for t, _ in made] + [head + "山水火木金" * 9, head + "あいうえお" * 9], model)
+    assert [x[0] for x in found] == [x for _, x in made] + ["xx", "yy"]
+    word = "".join(map(chr, rng.integers(97, 123, 75)))
+    pieces = langid.words_of(word)
+    assert pieces[-1].endswith(word[-3:]) and {word[k : k + 3] for k in range(73)} == {p[k : k + 3] for p in pieces for k in range(len(p) - 2)}
+    for n in (20, 21, 22, 23, 38, 39):
+        cut = langid.words_of(word[:n])
+        assert "".join([cut[0], *(p[2:] for p in cut[1:])]) == word[:n] and all(len(p) <= langid.LENGTH for p in cut)

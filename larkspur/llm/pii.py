@@ -6,7 +6,8 @@ allows it and start only where a run of their characters starts (or the previous
 takes time in proportion to the text and no recursion.
 
 Kinds and scores: ``email``, ``ip`` (parts at most 255), ``card`` (13 to 19 digits, Luhn) and ``phone`` (9 to 15
-digits) are base kinds, whose confirmed spans always stay. The method adds ``iban`` (mod-97) and ``ssn`` (three,
+digits) are base kinds, whose confirmed spans always stay. The method adds ``iban`` (mod-97, and the country's length or
+else the longest start that the checksum confirms, so that words in capitals and numbers behind it do no harm) and ``ssn`` (three,
 two and four digits, which only a word of context beside it confirms). A span's score is its kind's prior, more by
 ``CONTEXT_GAIN`` if a word of its kind stands within ``CONTEXT`` code points, less by ``CONTEXT_LOSS`` if a word
 against it does; added kinds stay at ``THRESHOLD`` or more.
@@ -30,6 +31,18 @@ CONTEXT, CONTEXT_GAIN, CONTEXT_LOSS, THRESHOLD = 32, 0.25, 0.25, 0.5
 BLOCK = 256
 
 
+#: Characters of an account number by country.
+_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 "
+    "LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+_OF_LENGTH: dict[int, list[str]] = {}
+for _x in _LENGTHS.split():
+    _OF_LENGTH.setdefault(int(_x[2:]), []).append(_x[:2])
+#: A number of its country's length; the others have any length from 15 to 34.
+_IBAN = "(?:" + "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _OF_LENGTH.items()) + ")(?![A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -47,7 +60,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", 0.6, "ip|address|host|server|from", "version|release|section"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9]){12}", 0.8, "card|visa|credit|debit|payment", "isbn|order|serial"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|call|tel|mobile|fax|contact"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]", 0.8, "iban|bank|account|transfer", base=False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]", 0.8, "iban|bank|account|transfer", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.3, "ssn|social security|taxpayer", "phone|order", base=False),
 )
 
@@ -117,6 +130,17 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step)
 
 
+def _trimmed(x: Column) -> Column:
+    """The match of an account number without the words behind it: all of it if it has its country's length, else its
+    longest start, up to a blank or the end, that the checksum confirms. What is cut off becomes context."""
+    parts = F.split(x["value"], " ")
+    starts = F.transform(F.sequence(F.size(parts), F.lit(1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " "))
+    fine = F.filter(starts, lambda v: (F.length(F.translate(v, " ", "")) >= 15) & (_mod97(v) == 1))
+    value = F.when(x["value"].rlike(f"^{_IBAN}"), x["value"]).otherwise(F.coalesce(F.get(fine, F.lit(0)), x["value"]))
+    rest = F.substring(x["value"], F.length(value) + 1, F.length(x["value"]))
+    return F.struct(x["start"].alias("start"), (x["start"] + F.length(value)).alias("stop"), value.alias("value"), F.concat(x["near"], F.lit(" "), F.lower(rest)).alias("near"))
+
+
 def _confirmed(kind: Kind, value: Column) -> Column:
     if kind.name == "ip":
         small = F.transform(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
@@ -143,7 +167,10 @@ def spans(text: Column) -> Column:
             score = F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 2)
             return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), score.alias("score"), F.lit(kind.base).alias("base"))
 
-        kept = F.transform(F.filter(_located(text, kind), lambda x: _confirmed(kind, x["value"])), scored)
+        located = _located(text, kind)
+        if kind.name == "iban":
+            located = F.transform(located, _trimmed)
+        kept = F.transform(F.filter(located, lambda x: _confirmed(kind, x["value"])), scored)
         if not kind.base:
             kept = F.filter(kept, lambda x: x["score"] >= THRESHOLD)
         return F.when(text.rlike(kind.hint), kept).otherwise(none)

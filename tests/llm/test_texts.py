@@ -336,3 +336,17 @@ def test_near_duplicates_down_to_the_similarity(spark, monkeypatch, chunk):
     assert sum(k != c for k, c in narrow.items() if k >= len(TEXTS)) < sum(k != c for k, c in want.items() if k >= len(TEXTS))
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
     assert kept == {k for k, c in want.items() if k == c}
+
+
+def test_account_numbers_before_capitals_and_digits(spark):
+    number, spaced = "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        (f"IBAN {number} The money", [(5, 27)]), (f"IBAN {spaced} BIC ABCDEF", [(5, 32)]), (f"iban {number} 2024", [(5, 27)]), (f"{number} A", [(0, 22)]),
+        (f"{spaced} DE89 3704 0044 0532 0130 00 NO93 8601 1117 947 X", [(0, 27), (28, 55), (56, 74)]),
+        ("account ZZ33 1234 5678 9012 345 NOW PAY", [(8, 31)]), (f"{number}X", []), ("GB83WEST12345698765432 The", []), ("IBAN " + number, [(5, 27)]),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id int, text string")
+    found = collected(pii.find(df))
+    for k, (t, want) in enumerate(cases):
+        assert [(s.start, s.stop) for s in found[k].spans if s.kind == "iban"] == want, t
+    assert collected(pii.redact(df))[0].text == "IBAN <IBAN> The money"

@@ -288,11 +288,11 @@ def thumbnail_hash(plane: np.ndarray) -> int:
 
 
 def decode(media: bytes, tables: dict | None = None) -> tuple[bytes, str]:
-    """The payload that the thumbnails hold, and ``widthxheight:hash`` of the first image, with the number of
-    images before it where there are several."""
+    """The payload that the thumbnails hold, and ``widthxheight:hash`` of every image, with plus signs between them and
+    their number before them where there are several."""
     found = images(media, tables)
     planes = [x.thumbnail() for x in found]
-    feature = f"{found[0].width}x{found[0].height}:{thumbnail_hash(planes[0]):016x}"
+    feature = "+".join(f"{x.width}x{x.height}:{thumbnail_hash(p):016x}" for x, p in zip(found, planes, strict=True))
     return b"".join(p.tobytes() for p in planes), f"{len(found)}*{feature}" if len(found) > 1 else feature
 
 

@@ -350,3 +350,10 @@ def test_account_numbers_before_capitals_and_digits(spark):
     for k, (t, want) in enumerate(cases):
         assert [(s.start, s.stop) for s in found[k].spans if s.kind == "iban"] == want, t
     assert collected(pii.redact(df))[0].text == "IBAN <IBAN> The money"
+
+
+def test_feature_describes_every_frame():
+    data = np.random.default_rng(4).integers(0, 256, jpeg_media.ROWS_MAX * 64 + 640, dtype=np.uint8).tobytes()
+    one, other = (jpeg_media.decode(jpeg_media.encode(x))[1] for x in (data, data[:-640] + data[-640:][::-1]))
+    assert one != other and one.count("+") == 1 and one.split("+")[0] == other.split("+")[0]
+    assert one.endswith(jpeg_media.decode(jpeg_media.encode(data[-640:]))[1])

@@ -7,7 +7,8 @@ digests. Of records whose payloads are equal, the one with the smallest page ide
 others become ``revisit`` records without a payload that refer to it. ``read_warcs`` parses WARC bytes again.
 
 Archives are rows of a table in the shared folder (``name``, ``data``), each of about ``ARCHIVE_BYTES``; a record is
-never split. Only digests are shuffled to find equal payloads; what refers to what goes back to its archive by
+never split. An archive's name has its partition, its number in it and a digest of its bytes, so that no two archives
+of a table share one; ``to_warcs`` refuses a table in which names repeat. Only digests are shuffled to find equal payloads; what refers to what goes back to its archive by
 broadcast while there are at most ``BROADCAST_REFS`` of them, by a join beyond.
 
 Defined results: a null page text counts as empty; a null address becomes ``urn:page:<identifier>``; blanks and
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,14 +182,14 @@ def write_arcs(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     """``name, keys, data``: the pages as ARC archives, of version 1 and 2 by turns."""
 
     def make():
-        made = [0]
+        made, part = [0], TaskContext.get().partitionId()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys = batch.column(0).to_pylist()
             raw = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
             made[0] += 1
-            mark = hashlib.sha1(repr(keys).encode()).hexdigest()[:16]
-            name = f"{mark}-{made[0]:06d}.arc"
+            mark = hashlib.sha1(b"".join(hashlib.sha1(f"{k}:{len(x)}:".encode() + x).digest() for k, x in zip(keys, raw, strict=True))).hexdigest()[:16]
+            name = f"{part:06d}-{made[0]:06d}-{mark}.arc"
             data = arc_archive(name, 1 + made[0] % 2, list(zip(keys, batch.column(1).to_pylist(), raw, strict=True)))
             return pa.record_batch([pa.array([name]), pa.array([keys], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["name", "keys", "data"])
 
@@ -217,6 +219,8 @@ def payload_index(arcs: DataFrame) -> DataFrame:
 
 def to_warcs(arcs: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``name, data``: each archive converted, with payloads of ``least_bytes`` or more that repeat as revisits."""
+    if not arcs.groupBy("name").count().where("count > 1").isEmpty():
+        raise ArchiveError("two archives have one name")
     index = stored(payload_index(arcs), "payloads")
     again = index.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("times"))
     again = stored(again.where("times > 1 and first is not null").select("digest", "first"), "repeated")

@@ -31,6 +31,23 @@ def test_archives_round_trip(spark):
     assert archives.read_warcs(archives.to_warcs(stored(archives.write_arcs(df.limit(0)), "arcs"))).count() == 0
 
 
+def test_archives_of_several_tasks_with_equal_keys(spark):
+    # two tasks whose archives hold null identifiers alone, then one page with a payload of the first task
+    rows = [[(None, None, f"{task}{k}") for k in range(4)] for task in "AB"] + [[(7, None, "A1"), (7, None, "A1"), (8, "u", "B3"), (8, "v", "B3")]]
+    sc = spark.sparkContext
+    df = spark.createDataFrame(sc.parallelize([r for part in rows for r in part], 3), "page_id bigint, url string, html string")
+    arcs = stored(archives.write_arcs(df), "arcs")
+    names = [r.name for r in arcs.select("name").collect()]
+    assert len(names) == len(set(names)) == 3
+    found = collections.Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in archives.read_warcs(stored(archives.to_warcs(arcs), "warcs")).collect())
+    code = {x: archives.digest(x.encode()) for part in rows for _, _, x in part}
+    want = collections.Counter({(None, code[x], "response", None): 1 for x in code if x not in ("A1", "B3")})
+    want += collections.Counter({(None, code["A1"], "revisit", 7): 1, (None, code["B3"], "revisit", 8): 1, (7, code["A1"], "response", None): 2, (8, code["B3"], "response", None): 2})
+    assert found == want
+    with pytest.raises(archives.ArchiveError):
+        archives.to_warcs(arcs.unionByName(arcs))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     pages = [(1, "http://x/y z", b"abc"), (2, None, b""), (3, "http://w", b"\n\nfiledesc://")]

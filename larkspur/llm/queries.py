@@ -58,16 +58,36 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+#: The tokenizer version to which op10 moves on, and the fewest words of a document that it does not withdraw.
+NEXT_VOCABULARY, FEWEST_WORDS = "byte_bpe_multi_50k.tiktoken", 20
+
+
 def op10_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted; then each count is revised to include an end token; a replay changes nothing."""
-    counts = rollups.token_counts(table(spark, sf_dir, "documents"))
-    rollup = rollups.Rollup(spark, new_path(spark, "rollup"))
-    rollup.commit("load", rollups.events("insert", counts))
-    ended = table(spark, sf_dir, "documents").select(
-        "source", "lang", F.lit(rollups.VOCABULARY).alias("tokenizer"), F.lit(0).alias("old_tokens"), F.lit(1).alias("n_tokens")
+    """All documents are loaded under one tokenizer and then under the next; those with repeated lines are revised to
+    the counts of their texts without these; those of fewer than ``FEWEST_WORDS`` words are withdrawn. Each batch
+    is replayed, which changes nothing, and the batches are compacted in between."""
+    text, vocabularies = F.col("text"), (rollups.VOCABULARY, NEXT_VOCABULARY)
+    lines = F.split(text, "\n", -1)
+    plain, repeats = F.array_join(F.array_distinct(lines), "\n"), F.size(F.array_distinct(lines)) < F.size(lines)
+    docs = table(spark, sf_dir, "documents").select(
+        "source", "lang", F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("words"), text, F.when(repeats, plain).alias("plain"), repeats.alias("revised")
     )
-    for _ in range(2):
-        rollup.commit("end-tokens", rollups.events("revise", ended))
+    names = {f"{which}{k}": v for k, v in enumerate(vocabularies) for which in ("old", "new")}
+    told = rollups.counted(docs, {n: "text" if n.startswith("old") else "plain" for n in names}, names)
+    told = stored(told, "counts")
+
+    def under(k: int) -> DataFrame:
+        return told.select("source", "lang", F.lit(vocabularies[k]).alias("tokenizer"), "words", "revised", F.col(f"old{k}").alias("old_tokens"), F.col(f"new{k}").alias("n_tokens"))
+
+    rollup = rollups.Rollup(spark, new_path(spark, "rollup"))
+    for k in range(len(vocabularies)):
+        rows = under(k)
+        now = rows.withColumn("n_tokens", F.when(F.col("revised"), F.col("n_tokens")).otherwise(F.col("old_tokens")))
+        for _ in range(2):
+            rollup.commit(f"load/{k}", rollups.events("insert", rows, new="old_tokens"))
+            rollup.commit(f"single lines/{k}", rollups.events("revise", rows.where("revised")))
+            rollup.commit(f"withdraw/{k}", rollups.events("delete", now.where(F.col("words") < FEWEST_WORDS)))
+        rollup.compact()
     return rollup.totals()
 
 

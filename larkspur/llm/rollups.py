@@ -2,20 +2,29 @@
 
 Events carry a sign: an insert adds a document and its tokens, a delete takes them away, a revision adds the new
 count less the old one. A batch of events is summed by source, language and tokenizer version, and the sums are
-written as the batch's own folder ``batch=<id>`` of the rollup table. Totals are the sum over the folders, so they
-are additive and no row is rewritten. A commit is idempotent: a batch whose folder is complete (it has the
-writer's ``_SUCCESS`` mark) is left alone, and one that broke off is overwritten. A folder holds one row for each group, so
-totals read little however many events there were.
+written as a folder of the rollup table. Totals are the sum over the folders, so they are additive and no row is
+rewritten.
+
+A commit is idempotent and exclusive: sums are written to a folder of the writer's own, which is then renamed to the
+batch's folder ``batch=<id>``. The rename is atomic and fails where the folder is there already, so that of two
+writers of one batch one wins, and a writer that breaks off leaves nothing that counts. (Stores without an atomic
+rename need a single writer.) ``compact`` sums the batches so far in one folder ``base=<n>``, which lists the
+batches that it holds; their own folders go, and their identifiers stay known. A folder holds one row for each
+group, so totals read little however many events there were.
 
 Defined results: null sources and languages are groups of their own; a null count counts as 0; groups whose
 documents have all been deleted stay with zero totals; a replayed batch changes nothing, even with other events;
-an empty batch commits and adds nothing; further columns of the events are not read. Long texts are counted whole,
-repeated rows each count.
+an empty batch commits and adds nothing; batch identifiers may hold any characters; further columns of the events
+are not read. Long texts are counted whole, repeated rows each count.
 """
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote, unquote
+
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,24 +36,35 @@ SUMS = ("n_docs", "n_tokens")
 _SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, source, lang, tokenizer, n_tokens`` of every whole text (null: 0 tokens)."""
-    kind = dict(docs.dtypes)["doc_id"]
+def counted(docs: DataFrame, texts: dict[str, str], vocabularies: dict[str, str]) -> DataFrame:
+    """``docs`` without the columns in ``texts``, with the token counts that ``vocabularies`` name.
+
+    ``vocabularies`` leads from a new column to a vocabulary, ``texts`` from a new column to the column of texts that it
+    counts. A null text has 0 tokens. All texts are read in one pass.
+    """
+    read = sorted(set(texts.values()))
+    rest = [c for c in docs.columns if c not in read]
+    names = list(texts)
 
     def make():
-        encoder = Encoder(vocabulary)
+        encoders = {v: Encoder(v) for v in sorted(set(vocabularies.values()))}
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = [len(encoder.encode(t or "")) // 4 for t in batch.column(3).to_pylist()]
-            return pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([vocabulary] * len(n), pa.string()), pa.array(n, pa.int64())],
-                ["doc_id", "source", "lang", "tokenizer", "n_tokens"],
-            )
+            columns = {c: batch.column(len(rest) + k).to_pylist() for k, c in enumerate(read)}
+            counts = [pa.array([len(encoders[vocabularies[n]].encode(t or "")) // 4 for t in columns[texts[n]]], pa.int64()) for n in names]
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *counts], names=[*(f"_{k}" for k in range(len(rest))), *names])
 
         return work
 
-    schema = f"doc_id {kind}, source string, lang string, tokenizer string, n_tokens bigint"
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(in_batches(make), schema)
+    fields = ", ".join([*(f"_{k} {dict(docs.dtypes)[c]}" for k, c in enumerate(rest)), *(f"`{n}` bigint" for n in names)])
+    made = docs.select(*(F.col(f"`{c}`") for c in [*rest, *read])).mapInArrow(in_batches(make), fields)
+    return made.toDF(*rest, *names)
+
+
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, source, lang, tokenizer, n_tokens`` of every whole text (null: 0 tokens)."""
+    rows = docs.select("doc_id", "source", "lang", "text")
+    return counted(rows, {"n_tokens": "text"}, {"n_tokens": vocabulary}).select("doc_id", "source", "lang", F.lit(vocabulary).alias("tokenizer"), "n_tokens")
 
 
 def events(kind: str, counts: DataFrame, old: str = "old_tokens", new: str = "n_tokens") -> DataFrame:
@@ -67,32 +87,79 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _at(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self):
+        return self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _folders(self) -> list[str]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
+    def _names(self, kind: str) -> list[str]:
+        fs = self._files()
+        if not fs.exists(self._at()):
             return []
-        names = [x.getPath().getName() for x in fs.listStatus(at)]
-        return sorted(n for n in names if n.startswith("batch=") and self._exists(f"{n}/_SUCCESS"))
+        return sorted(n for n in (x.getPath().getName() for x in fs.listStatus(self._at())) if n.startswith(f"{kind}="))
+
+    def _put(self, staged: str, name: str) -> bool:
+        """Renames a staged folder; False if the name is taken."""
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files().getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._at(staged), self._at(name), none)
+        except Py4JJavaError as failed:
+            self._files().delete(self._at(staged), True)
+            if "FileAlreadyExistsException" not in str(failed.java_exception):
+                raise
+            return False
+        return True
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base's folder and the batches that it holds."""
+        bases = self._names("base")
+        if not bases:
+            return None, set()
+        held = self.spark.read.schema("batch string").parquet(f"{self.path}/{bases[-1]}/batches")
+        return bases[-1], {r["batch"] for r in held.collect()}
+
+    @staticmethod
+    def _folder(batch: str) -> str:
+        return f"batch={quote(batch, safe='')}"
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"batch={batch}/_SUCCESS")
+        return self._files().exists(self._at(self._folder(batch))) or batch in self._base()[1]
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Adds a batch of signed events; False if the batch was committed before."""
         if self.committed(batch):
             return False
         sums = signed.groupBy(*KEYS).agg(*(F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in SUMS))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        staged = f"staged-{uuid.uuid4().hex}"
+        sums.coalesce(1).write.parquet(f"{self.path}/{staged}")
+        return self._put(staged, self._folder(batch))
+
+    def compact(self) -> bool:
+        """Sums the base and the batches after it as a new base. One process compacts at a time: a second one finds the
+        base's number taken and gives up (False)."""
+        base, held = self._base()
+        folders = self._names("batch")
+        if not folders:
+            return False
+        staged = f"staged-{uuid.uuid4().hex}"
+        self._sums(base, held, folders).coalesce(1).write.parquet(f"{self.path}/{staged}/totals")
+        known = held | {unquote(f.removeprefix("batch=")) for f in folders}
+        self.spark.createDataFrame([(b,) for b in sorted(known)], "batch string").coalesce(1).write.parquet(f"{self.path}/{staged}/batches")
+        number = int(base.removeprefix("base=")) + 1 if base else 1
+        if not self._put(staged, f"base={number:012d}"):
+            return False
+        for name in [*folders, *([base] if base else [])]:
+            self._files().delete(self._at(name), True)
         return True
 
+    def _sums(self, base: str | None, held: set[str], folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in folders if unquote(f.removeprefix("batch=")) not in held]
+        paths += [f"{self.path}/{base}/totals"] if base else []
+        rows = self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
+        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens``: the sum over the committed batches."""
-        reader = self.spark.read.schema(_SCHEMA)
-        folders = [f"{self.path}/{n}" for n in self._folders()]
-        rows = reader.parquet(*folders) if folders else self.spark.createDataFrame([], _SCHEMA)
-        return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+        return self._sums(*self._base(), self._names("batch"))

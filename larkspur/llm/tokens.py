@@ -2,7 +2,9 @@
 
 Byte-level BPE splits a text before it merges, and a space that stands before a visible character always begins a
 piece. So a text without a space followed by white space can be cut at its spaces, each part encoded alone, and
-the parts' identifiers joined. Other texts are encoded whole. The vocabulary stays where it is; it is never copied.
+the parts' identifiers joined. Other texts are encoded whole. Identifiers are those of the ``tokenizers`` library with
+``add_special_tokens=False``: an added token of the vocabulary that stands in a text has its own identifier. Texts
+that hold one are left to that library. The vocabulary stays where it is; it is never copied.
 """
 
 from __future__ import annotations
@@ -32,35 +34,39 @@ class _Cache(dict):
 
 
 class Encoder:
-    """``encode(text)``: the identifiers, as little-endian unsigned 32-bit bytes. Special tokens are ordinary text."""
+    """``encode(text)``: the identifiers, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, vocabulary: str = VOCABULARY, cache_words: int = CACHE_WORDS):
         import public_tokenizers
 
-        self.whole = self._encoder(public_tokenizers, vocabulary)
-        self.words = _Cache(self.whole, cache_words)
+        self.added: tuple[str, ...] = ()
+        self.exact = self.whole = self._ranked(public_tokenizers, vocabulary) if vocabulary.startswith("byte_bpe") else None
+        if vocabulary.endswith(".json"):
+            from tokenizers import Tokenizer
 
-    @staticmethod
-    def _encoder(source, vocabulary: str):
-        if vocabulary.startswith("byte_bpe"):
-            # the same vocabulary as merge ranks: equal identifiers (tested), a quarter of the time
-            import base64
+            tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+            self.added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+            self.exact = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.whole = self.whole or self.exact
+        self.words = _Cache(self.whole, cache_words) if vocabulary.startswith("byte_bpe") else None
 
-            import tiktoken
+    @staticmethod
+    def _ranked(source, vocabulary: str):
+        """The same vocabulary as merge ranks: equal identifiers for texts without added tokens (tested), a quarter of the time."""
+        import base64
 
-            with open(source.path(vocabulary.rsplit(".", 1)[0] + ".tiktoken"), "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            return tiktoken.Encoding("own", pat_str=source.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        tokenizer = Tokenizer.from_file(source.path(vocabulary))
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        with open(source.path(vocabulary.rsplit(".", 1)[0] + ".tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding("own", pat_str=source.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _SPACE_THEN_SPACE.search(text):
+        if any(t in text for t in self.added):
+            return np.array(self.exact(text), dtype="<u4").tobytes()
+        if self.words is None or _SPACE_THEN_SPACE.search(text):
             return np.array(self.whole(text), dtype="<u4").tobytes()
         first, *rest = text.split(" ")
         head = np.array(self.whole(first), dtype="<u4").tobytes() if first else b""

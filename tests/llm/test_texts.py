@@ -193,9 +193,9 @@ def test_token_identifiers_equal_the_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ours = Encoder(cache_words=10)
-    for text in TEXTS:
+    ours, end = Encoder(cache_words=10), "<|endoftext|>"
+    assert np.frombuffer(ours.encode(f"hello {end} world"), "<u4").tolist() == [31373, 220, 50256, 995]
+    for text in [*TEXTS, end, end * 3, f"in{end}side {end}{end}  two", f" {end} ", f"{end[:-1]} {end[1:]}", f"a \n{end}\n b", PROSE + end + PROSE]:
         assert np.frombuffer(ours.encode(text or ""), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -242,6 +242,70 @@ def test_packer_keeps_all_limits():
     assert all(a <= 64 and b <= 3 and c <= 40 for a, b, c in used.values()) and sum(a for a, _, _ in used.values()) == total
 
 
+@pytest.mark.parametrize("size", range(1, 21))
+def test_many_small_documents_need_no_padding(size):
+    packer = packing.Packer(packing.Limits(), 0)
+    for k in range(1500):
+        packer.add(packing.Piece(k, 0, size, size - 1))
+    packer.finish()
+    used, pieces = collections.Counter(), collections.Counter()
+    for piece, sequence, offset in packer.placed:
+        assert offset == used[sequence]
+        used[sequence] += piece.length
+        pieces[sequence] += 1
+    assert sum(used.values()) == 1500 * size and max(pieces.values()) <= 64
+    assert all(u & (u - 1) == 0 or 1024 - u <= packing.SPARE for u in used.values())
+
+
+def test_packing_of_conversations_by_roles(spark):
+    rng = np.random.default_rng(7)
+    rows = [(c, t, ("user", "assistant")[t % 2], " ".join(rng.choice(PROSE.split(), rng.integers(0, 120)))) for c in range(40) for t in range(int(rng.integers(1, 7)))]
+    rows += [(50, 0, "user", None), (50, 1, "assistant", "yes"), (50, 1, "assistant", "yes"), (None, None, None, "x"), *((51, t, "assistant", f"w{t}") for t in range(150))]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    made = packing.instructions(df)
+    parts = {(r.key.conversation, r.key.stretch): r.parts for r in made.collect()}
+    assert [len(parts[51, k]) for k in range(3)] == [64, 64, 22] and len(parts[50, 0]) == 2 and not parts[None, 0][0].loss
+    limits = packing.Limits(tokens=256, segments=4, loss_tokens=100)
+    out = packing.pack(made, key="key", parts="parts", limits=limits, with_ids=True).collect()
+    encoder, by_key, sequences = Encoder(), collections.defaultdict(list), collections.defaultdict(lambda: [0, 0, 0])
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        by_key[r.key.conversation, r.key.stretch].append(r)
+        used = sequences[r.sequence_id]
+        assert r.offset == used[0]
+        sequences[r.sequence_id] = [used[0] + r.length, used[1] + 1, used[2] + r.loss_tokens]
+    assert by_key.keys() == parts.keys()
+    for key, found in by_key.items():
+        made_ids = [(np.frombuffer(encoder.encode(p.text), "<u4"), p.loss) for p in parts[key]]
+        ids = np.concatenate([*(i for i, _ in made_ids), [0]])
+        bears = np.concatenate([*(np.full(len(i), loss) for i, loss in made_ids), [False]])
+        at = 0
+        for r in sorted(found, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and np.frombuffer(r.ids, "<u4").tolist() == ids[at : at + r.length].tolist()
+            assert r.loss_tokens == bears[at : at + r.length].sum()
+            at += r.length
+        assert at == len(ids)
+    used = np.array(list(sequences.values()))
+    assert (used <= [256, 4, 100]).all() and (used.max(axis=0) == [256, 4, 100]).all()
+    assert packing.pack(packing.instructions(df.limit(0)), key="key", parts="parts").count() == 0
+
+
+def test_rollup_commits(spark, tmp_path):
+    path = f"file://{tmp_path}/r"
+    one, other = rollups.Rollup(spark, path), rollups.Rollup(spark, path)
+    row = spark.createDataFrame([("s", None, "t", 1, 5)], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint")
+    odd = "../a b/%2F=é"
+    assert one.commit(odd, row) and not other.commit(odd, row) and one.committed(odd) and not one.committed("a")
+    # a writer that broke off has left a staged folder, which nothing reads
+    row.write.parquet(f"{path}/staged-broken")
+    row.write.parquet(f"{path}/staged-late")
+    assert not one._put("staged-late", one._folder(odd))
+    assert [tuple(r) for r in one.totals().collect()] == [("s", None, "t", 1, 5)]
+    assert one.commit("b", row) and one.compact() and not one.compact()
+    assert one._names("batch") == [] and not one.commit(odd, row) and one.committed("b")
+    assert one.commit("c", row) and one.compact() and other.commit("d", row)
+    assert [tuple(r) for r in other.totals().collect()] == [("s", None, "t", 4, 20)] and one._names("base") == ["base=000000000002"]
+
+
 def test_rollups_are_additive_and_idempotent(spark, docs, tmp_path):
     counts = rollups.token_counts(docs)
     rollup = rollups.Rollup(spark, f"file://{tmp_path}/r")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from larkspur.llm import archives, langid, mixing, queries, simhash
@@ -99,6 +100,46 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.apply_mix(df.limit(0)).count() == 0
 
 
+def test_mix_solves_its_dual_and_rounds_it_in_order(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(["w"] * int(n)), s) for k, (n, s) in enumerate(zip(np.exp(rng.normal(3, 1, 900)).astype(int), rng.choice(list("abcdef"), 900, p=[0.4, 0.2, 0.2, 0.1, 0.06, 0.04]), strict=True))]
+    rows += [(2000 + k, "v " * 7, "g") for k in range(30)] + [(3000, "u " * 4000, "h"), (3001, "u", "h"), (3002, None, "i")]
+    df = spark.createDataFrame([(k, t, str(s)) for k, t, s in rows], "doc_id bigint, text string, source string").repartition(3)
+    got = mixing.mix(df).join(df.drop("text"), "doc_id").collect()
+    words = sum(r.size for r in got)
+    mean = sum(r.size * np.log(r.size) for r in got if r.size) / words
+    by_source = collections.defaultdict(list)
+    for r in got:
+        by_source[r.source].append(r)
+    tilts = 0
+    for source, docs in by_source.items():
+        size, rate = np.array([r.size for r in docs], float), np.array([r.rate for r in docs])
+        target, z = docs[0].target, np.log(np.maximum(size, 1)) - mean
+        assert rate.max() <= 3 and abs(rate @ size - target) <= 1e-6 * max(target, 1)
+        if not target or target >= 3 * size.sum():
+            assert set(rate) == {3.0 if target else 0.0}
+            continue
+        # ln rate is a line in log size where the limit does not bind, and the second constraint holds by ridge
+        inside = (rate < 3) & (size > 0)
+        if len(set(size[inside])) > 2:
+            b, a = np.polyfit(z[inside], np.log(rate[inside]), 1)
+            np.testing.assert_allclose(np.log(rate[inside]), a + b * z[inside], atol=1e-6)
+            assert abs(rate * size @ z + mixing.RIDGE * target * b) <= 1e-5 * target
+            tilts += len(set(rate)) > 5
+    assert tilts >= 4
+    # copies: whole parts, then ascending hash over fractional part until the target is reached
+    def uniform(key):
+        return (xxhash.xxh64_intdigest(b"mix", xxhash.xxh64_intdigest(int(key).to_bytes(8, "little"), 42)) >> 12) / 2**52
+
+    for docs in by_source.values():
+        extra = int(docs[0].target + 0.5) - sum(int(r.rate) * r.size for r in docs)
+        want = {r.doc_id: int(r.rate) * r.size for r in docs}
+        for r in sorted((r for r in docs if r.rate % 1), key=lambda r: uniform(r.doc_id) / (r.rate % 1)):
+            want[r.doc_id] += max(0, min(r.size, extra))
+            extra -= r.size
+        assert {r.doc_id: r.taken for r in docs} == want
+
+
 LANGUAGES = {"en": "the of and to with that this from which have", "de": "der die und nicht mit auch eine werden über für", "fr": "le les des que dans est pour une avec plus"}
 
 

@@ -9,8 +9,10 @@ Kinds and scores: ``email``, ``ip`` (parts at most 255), ``card`` (13 to 19 digi
 digits) are base kinds, whose confirmed spans always stay. The method adds ``iban`` (mod-97, and the country's length or
 else the longest start that the checksum confirms, so that words in capitals and numbers behind it do no harm) and ``ssn`` (three,
 two and four digits, which only a word of context beside it confirms). A span's score is its kind's prior, more by
-``CONTEXT_GAIN`` if a word of its kind stands within ``CONTEXT`` code points, less by ``CONTEXT_LOSS`` if a word
-against it does; added kinds stay at ``THRESHOLD`` or more.
+``CONTEXT_GAIN`` if a word of its kind stands within ``CONTEXT`` code points (and before the next match of its kind),
+less by ``CONTEXT_LOSS`` if a word against it does; added kinds stay at ``THRESHOLD`` or more. Positions are added up block by block, and what several
+parts of an expression need is bound to a lambda's variable, so that it is computed once: a text with very many matches
+takes time in proportion to it as well.
 
 Defined results: a null text counts as empty and has no spans; matches that fail their check are dropped and not
 tried again from within; spans of different kinds may overlap; texts are read whole; repeated rows give repeated
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import fresh
 
 CONTEXT, CONTEXT_GAIN, CONTEXT_LOSS, THRESHOLD = 32, 0.25, 0.25, 0.5
-#: Matches whose positions are added up at a time: the work for one match does not grow with a text's matches.
-BLOCK = 256
+#: Matches that are added up at a time, and code points that are cut out of a text at a time.
+BLOCK, CHUNK = 256, 1024
 
 
 #: Characters of an account number by country.
@@ -65,47 +67,46 @@ KINDS = (
 )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(rows: Column, kind: str, after, made) -> Column:
+    """For each row x in turn ``made(at, x)``, of type ``kind``; ``at`` is 0 and then ``after(at, x)``."""
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct(after(a["at"], x).alias("at"), F.concat(a["out"], F.array(made(a["at"], x))).alias("out"))
+
+    def block(a: Column, b: Column) -> Column:
+        inner = F.aggregate(b, F.struct(a["at"].alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out")), step)
+        return _bound(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(a["out"], F.array(i["out"])).alias("out")))
+
+    last = F.floor((F.size(rows) - 1) / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, block)["out"])
+
+
+_PLACED = "struct<start:bigint,stop:bigint,value:string,near:string>"
+
+
 def _located(text: Column, kind: Kind) -> Column:
     """array<struct<start, stop, value, near>> of the pattern's matches, leftmost first, none overlapping."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    parts = F.split(text, kind.pattern, -1)
-    n = F.size(found)
-    rows = F.transform(
-        F.arrays_zip(F.slice(parts, F.lit(1), n).alias("gap"), found.alias("value"), F.slice(parts, F.lit(2), n).alias("next")),
-        lambda x: F.struct(
-            F.length(x["gap"]).alias("gap"),
-            F.length(x["value"]).alias("size"),
-            x["value"].alias("value"),
-            F.lower(F.concat(F.substring(x["gap"], -CONTEXT, CONTEXT), F.lit(" "), F.substring(x["next"], 1, CONTEXT))).alias("near"),
-        ),
-    )
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
-    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint,value:string,near:string>>)")
-
-    def total(block: Column) -> Column:
-        return F.aggregate(block, F.lit(0).cast("bigint"), lambda a, x: a + x["gap"] + x["size"])
-
-    starts = F.aggregate(
-        F.transform(blocks, total),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out")),
-        lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
-    )["out"]
-
-    def place(block: Column, start: Column) -> Column:
-        return F.aggregate(
-            block,
-            F.struct(start.alias("at"), none.alias("out")),
-            lambda a, x: F.struct(
-                (a["at"] + x["gap"] + x["size"]).alias("at"),
-                F.concat(
-                    a["out"],
-                    F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("stop"), x["value"].alias("value"), x["near"].alias("near"))),
-                ).alias("out"),
-            ),
-        )["out"]
-
-    placed = F.flatten(F.zip_with(blocks, starts, place))
-    return F.when(n > 0, placed).otherwise(none)
+
+    def row(x: Column) -> Column:
+        near = F.lower(F.concat(F.substring(x["gap"], -CONTEXT, CONTEXT), F.lit(" "), F.substring(x["next"], 1, CONTEXT)))
+        return F.struct(F.length(x["gap"]).alias("gap"), F.length(x["value"]).alias("size"), x["value"].alias("value"), near.alias("near"))
+
+    def rows(s: Column) -> Column:
+        n = F.size(s["found"])
+        return F.transform(F.arrays_zip(F.slice(s["parts"], F.lit(1), n).alias("gap"), s["found"].alias("value"), F.slice(s["parts"], F.lit(2), n).alias("next")), row)
+
+    def place(at: Column, x: Column) -> Column:
+        return F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("stop"), x["value"].alias("value"), x["near"].alias("near"))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("found"), F.split(text, kind.pattern, -1).alias("parts"))
+    return _bound(_bound(both, rows), lambda r: _running(r, _PLACED, lambda at, x: at + x["gap"] + x["size"], place))
 
 
 def _luhn(digits: Column) -> Column:
@@ -193,17 +194,27 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     name = fresh(docs, "spans")
     held = docs.withColumn(name, F.when(F.col(text).isNotNull(), spans(F.col(text))))
     ordered = F.array_sort(F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["kind"].alias("kind"))))
-    empty = F.expr("cast(array() as array<string>)")
-
-    def step(a: Column, x: Column) -> Column:
-        inside, stop = x["start"] < a["at"], -x["back"]
-        gap = F.substring(F.col(text), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
-        new = F.concat(a["out"], F.array(gap, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))
-        return F.struct(F.greatest(a["at"], stop).alias("at"), F.when(inside, a["out"]).otherwise(new).alias("out"))
-
-    def end(a: Column) -> Column:
-        rest = F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(F.col(text)))
-        return F.concat(F.array_join(a["out"], ""), rest)
 
-    clean = F.aggregate(ordered, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, end)
+    def between(chunks: Column, start: Column, stop: Column | None) -> Column:
+        """The text from ``start`` to ``stop`` (or its end), out of chunks of ``CHUNK`` code points."""
+        first, skipped = F.floor(start / CHUNK).cast("int"), (start % CHUNK).cast("int")
+        if stop is None:
+            rest = F.array_join(F.slice(chunks, first + 2, F.greatest(F.size(chunks) - first, F.lit(0))), "")
+            return F.concat(F.coalesce(F.substring(F.get(chunks, first), skipped + 1, F.lit(CHUNK)), F.lit("")), rest)
+        last, taken = F.floor(stop / CHUNK).cast("int"), (stop % CHUNK).cast("int")
+        head = F.coalesce(F.substring(F.get(chunks, first), skipped + 1, F.when(last == first, taken - skipped).otherwise(CHUNK)), F.lit(""))
+        middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        end = F.when(last > first, F.coalesce(F.substring(F.get(chunks, last), F.lit(1), taken), F.lit(""))).otherwise(F.lit(""))
+        return F.concat(head, middle, end)
+
+    def cleaned(s: Column) -> Column:
+        def part(at: Column, x: Column) -> Column:
+            new = F.concat(between(s["chunks"], at, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+            return F.when(x["start"] >= at, new).otherwise(F.lit(""))
+
+        made = F.array_join(_running(s["ordered"], "string", lambda at, x: F.greatest(at, -x["back"]), part), "")
+        return F.concat(made, between(s["chunks"], -F.array_min(F.transform(s["ordered"], lambda x: x["back"])), None))
+
+    chunks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    clean = _bound(F.struct(chunks.alias("chunks"), ordered.alias("ordered")), cleaned)
     return held.withColumn(text, F.when(F.size(name) > 0, clean).otherwise(F.col(text))).drop(name)

@@ -4,11 +4,13 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larkspur.llm import jpeg_media, packing, pii, quality, rollups, shingle_join, simhash, suffix_dedup
@@ -75,8 +77,6 @@ def plain_spans(t):
 
 
 def test_personal_data(spark, docs):
-    from pyspark.sql import functions as F
-
     found = pii.find(docs)
     rows = collected(found.select("doc_id", pii.listing(F.filter("spans", lambda x: x["base"])).alias("base"), pii.listing(F.col("spans")).alias("all"), "spans"))
     for k, t in enumerate(TEXTS):
@@ -89,6 +89,95 @@ def test_personal_data(spark, docs):
     assert pii.find(empty(docs)).count() == 0
 
 
+def plain_added(t):
+    """The added kinds by scanning: account numbers whose letters count 10 to 35 leave 1 modulo 97, numbers with context."""
+
+    def scored(matches, k, prior, words, against=(), more=""):
+        """The context of a match ends at the matches of its kind beside it."""
+        start, stop = matches[k]
+        low = max(start - 32, matches[k - 1][1] if k else 0)
+        high = min(stop + 32, matches[k + 1][0] if k + 1 < len(matches) else len(t))
+        near = f"{t[low:start]} {t[stop:high]} {more}".lower()
+        found, bad = (any(re.search(rf"\b(?:{w})\b", near) for w in x) for x in (words, against))
+        return prior + 0.25 * found - 0.25 * bad
+
+    def right(v):
+        v = v.replace(" ", "")
+        return len(v) >= 15 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+    known = {x[:2]: int(x[2:]) for x in pii._LENGTHS.split()}
+    out, matches, tries, at = [], [], [], 0
+    while m := re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}").search(t, at):
+        at = m.start() + 1
+        tail = re.compile(r"(?: ?[A-Z0-9])*").match(t, m.end()).group()
+        ends = [k for k in range(len(tail) + 1) if (k == 0 or tail[k - 1] != " ") and not re.match("[A-Za-z0-9]", t[m.end() + k : m.end() + k + 1])]
+        sizes = {k: 4 + len(tail[:k].replace(" ", "")) for k in ends}
+        exact = [k for k in ends if sizes[k] == known.get(m.group()[:2])]
+        loose = [k for k in ends if 15 <= sizes[k] <= 34]
+        if exact or loose:
+            at = m.end() + (exact or loose[-1:])[0]
+            matches.append((m.start(), at))
+            tries.append([at] if exact else sorted((m.end() + k for k in ends if m.end() + k <= at), reverse=True))
+    for k, (start, stop) in enumerate(matches):
+        end = next((e for e in tries[k] if right(t[start:e])), None)
+        if end and scored(matches, k, 0.8, ("iban", "bank", "account", "transfer"), more=t[end:stop]) >= 0.5:
+            out.append(f"iban:{start}:{end}")
+    matches = [m.span() for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t)]
+    return out + [f"ssn:{a}:{b}" for k, (a, b) in enumerate(matches) if scored(matches, k, 0.3, ("ssn", "social security", "taxpayer"), ("phone", "order")) >= 0.5]
+
+
+def test_added_kinds_by_scanning(spark):
+    rng = np.random.default_rng(12)
+
+    def account(country, digits):
+        body = "".join(map(str, rng.integers(0, 10, digits)))
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        return f"{country}{check:02d}{body}"
+
+    def spaced(v):
+        return " ".join(v[k : k + 4] for k in range(0, len(v), 4))
+
+    texts = []
+    for _ in range(150):
+        bits = []
+        for _ in range(int(rng.integers(1, 7))):
+            number = account(*[("DE", 18), ("NO", 11), ("ZZ", 15), ("ZZ", 22), ("NL", 14)][rng.integers(0, 5)])
+            wrong = number[:-1] + str((int(number[-1]) + 1) % 10)
+            bits.append([number, spaced(number), wrong, spaced(wrong), number + "X", "NOW PAY 12", "the word", "bank", "ssn", "order", "123-45-6789", "5-123-45-6789", "A B C", "taxpayer id"][rng.integers(0, 14)])
+        texts.append(" ".join(bits))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = collected(pii.find(df).select("doc_id", pii.listing(F.filter("spans", lambda x: ~x["base"])).alias("added")))
+    for k, t in enumerate(texts):
+        assert found[k].added == ",".join(plain_added(t)), t
+
+
+def test_very_many_spans_take_time_in_proportion(spark, tmp_path):
+    def seconds(n):
+        path = f"file://{tmp_path}/{n}"
+        spark.createDataFrame([(1, "1." * (4 * n) + " mail a@b.c " * (n // 10))], "doc_id int, text string").write.parquet(path)
+        began = time.perf_counter()
+        found = pii.find(spark.read.parquet(path)).select(F.filter("spans", lambda x: x["kind"] == "ip").alias("ip"), F.filter("spans", lambda x: x["kind"] == "email").alias("email")).first()
+        clean = pii.redact(spark.read.parquet(path)).first().text
+        assert [(s.start, s.stop) for s in found.ip] == [(8 * k, 8 * k + 7) for k in range(n)] and len(found.email) == n // 10
+        assert clean == "<IP>." * n + " mail <EMAIL> " * (n // 10)
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    assert seconds(50_000) < 30
+
+
+def test_redaction_across_chunks(spark):
+    texts = ["\U0001f600é" * 511 + f"{'x' * k} a@b.c 10.0.0.1" + "漢" * 1500 + " a.b@c.d 1.2.3.4" for k in range(6)] + ["a@b.c", "a@b.c" + "z " * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    clean = collected(pii.redact(df))
+    for k, t in enumerate(texts):
+        out, at = [], 0
+        for start, stop, kind in sorted((int(a), int(b), kind) for kind, a, b in (x.split(":") for x in plain_spans(t))):
+            out += [t[at:start], f"<{kind.upper()}>"]
+            at = stop
+        assert clean[k].text == "".join([*out, t[at:]])
+
+
 def test_personal_data_in_blocks_of_matches(spark):
     text = " ".join(f"u{k}@h{k}.org" for k in range(700))
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")

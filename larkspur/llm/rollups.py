@@ -51,7 +51,7 @@ def counted(docs: DataFrame, texts: dict[str, str], vocabularies: dict[str, str]
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns = {c: batch.column(len(rest) + k).to_pylist() for k, c in enumerate(read)}
-            counts = [pa.array([len(encoders[vocabularies[n]].encode(t or "")) // 4 for t in columns[texts[n]]], pa.int64()) for n in names]
+            counts = [pa.array([encoders[vocabularies[n]].count(t or "") for t in columns[texts[n]]], pa.int64()) for n in names]
             return pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *counts], names=[*(f"_{k}" for k in range(len(rest))), *names])
 
         return work

@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) is a temporary folder made and set for the session.
+    Only where that is unset in local mode (tests) is a temporary folder made and set for the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -49,19 +51,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about ``most_bytes``, one row at least: a worker's memory follows the longest row."""
+    for batch in batches:
+        rows = batch.num_rows
+        step = max(1, int(rows * most_bytes / max(batch.nbytes, 1)))
+        for at in range(0, rows, step):
+            yield batch.slice(at, step)
+
+
 def in_batches(
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most_bytes: int = 2 << 20
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for ``mapInArrow`` that hands over slices of about ``most_bytes`` (one row at least), so that
-    a worker's memory follows the longest row and not the batch. ``make`` runs once in each task."""
+    """A function for ``mapInArrow`` that hands over ``slices``. ``make`` runs once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            rows = batch.num_rows
-            step = max(1, int(rows * most_bytes / max(batch.nbytes, 1)))
-            for at in range(0, rows, step):
-                yield work(batch.slice(at, step))
+        yield from map(make(), slices(batches, most_bytes))
         pa.default_memory_pool().release_unused()  # the worker lives on, for other tasks
 
     return run

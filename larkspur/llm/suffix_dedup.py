@@ -7,11 +7,13 @@ Strings that are equal must meet in one task, without every position of the corp
    strings share their anchor, so a document becomes about one *segment* for 39 bytes: the strings with one anchor,
    together. Equal strings have equal anchors. A task collapses equal segments of its slice before anything is sent.
 2. Segments meet by anchor. Equal ones are settled by their hashes: all but the earliest repeat. An anchor with one
-   segment only is done. What is left are anchors with different segments, as at the edges of shared passages.
+   segment only is done. What is left are anchors with different segments, as at the edges of shared passages; they are
+   numbered as they pass, so that no task holds an anchor's segments.
 3. Their bytes form shards, whose suffixes are sorted by external induced sorting (``induced.py``). Runs of suffixes
    with common prefixes of 100 bytes are equal strings; all but the earliest of a run repeat.
-4. Anchors found very often, with ever new surroundings, are dealt out string by string, by the strings' own hashes,
-   so that no task gets them all.
+4. Anchors with ``OFTEN`` different segments or more, by that exact number, are dealt out string by string, by the
+   strings' own hashes, so that no task sorts them all. Those that are found ``STRETCH_OFTEN`` times in a stretch of the
+   corpus are not even sent to step 2, which spreads the work and leaves the result as it is.
 5. Repeated strings go back to their documents, where they are joined to removed runs.
 
 Nothing is dropped or capped: a frequent anchor changes only the way in which its strings meet. Positions travel
@@ -33,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import induced
-from larkspur.llm.common import in_batches, stored, text_bytes
+from larkspur.llm.common import in_batches, slices, stored, text_bytes
 
 WINDOW, GRAM = 100, 24
-#: Different segments at an anchor from which on its strings are dealt out one by one; counts of fewer than
-#: ``SLICE_OFTEN`` in a slice of the corpus are not added up for this.
-OFTEN, SLICE_OFTEN = 4096, 4
+#: Different segments at an anchor from which on its strings are dealt out one by one. Anchors whose counts in stretches
+#: of ``STRETCH`` segments, where they are ``STRETCH_OFTEN`` or more, come to as many are known before; of the others, a
+#: stretch has fewer each.
+OFTEN, STRETCH_OFTEN, STRETCH = 4096, 4, 1 << 21
 #: Bytes of text in a slice, and of segments in a shard that is sorted at a time.
 SLICE_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
 #: Frequent anchors up to which their table is broadcast.
@@ -112,8 +115,8 @@ def _rows(kind: int, doc, lo, w, anchor=None, seg=None) -> pa.RecordBatch:
     return pa.record_batch(columns, _NAMES)
 
 
-def _collapsed(doc, lo, w, anchor, seg, count: bool = True) -> pa.RecordBatch:
-    """One slice's segments: the earliest of equal ones, the others as repeated, and counts of frequent anchors."""
+def _collapsed(doc, lo, w, anchor, seg) -> tuple[pa.RecordBatch, np.ndarray]:
+    """One slice's segments: the earliest of equal ones, the others as repeated. And the anchors of the earliest."""
     order = np.lexsort((lo, doc, seg, anchor))
     doc, lo, w, anchor, seg = doc[order], lo[order], w[order], anchor[order], seg[order]
     new = np.ones(len(doc), bool)
@@ -121,12 +124,9 @@ def _collapsed(doc, lo, w, anchor, seg, count: bool = True) -> pa.RecordBatch:
     head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     again = (doc != doc[head]) | (lo != lo[head])
     parts = [_rows(SEGMENT, doc[new], lo[new], w[new], anchor[new], seg[new]), _rows(REPEATED, doc[again], lo[again], w[again])]
-    if count:
-        found, times = np.unique(anchor[new], return_counts=True)
-        found, times = found[times >= SLICE_OFTEN], times[times >= SLICE_OFTEN]
-        zero = np.zeros(len(found), np.int64)
-        parts.append(_rows(COUNTED, times.astype(np.int64), zero, zero, found))
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else parts[0]
+    if not len(doc):
+        return parts[0], anchor
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0], anchor[new]
 
 
 def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,16 +134,29 @@ def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), stops - np.diff(stops, prepend=0), stops
 
 
-def _scan():
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents: the segments of each slice, and counts of anchors that are frequent in a stretch of slices."""
     grams, whole = Hashes(1), Hashes(2)
+    anchors: list[np.ndarray] = []
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def counts() -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate([*anchors, np.zeros(0, np.uint64)]), return_counts=True)
+        found, times = found[times >= STRETCH_OFTEN], times[times >= STRETCH_OFTEN]
+        zero = np.zeros(len(found), np.int64)
+        anchors.clear()
+        return _rows(COUNTED, times.astype(np.int64), zero, zero, found)
+
+    for batch in slices(batches, SLICE_BYTES):
         data, starts, stops = _buffer(text_bytes(batch.column(1)))
         doc, lo, w, anchor, seg = segments(data, starts, stops, grams, whole)
         keys = batch.column(0).to_numpy()
-        return _collapsed(keys[doc], lo - starts[doc], w, anchor, seg)
-
-    return work
+        out, found = _collapsed(keys[doc], lo - starts[doc], w, anchor, seg)
+        anchors.append(found)
+        yield out
+        if sum(map(len, anchors)) >= STRETCH:
+            yield counts()
+    yield counts()
+    pa.default_memory_pool().release_unused()
 
 
 def _strings():
@@ -162,7 +175,7 @@ def _strings():
         doc, lo = np.concatenate(docs), np.concatenate(los)
         at = lo + starts[doc]
         keys = batch.column(0).to_numpy()
-        return _collapsed(keys[doc], lo, np.ones(len(doc), np.int64), one.of(at, at + WINDOW), two.of(at, at + WINDOW), count=False)
+        return _collapsed(keys[doc], lo, np.ones(len(doc), np.int64), one.of(at, at + WINDOW), two.of(at, at + WINDOW))[0]
 
     return work
 
@@ -193,21 +206,40 @@ def _by_anchor(batches: Iterator[pa.RecordBatch], column: int, least_rows: int =
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments by anchor: all but the earliest of equal ones are repeated; where several differ, they stay open."""
-    for table in _by_anchor(batches, 3):
-        doc, lo, w, anchor, seg = (table.column(k).to_numpy() for k in range(5))
-        order = np.lexsort((lo, doc, seg, anchor))
-        doc, lo, w, anchor, seg = doc[order], lo[order], w[order], anchor[order], seg[order]
-        start = np.ones(len(doc), bool)
+    """Segments in the order of (anchor, seg, document, place): all but the first of equal ones are repeated. Where an
+    anchor has several different ones, these stay open, with their number at the anchor in place of ``seg``. Of what went
+    before, only the last row's segment and a first segment that has not met another yet are kept."""
+    last: np.ndarray | None = None  # doc, lo, w, anchor, seg of the last different segment
+    number, waits = -1, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        if last is not None:
+            rows = np.concatenate([last[:, None], rows], axis=1)
+        doc, lo, w, anchor, seg = rows
+        n = len(doc)
+        start = np.ones(n, bool)
         start[1:] = anchor[1:] != anchor[:-1]
         new = start.copy()
         new[1:] |= seg[1:] != seg[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         again = (doc != doc[head]) | (lo != lo[head])
+        # numbers of the different segments at their anchors; the first row's goes on from the batch before
         group = np.cumsum(start) - 1
-        open_ = new & (np.bincount(group, new)[group] > 1)
+        count = np.cumsum(new)
+        place = count - count[np.flatnonzero(start)][group]
+        if last is not None:
+            place[group == 0] += number
+        several = np.bincount(group[new], minlength=group[-1] + 1) > 1
+        if last is not None and number > 0:
+            several[0] = True
+        open_ = new & several[group]
+        if last is not None and not waits:
+            open_[0] = False  # it has been handed on
         yield _rows(REPEATED, doc[again], lo[again], w[again])
-        yield _rows(OPEN, doc[open_], lo[open_], w[open_], anchor[open_])
+        yield _rows(OPEN, doc[open_], lo[open_], w[open_], anchor[open_], place[open_])
+        last, number, waits = rows[:, head[-1]], int(place[head[-1]]), not several[group[-1]]
 
 
 def _cut():
@@ -311,30 +343,37 @@ def _finish():
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[DataFrame]:
     """Stored tables whose rows of kind REPEATED say which strings (document, first place, number) also start earlier."""
     own = docs.select(F.coalesce(F.col(key), F.lit(LAST)).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    found = stored(own.mapInArrow(in_batches(_scan, SLICE_BYTES), _SCHEMA), "segments")
-    often = found.where(F.col("kind") == COUNTED).groupBy("anchor").agg(F.sum("doc").alias("times"))
-    often = stored(often.where(F.col("times") >= OFTEN).select("anchor"), "often")
-    several = often.count()
-    few = F.broadcast(often) if several <= BROADCAST_OFTEN else often
+    found = stored(own.mapInArrow(_scan, _SCHEMA), "segments")
     single = found.where(F.col("kind") == SEGMENT)
-    meeting = single.join(few, "anchor", "left_anti") if several else single
     columns = ["doc", "lo", "w", "anchor", "seg"]
-    settled = meeting.select(columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, _SCHEMA)
-    tables = [found, stored(settled, "settled")]
 
+    def settled(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.select(columns).repartition(*by).sortWithinPartitions("anchor", "seg", "doc", "lo").mapInArrow(_settle, _SCHEMA)
+
+    def split(rows: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows without and with the anchors."""
+        several = anchors.count()
+        few = F.broadcast(anchors) if several <= BROADCAST_OFTEN else anchors
+        return (rows.join(few, "anchor", "left_anti"), rows.join(few, "anchor", "left_semi")) if several else (rows, None)
+
+    counted = found.where(F.col("kind") == COUNTED).groupBy("anchor").agg(F.sum("doc").alias("times"))
+    meeting, dealt = split(single, stored(counted.where(F.col("times") >= OFTEN).select("anchor"), "often"))
+    tables = [found, stored(settled(meeting, "anchor"), "settled")]
     open_ = tables[1].where(F.col("kind") == OPEN)
+    open_, more = split(open_, stored(open_.where(F.col("seg") >= OFTEN).select("anchor").distinct(), "often"))
+
     marks = open_.groupBy("doc").agg(*(F.collect_list(c).alias(c) for c in ("lo", "w", "anchor")))
     cut = own.join(marks, "doc").select("doc", "text", "lo", "w", "anchor")
     cut = cut.mapInArrow(in_batches(_cut, SLICE_BYTES), "doc bigint, lo bigint, w bigint, anchor bigint, bytes binary")
     tables.append(stored(cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, _SCHEMA), "sorted"))
 
-    if several:
-        rows = single.join(few, "anchor", "left_semi")
+    often = [x.select("doc", "lo", "w") for x in (dealt, more) if x is not None]
+    if often:
+        rows = often[0].unionByName(often[-1]) if len(often) > 1 else often[0]
         marks = rows.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("w").alias("w"))
         strings = own.join(marks, "doc").select("doc", "text", "lo", "w")
         strings = stored(strings.mapInArrow(in_batches(_strings, SLICE_BYTES), _SCHEMA), "strings")
-        met = strings.where(F.col("kind") == SEGMENT).select(columns).repartition("anchor", "seg").sortWithinPartitions("anchor")
-        tables += [strings, stored(met.mapInArrow(_settle, _SCHEMA), "met")]
+        tables += [strings, stored(settled(strings.where(F.col("kind") == SEGMENT), "anchor", "seg"), "met")]
     return tables
 
 

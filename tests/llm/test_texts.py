@@ -430,10 +430,11 @@ def plain_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("often", [2, 4096])
-def test_repeated_passages(spark, docs, monkeypatch, often):
+@pytest.mark.parametrize(("often", "counted"), [(2, 2), (2, 1 << 30), (4096, 2)])
+def test_repeated_passages(spark, docs, monkeypatch, often, counted):
     monkeypatch.setattr(suffix_dedup, "OFTEN", often)
-    monkeypatch.setattr(suffix_dedup, "SLICE_OFTEN", 2)
+    monkeypatch.setattr(suffix_dedup, "STRETCH_OFTEN", counted)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 200)
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 3000)
     rng = np.random.default_rng(9)
     words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(300)]

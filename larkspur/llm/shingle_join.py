@@ -9,9 +9,9 @@ their sets' Jaccard similarity is 4/5 or more. Equal sets are one node, so copie
 
 Large groups are tied first: SimHash's candidates, and each prefix shingle's smallest node with its other nodes. Then
 only nodes of one shingle that are still in different components are compared with each other, in chunks as in
-``simhash``. Candidates pass a filter that never drops a link (sizes, and parities of the shingles' hashes in 512
-classes: sets differ in as many shingles as parities at least), then one that looks at a sixth of the shingles (sets
-differ in as many as these do at least). What is left is decided by whole sets.
+``simhash``. Candidates pass filters that never drop a link: sizes, and parities of the shingles' hashes in classes (sets
+differ in as many shingles as parities at least), 512 classes first and then, for larger sets, as many as twice their
+shingles. What is left is decided by whole sets.
 
 Defined results: null, empty and blank texts are copies of each other; documents with fewer words than a shingle
 are one shingle; texts are read whole; repeated rows get the same component; an empty table gives no rows.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import simhash
@@ -35,8 +35,8 @@ from larkspur.llm.components import components
 SHINGLE, SIMILARITY = 5, (4, 5)
 #: Longs of parities, and nodes of a shingle (or of a chunk of them) that one task compares.
 PARITIES, CHUNK = 8, 1024
-#: One shingle in so many goes, by 32 bits, into ``part``; fewer than nine, as similar sets may differ in a ninth.
-PART = 6
+#: Nodes up to which those whose texts are read again are broadcast; beyond, they are joined by shuffle.
+BROADCAST_NODES = 300_000
 _MAPS = [f"p{k}" for k in range(PARITIES)]
 
 
@@ -49,23 +49,42 @@ def _node(values: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(values.tobytes()), "big", signed=True)
 
 
-def _parities(values: np.ndarray) -> np.ndarray:
-    odd = np.bincount((values & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+def _parities(values: np.ndarray, longs: int = PARITIES) -> np.ndarray:
+    """The parities of the numbers of values in ``64 * longs`` classes; longs is a power of two."""
+    odd = np.bincount((values & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _wide(values: np.ndarray) -> np.ndarray:
+    """Parities in two classes a value at least; none where ``PARITIES`` longs have as many."""
+    longs = 1 << max(0, 2 * len(values) - 1).bit_length() >> 6
+    return _parities(values, longs) if longs > PARITIES else np.zeros(0, np.int64)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """In how many parities two wide maps differ, the larger one folded to the smaller one's classes."""
+
+    def folded(a: Column, b: Column) -> Column:
+        half = F.size(a) / 2
+        return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), half.cast("int")), F.slice(a, half.cast("int") + 1, half.cast("int")), lambda u, v: u.bitwiseXOR(v))).otherwise(a)
+
+    # sets whose sizes pass have maps of one size or of two neighbouring ones
+    counts = F.zip_with(folded(x, y), folded(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.aggregate(counts, F.lit(0), lambda a, v: a + v)).otherwise(0)
+
+
 def _described(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``key, node, fp, n``, the parities, ``prefix`` and ``part`` of every document."""
+    """``key, node, fp, n``, the parities, ``prefix`` and ``wide`` of every document."""
     kind = dict(docs.dtypes)[key]
     least, whole = SIMILARITY
 
-    def listed(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    def listed(arrays: list[np.ndarray]) -> pa.ListArray:
         ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, kind)])))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fixed, prefixes, parts = [], [], []
+            fixed, prefixes, wide = [], [], []
             for raw in text_bytes(batch.column(1)):
                 all_ = simhash.digests(raw, shingle)
                 values = np.unique(np.frombuffer(all_, ">u8").astype(np.uint64))
@@ -73,14 +92,14 @@ def _described(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 print_ = np.array([simhash.majority(all_)], np.uint64).view(np.int64)
                 fixed.append(np.concatenate([[_node(values)], print_, [n], _parities(values)]))
                 prefixes.append(values[: n - -(-least * n // whole) + 1 if n else 0].view(np.int64))
-                parts.append(np.unique((values[values % np.uint64(PART) == 0] >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                wide.append(_wide(values))
             columns = np.array(fixed, np.int64).reshape(len(fixed), 3 + PARITIES).T
-            lists = [listed(prefixes, np.int64), listed(parts, np.int32)]
-            return pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), *lists], ["key", "node", "fp", "n", *_MAPS, "prefix", "part"])
+            lists = [listed(prefixes), listed(wide)]
+            return pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), *lists], ["key", "node", "fp", "n", *_MAPS, "prefix", "wide"])
 
         return work
 
-    schema = f"key {kind}, node bigint, fp bigint, n bigint, {', '.join(f'{m} bigint' for m in _MAPS)}, prefix array<bigint>, part array<int>"
+    schema = f"key {kind}, node bigint, fp bigint, n bigint, {', '.join(f'{m} bigint' for m in _MAPS)}, prefix array<bigint>, wide array<bigint>"
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(in_batches(make), schema)
 
 
@@ -104,15 +123,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (gram, node) in order: the rows of grams with several nodes, with the smallest of them."""
+    """Of (gram, node, n) in order: the rows of grams with several nodes, with the smallest of them."""
     for rows in _groups(batches):
-        rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])]
+        rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])]
         new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
         start = np.flatnonzero(new)
         size = np.diff(start, append=rows.shape[1])
-        lead = np.repeat(rows[1, start], size)
+        lead, lead_n = np.repeat(rows[1, start], size), np.repeat(rows[2, start], size)
         kept = np.repeat(size > 1, size)
-        yield pa.record_batch([pa.array(rows[0, kept]), pa.array(rows[1, kept]), pa.array(lead[kept])], ["gram", "node", "lead"])
+        yield pa.record_batch([pa.array(x[kept]) for x in (*rows, lead, lead_n)], ["gram", "node", "n", "lead", "lead_n"])
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,18 +152,27 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, first: DataFrame, parts: DataFrame, docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+def _fit(n: Column, m: Column) -> Column:
+    """May sets of these sizes be similar enough?"""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """The pairs of nodes ``a, b`` whose sets are similar enough."""
-    facts = first.select("node", "n", *_MAPS)
-    sides = [facts.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", *_MAPS))) for s in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
+
+    def joined(pairs: DataFrame, facts: list[str]) -> DataFrame:
+        for s in "ab":
+            pairs = pairs.join(first.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in facts)), s)
+        return pairs
+
+    both = joined(pairs, ["n", *_MAPS])
     differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in _MAPS), F.lit(0))
-    fits = (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (9 * differ <= F.col("a_n") + F.col("b_n"))
-    pairs = both.where(fits).select("a", "b", "a_n", "b_n")
-    pairs = pairs.join(parts.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(parts.select(F.col("node").alias("b"), F.col("part").alias("y")), "b")
-    differ = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
-    pairs = stored(pairs.where(9 * differ <= F.col("a_n") + F.col("b_n")).select("a", "b", "a_n", "b_n"), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first.select("node", "first"), "node")
+    most = F.col("a_n") + F.col("b_n")
+    pairs = both.where(_fit(F.col("a_n"), F.col("b_n")) & (9 * differ <= most)).select("a", "b", "a_n", "b_n")
+    pairs = joined(pairs, ["wide"]).where(9 * _apart(F.col("a_wide"), F.col("b_wide")) <= most)
+    pairs = stored(pairs.select("a", "b", "a_n", "b_n"), "candidates")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first.select("node", "first"), "node"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,18 +200,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """``key, component_id`` for every document."""
     told = stored(_described(docs, key, text, shingle), "shingles")
     # any row of a node has the node's facts; its text is read again by a document's identifier
-    first = stored(told.groupBy("node").agg(F.min("key").alias("first"), *(F.min(c).alias(c) for c in ("fp", "n", *_MAPS))), "nodes")
-    parts = stored(told.groupBy("node").agg(F.first("part").alias("part")), "parts")
-    grams = told.select(F.explode("prefix").alias("gram"), "node").repartition("gram").sortWithinPartitions("gram", "node")
-    shared = stored(grams.mapInArrow(_shared, "gram bigint, node bigint, lead bigint"), "shared")
+    first = stored(told.groupBy("node").agg(F.min("key").alias("first"), *(F.min(c).alias(c) for c in ("fp", "n", *_MAPS)), F.first("wide").alias("wide")), "nodes")
+    grams = told.select(F.explode("prefix").alias("gram"), "node", "n").repartition("gram").sortWithinPartitions("gram", "node")
+    shared = stored(grams.mapInArrow(_shared, "gram bigint, node bigint, n bigint, lead bigint, lead_n bigint"), "shared")
 
     prints = stored(first.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
     reps = [prints.select(F.col("fp").alias(s), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
     forest = simhash.links(prints.select("fp")).join(reps[0], "a").join(reps[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     alike = first.join(prints, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    star = shared.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    star = shared.where(_fit(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     pairs = forest.unionByName(alike).unionByName(star).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tied = _verified(pairs, first, parts, docs, key, text, shingle)
+    tied = _verified(pairs, first, docs, key, text, shingle)
 
     label = stored(components(tied).withColumnRenamed("root", "label"), "labels")
     rows = stored(shared.join(label, "node", "left").select("gram", "node", "lead", F.coalesce("label", "node").alias("label")), "labelled")
@@ -197,7 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         .select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "lead", "label", "n", *_MAPS)
     )
     pairs = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_crossing, "a bigint, b bigint").distinct()
-    late = _verified(pairs, first, parts, docs, key, text, shingle)
+    late = _verified(pairs, first, docs, key, text, shingle)
 
     root = stored(components(tied.unionByName(late)), "classes")
     rooted = stored(first.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"), "rooted")

@@ -11,8 +11,11 @@ bits are added up, and a pair is dropped as soon as it exceeds the budget. A nod
 fingerprints, and all pairs of a level are handled at once in numpy. What leaves a task is a spanning forest of the
 links it found, never the links themselves: as many edges as fingerprints at most.
 
-A trie with more than ``CHUNK`` fingerprints is dealt out by hash as pairs of chunks, each a task's worth, which
-compares every pair of its fingerprints exactly once or more. No candidate is dropped anywhere.
+A trie with more than ``SPLIT`` fingerprints is split again in the same way: the bits that its fingerprints do not share
+yet make six blocks, of which two agree in a linked pair, and each pair of blocks gives narrower tries. So a
+fingerprint goes to fifteen tries more, not to as many as the trie is large. After ``LEVELS`` levels 45 bits or more are
+shared. What then has more than ``CHUNK`` fingerprints is dealt out by hash as pairs of chunks, each a task's worth,
+which compares every pair of its fingerprints exactly once or more. No candidate is dropped anywhere.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; documents with fewer
 words than a shingle are one shingle; texts are read whole; repeated rows get the same component; an empty table
@@ -36,8 +39,9 @@ from larkspur.llm.components import components
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Lowest bit and width of the six blocks; BUDGET + 2 blocks, so that two always agree.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: Fingerprints of a trie (or of a chunk of it) that one task joins.
-CHUNK = 1024
+#: Fingerprints of a trie (or of a chunk of it) that one task joins, of a trie that is not split again, and levels of
+#: splitting. A split costs fifteen copies, as many as chunks in a trie of this size.
+CHUNK, SPLIT, LEVELS = 1024, 15 * 1024, 3
 #: Pairs of trie nodes with so many pairs of leaves are compared leaf by leaf.
 LEAVES = 64
 
@@ -171,23 +175,47 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(held)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """``a, b``: a spanning forest of the links between the distinct fingerprints ``fp``."""
-    pairs = [(x, y) for k, x in enumerate(BLOCKS) for y in BLOCKS[k + 1 :]]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _pairs_of_blocks(blocks: list[int]) -> list[int]:
+    return [x | y for k, x in enumerate(blocks) for y in blocks[k + 1 :]]
 
-    def block(low: int, width: int):
-        return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
 
-    keys = F.array(*(F.shiftleft(F.shiftleft(block(*x), 11).bitwiseOR(block(*y)), 4).bitwiseOR(F.lit(k)) for k, (x, y) in enumerate(pairs)))
-    rows = distinct.select("fp", F.explode(keys).alias("trie"))
-    sizes = stored(rows.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1"), "tries")
+def _narrower(mask: int) -> list[int]:
+    """The masks of a trie's tries: its own bits and two of the six blocks of the others."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    ends = [len(free) * k // 6 for k in range(7)]
+    return [mask | more for more in _pairs_of_blocks([sum(1 << b for b in free[a:z]) for a, z in zip(ends, ends[1:], strict=False)])]
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest of the links between the distinct fingerprints ``fp``."""
+    spark = distinct.sparkSession
+    masks = _pairs_of_blocks([(1 << width) - 1 << low for low, width in BLOCKS])
+    rows = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
     chunks = F.ceil(F.col("n") / F.lit(CHUNK))
     own = F.pmod(F.xxhash64("fp"), chunks)
-    dealt = (
-        rows.join(sizes, "trie")
-        .select("trie", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("other"))
-        .select(F.xxhash64("trie", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "fp")
-    )
+    dealt = None
+    for level in range(LEVELS):
+        rows = rows.withColumn("trie", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        sizes = stored(rows.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1"), "tries")
+        large = sizes.where(F.col("n") > SPLIT).select("trie")
+        deeper = level + 1 < LEVELS and not large.isEmpty()
+        part = (
+            rows.join(sizes.where(F.col("n") <= SPLIT) if deeper else sizes, "trie")
+            .select("trie", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("other"))
+            .select(F.xxhash64("trie", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "fp")
+        )
+        dealt = part if dealt is None else dealt.unionByName(part)
+        if not deeper:
+            break
+        # fifteen masks for each of fifteen, and once more: a table of fixed size
+        inner = spark.createDataFrame([(_signed(m), [_signed(x) for x in _narrower(m)]) for m in masks], "mask bigint, inner array<bigint>")
+        masks = sorted({x for m in masks for x in _narrower(m)})
+        split = stored(rows.join(large, "trie", "left_semi").select("fp", "mask"), "split")
+        rows = split.join(F.broadcast(inner), "mask").select("fp", F.explode("inner").alias("mask"))
     return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_forest, "a bigint, b bigint")
 
 

@@ -216,9 +216,22 @@ def test_simhash_components(spark, docs):
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [4, 1024])
-def test_simhash_links_of_a_dense_group(spark, monkeypatch, chunk):
+def test_narrower_tries_share_more_bits():
+    for mask in [0, (1 << 22) - 1, 0x5555555555555555]:
+        inner = simhash._narrower(mask)
+        free = 64 - mask.bit_count()
+        assert len(set(inner)) == 15 and all(m & mask == mask and m.bit_count() - mask.bit_count() >= 2 * (free // 6) for m in inner)
+        # four bits may differ anywhere: two blocks always agree
+        rng = np.random.default_rng(0)
+        for _ in range(300):
+            bits = sum(1 << int(b) for b in set(rng.integers(0, 64, 4)))
+            assert bits & mask or any(not bits & m for m in inner)
+
+
+@pytest.mark.parametrize(("chunk", "split"), [(4, 1 << 20), (1024, 1 << 20), (4, 6), (1024, 10)])
+def test_simhash_links_of_a_dense_group(spark, monkeypatch, chunk, split):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "SPLIT", split)
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 1 << 63, 6)
     values = {int(c) for c in centre}

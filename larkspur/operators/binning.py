@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.ordered import hash_text
+from larkspur.operators.ordered import among_first, free, named
 
 #: The smallest finite double: minus infinity counts as this when borders are sought.
 LOWEST = -1.7976931348623157e308
@@ -29,15 +29,13 @@ def missing_to_null(x: Column) -> Column:
 
 
 def sampled(df: DataFrame, row_id: str, sample: int, seed: object = 42) -> DataFrame:
-    """Exactly ``sample`` rows, or all if there are no more."""
-    if df.count() <= sample:
-        return df
-    return df.orderBy(hash_text(seed, "bins", F.col(row_id)), row_id).limit(sample)
+    """Exactly ``sample`` rows, or all if there are no more; identifiers must be unique."""
+    return df.where(among_first(df, row_id, sample, seed, "bins"))
 
 
 def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
     """``feat, x, n``: the known values of each feature and how often they occur."""
-    entries = F.array(*(F.struct(F.lit(k).alias("feat"), F.greatest(missing_to_null(F.col(c)), F.lit(LOWEST)).alias("x"), F.col(c).isNull().alias("gap")) for k, c in enumerate(features)))
+    entries = F.array(*(F.struct(F.lit(k).alias("feat"), F.greatest(missing_to_null(named(c)), F.lit(LOWEST)).alias("x"), named(c).isNull().alias("gap")) for k, c in enumerate(features)))
     long = df.select(F.explode(entries).alias("e")).select("e.feat", "e.x", "e.gap")
     return long.where(~F.col("gap") & F.col("x").isNotNull()).groupBy("feat", "x").agg(F.count("*").alias("n"))
 
@@ -66,7 +64,7 @@ class Binner:
 
     def fit(self, df: DataFrame, features: list[str], row_id: str) -> Binner:
         self.features = list(features)
-        rows = self.borders_frame(sampled(df.select(row_id, *features), row_id, self.sample, self.seed), self.features).collect()
+        rows = self.borders_frame(sampled(df.select(row_id, *map(named, features)), row_id, self.sample, self.seed), self.features).collect()
         found: list[list[float]] = [[] for _ in features]
         for r in rows:
             found[r["feat"]].append(r["border"])
@@ -83,7 +81,7 @@ class Binner:
         return [np.concatenate([[-np.inf], b, [np.inf]]) for b in self.borders]
 
     def code(self, k: int) -> Column:
-        x, borders = missing_to_null(F.col(self.features[k])), [float(b) for b in self.borders[k]]
+        x, borders = missing_to_null(named(self.features[k])), [float(b) for b in self.borders[k]]
         below = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < x)) if borders else F.lit(0)
         return F.when(x.isNull(), 0).otherwise(below + 1).cast("smallint")
 
@@ -96,13 +94,14 @@ class Binner:
             for batch in batches:
                 codes = np.empty((batch.num_rows, len(features)), np.int16)
                 for k, c in enumerate(features):
-                    x = batch.column(batch.schema.get_field_index(f"_x{k}")).to_numpy(zero_copy_only=False).astype(np.float64)
+                    x = batch.column(batch.num_columns - len(features) + k).to_numpy(zero_copy_only=False).astype(np.float64)
                     codes[:, k] = np.where(np.isnan(x), 0, np.searchsorted(borders[k], x, side="left") + 1)
                 lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, len(features), dtype=np.int32), codes.ravel())
                 keep = batch.num_columns - len(features)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:keep], lists], names=[*batch.schema.names[:keep], name])
 
-        wide = df.select("*", *(missing_to_null(F.col(c)).alias(f"_x{k}") for k, c in enumerate(features)))
+        x = free(df, "_x")
+        wide = df.select("*", *(missing_to_null(named(c)).alias(f"{x}{k}") for k, c in enumerate(features)))
         from pyspark.sql import types as T
 
         return wide.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.ShortType()))]))

@@ -66,22 +66,23 @@ def sibling(parent: DataFrame, small: DataFrame, k: int, m: int) -> DataFrame:
 
 def running(hist: DataFrame, k: int, m: int) -> DataFrame:
     """Running sums over a node's and feature's bins, with node totals (``*_t``) and the missing bin's sums (``*_m``)."""
-    sums = [f"g{i}" for i in range(k)] + [f"h{i}" for i in range(m)]
+    sums = [f"g{i}" for i in range(k)] + [f"h{i}" for i in range(m)] + ["n"]
     group = Window.partitionBy("node", "feat")
     order = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     columns = []
     for s in sums:
-        columns += [F.sum(s).over(order).alias(s), F.sum(s).over(group).alias(f"{s}_t"), F.sum(F.when(F.col("bin") == 0, F.col(s)).otherwise(0.0)).over(group).alias(f"{s}_m")]
-    return hist.select("node", "feat", "bin", *columns, F.sum("n").over(group).alias("n_t"))
+        columns += [F.sum(s).over(order).alias(s), F.sum(s).over(group).alias(f"{s}_t"), F.sum(F.when(F.col("bin") == 0, F.col(s)).otherwise(0)).over(group).alias(f"{s}_m")]
+    return hist.select("node", "feat", "bin", *columns)
 
 
 def _part(g: Column, h: Column, lam: float) -> Column:
     return F.coalesce(F.try_divide(g * g, h + F.lit(lam)), F.lit(0.0))
 
 
-def gains(run: DataFrame, k: int, m: int, lam: float = 1.0, min_leaf: int = 10) -> DataFrame:
+def gains(run: DataFrame, k: int, m: int, lam: float = 1.0, min_leaf: int = 10, sums: bool = False) -> DataFrame:
     """``node, feat, bin, nan_left, gain`` for both directions of missing values; an output adds nothing where one of
-    its sides has ``min_leaf`` rows or fewer, by its own hessian's share of the node's rows."""
+    its sides has ``min_leaf`` rows or fewer, by its own hessian's share of the node's rows. With ``sums``, also the
+    rows, gradients and hessians that go left and those of the node: ``left_n, all_n, left_g, left_h, all_g, all_h``."""
 
     def side(i: int, missing_left: bool) -> Column:
         h = f"h{i if m > 1 else 0}"
@@ -97,15 +98,25 @@ def gains(run: DataFrame, k: int, m: int, lam: float = 1.0, min_leaf: int = 10)
             fine = fine & (hm > 0) & (hs < ht)
         return F.when(fine, _part(g, hs_, lam) + _part(gt - g, ht - hs_, lam) - _part(gt, ht, lam)).otherwise(0.0)
 
-    both = F.array(*(F.struct(F.lit(left).alias("nan_left"), total([side(i, left) for i in range(k)]).alias("gain")) for left in (True, False)))
-    return run.select("node", "feat", "bin", F.explode(both).alias("s")).select("node", "feat", "bin", "s.nan_left", "s.gain")
+    def going_left(s: str, missing_left: bool) -> Column:
+        return F.col(s) if missing_left else F.col(s) - F.col(f"{s}_m")
+
+    def told(left: bool) -> list[Column]:
+        if not sums:
+            return []
+        g, h = [f"g{i}" for i in range(k)], [f"h{i}" for i in range(m)]
+        parts = [F.array(*(going_left(s, left) for s in names)).alias(f"left_{n}") for n, names in (("g", g), ("h", h))]
+        return [going_left("n", left).alias("left_n"), F.col("n_t").alias("all_n"), *parts, *(F.array(*(F.col(f"{s}_t") for s in names)).alias(f"all_{n}") for n, names in (("g", g), ("h", h)))]
+
+    both = F.array(*(F.struct(F.lit(left).alias("nan_left"), total([side(i, left) for i in range(k)]).alias("gain"), *told(left)) for left in (True, False)))
+    return run.select("node", "feat", "bin", F.explode(both).alias("s")).select("node", "feat", "bin", "s.*")
 
 
 def best_splits(gain: DataFrame) -> DataFrame:
     """The split with the largest gain of each node; of equal ones, the first by feature position, bin, missing left."""
-    what = F.struct("feat", "bin", "nan_left", "gain")
+    what = F.struct(*(c for c in gain.columns if c != "node"))
     rank = F.struct(F.col("gain"), -F.col("feat"), -F.col("bin"), F.col("nan_left").cast("int"))
-    return gain.groupBy("node").agg(F.max_by(what, rank).alias("s")).select("node", "s.feat", "s.bin", "s.nan_left", "s.gain")
+    return gain.groupBy("node").agg(F.max_by(what, rank).alias("s")).select("node", "s.*")
 
 
 def dense(hist: pa.Table, nodes: list[int], features: int, bins: int, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,10 +133,10 @@ def dense(hist: pa.Table, nodes: list[int], features: int, bins: int, k: int, m:
     return out[0], out[1], out[2][0]
 
 
-def best_splits_dense(g: np.ndarray, h: np.ndarray, n: np.ndarray, lam: float, min_leaf: int) -> list[tuple[int, int, bool, float, np.ndarray, np.ndarray]]:
+def best_splits_dense(g: np.ndarray, h: np.ndarray, n: np.ndarray, lam: float, min_leaf: int) -> list[tuple[int, int, bool, float, np.ndarray, np.ndarray, float]]:
     """For each node the best split as by ``gains`` and ``best_splits`` (feature position, bin, missing left, gain), and
-    the sums of gradients and hessians that go left. Bins without rows repeat a gain and are never first."""
-    running_g, running_h = np.cumsum(g, axis=3), np.cumsum(h, axis=3)
+    the sums of gradients and hessians and the rows that go left. Bins without rows repeat a gain and are never first."""
+    running_g, running_h, running_n = np.cumsum(g, axis=3), np.cumsum(h, axis=3), np.cumsum(n, axis=2)
     all_g, all_h, rows = running_g[..., -1:], running_h[..., -1:], n.sum(axis=2, keepdims=True)
 
     def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,8 +154,8 @@ def best_splits_dense(g: np.ndarray, h: np.ndarray, n: np.ndarray, lam: float, m
     out = []
     for i in range(both.shape[0]):
         f, b, side = np.unravel_index(int(both[i].argmax()), both.shape[1:])
-        less = (g[:, i, f, 0], h[:, i, f, 0]) if side else (0.0, 0.0)
-        out.append((int(f), int(b), bool(side == 0), float(both[i, f, b, side]), running_g[:, i, f, b] - less[0], running_h[:, i, f, b] - less[1]))
+        less = (g[:, i, f, 0], h[:, i, f, 0], n[i, f, 0]) if side else (0.0, 0.0, 0.0)
+        out.append((int(f), int(b), bool(side == 0), float(both[i, f, b, side]), running_g[:, i, f, b] - less[0], running_h[:, i, f, b] - less[1], float(running_n[i, f, b] - less[2])))
     return out
 
 

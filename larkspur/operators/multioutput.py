@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.sampling import _draws, exact_rows
 
 LEAST_HESSIAN = 0.01
+#: Outputs up to which products of gradients are sums of expressions; beyond, of matrix products on Arrow batches.
+SQL_OUTPUTS = 8
 
 
 def single_groups(outputs: int, seed: object = 42, turn: int = 0) -> list[list[int]]:
@@ -43,6 +48,8 @@ def mean_squares(rows: DataFrame, outputs: int) -> np.ndarray:
 
 def gram(rows: DataFrame, outputs: int) -> np.ndarray:
     """Products of the gradient columns, summed over rows."""
+    if outputs > SQL_OUTPUTS:
+        return _gram_by_batch(rows, outputs)
     pairs = [(a, b) for a in range(outputs) for b in range(a, outputs)]
     sums = rows.agg(*(F.sum(F.get("g", F.lit(a)) * F.get("g", F.lit(b))).alias(f"p{a}_{b}") for a, b in pairs)).first()
     out = np.zeros((outputs, outputs))
@@ -51,6 +58,22 @@ def gram(rows: DataFrame, outputs: int) -> np.ndarray:
     return out
 
 
+def _gram_by_batch(rows: DataFrame, outputs: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((outputs, outputs))
+        for batch in batches:
+            g = batch.column(0).flatten().to_numpy().reshape(-1, outputs)
+            total += g.T @ g
+        a, b = np.divmod(np.arange(outputs * outputs), outputs)
+        yield pa.record_batch([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total.ravel())], ["a", "b", "v"])
+
+    parts = rows.select("g").mapInArrow(run, "a int, b int, v double").groupBy("a", "b").agg(F.sum("v").alias("v"))
+    out = np.zeros((outputs, outputs))
+    for r in parts.collect():  # as many as pairs of outputs
+        out[r["a"], r["b"]] = r["v"]
+    return out
+
+
 class Sketch:
     """``apply`` gives the rows with fewer gradient columns, the number of these and of hessian columns."""
 
@@ -86,16 +109,33 @@ class TopOutputsSketch(Sketch):
 
 
 class SVDSketch(Sketch):
-    """Gradients on the leading right singular vectors, from the sums of their products."""
-
-    def __init__(self, sample: float | None = None, n_components: int = 5, n_iter: int = 5, algorithm: str = "jacobi"):
-        self.sample, self.k = sample, n_components
+    """Gradients on the leading right singular vectors, from the sums of their products, over ``sample`` rows at most.
+
+    ``algorithm``: "jacobi" and "full" decompose the sums exactly; "randomized" turns a random basis towards the
+    leading vectors in ``n_iter`` rounds.
+    """
+
+    def __init__(self, sample: int | None = None, n_components: int = 5, n_iter: int = 5, algorithm: str = "jacobi"):
+        if algorithm not in ("jacobi", "full", "randomized"):
+            raise ValueError(f"unknown algorithm: {algorithm}")
+        if sample is not None and (sample < 1 or sample != int(sample)):
+            raise ValueError("sample is a number of rows")
+        self.sample, self.k, self.rounds, self.algorithm = sample, n_components, n_iter, algorithm
+
+    def vectors(self, products: np.ndarray, seed: object, turn: object) -> np.ndarray:
+        if self.algorithm != "randomized":
+            return np.linalg.eigh(products)[1][:, ::-1][:, : self.k]
+        n = len(products)
+        basis = projection(n, min(n, self.k + 5), True, seed, f"svd{turn}")
+        for _ in range(self.rounds + 1):
+            basis = np.linalg.qr(products @ basis)[0]
+        return basis @ np.linalg.eigh(basis.T @ products @ basis)[1][:, ::-1][:, : self.k]
 
     def apply(self, rows, outputs, hessians, context):
         part = rows
-        if self.sample is not None and self.sample < 1:
-            part = exact_rows(rows, context["row_id"], max(1, int(context["n"] * self.sample)), context["seed"], f"svd{context['turn']}")
-        vectors = np.linalg.eigh(gram(part, outputs))[1][:, ::-1][:, : self.k]
+        if self.sample is not None and self.sample < context["n"]:
+            part = exact_rows(rows, context["row_id"], int(self.sample), context["seed"], f"svd{context['turn']}")
+        vectors = self.vectors(gram(part, outputs), context["seed"], context["turn"])
         vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
         return self._projected(rows, vectors, hessians)
 

@@ -11,11 +11,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Rows that one task may sort, and buckets at most (as many totals come to the driver).
+BUCKET_ROWS, MOST_BUCKETS = 1 << 18, 1 << 16
 
 
-def cuts(df: DataFrame, key: str, buckets: int = BUCKETS) -> list[float]:
+def buckets_for(rows: int) -> int:
+    """Buckets of about ``BUCKET_ROWS`` rows."""
+    return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def cuts(df: DataFrame, key: str, buckets: int) -> list[float]:
     """Approximate quantiles of a numeric column: bounds of buckets of like size. They bear on speed only."""
+    if buckets < 2:
+        return []
     found = df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.25 / buckets)
     return sorted({float(x) for x in found})
 
@@ -28,18 +48,20 @@ def bucket(key: Column, bounds: Sequence[float]) -> Column:
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, Column], bounds: Sequence[float] | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """``df`` with inclusive running sums in the order of ``key`` (then ``ties``), one column for each of ``sums``."""
-    bounds = cuts(df, key) if bounds is None else bounds
-    dealt = df.withColumn("_bucket", bucket(F.col(key), bounds))
-    totals = {r["_bucket"]: r for r in dealt.groupBy("_bucket").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()}
-    order = Window.partitionBy("_bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    bounds = cuts(df, key, buckets_for(df.count())) if bounds is None else bounds
+    at = free(df, "_bucket")
+    dealt = df.withColumn(at, bucket(F.col(key), bounds))
+    order = Window.partitionBy(at).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    if not bounds:
+        return dealt.withColumns({name: F.sum(value).over(order) for name, value in sums.items()}).drop(at)
+    totals = {r[0]: r for r in dealt.groupBy(at).agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()}
     for name, value in sums.items():
-        before, at = [], 0
+        before, total = [], 0
         for k in range(len(bounds) + 1):
-            before.append(at)
-            at += (totals[k][name] or 0) if k in totals else 0
-        offset = F.element_at(F.array(*map(F.lit, before)), F.col("_bucket") + 1)
-        dealt = dealt.withColumn(name, F.sum(value).over(order) + offset)
-    return dealt.drop("_bucket")
+            before.append(total)
+            total += (totals[k][name] or 0) if k in totals else 0
+        dealt = dealt.withColumn(name, F.sum(value).over(order) + F.element_at(F.array(*map(F.lit, before)), F.col(at) + 1))
+    return dealt.drop(at)
 
 
 def hash_text(seed: object, turn: object, key: Column) -> Column:
@@ -52,9 +74,41 @@ def uniform(seed: object, turn: object, key: Column) -> Column:
     return F.conv(F.substring(hash_text(seed, turn, key), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def _share(hashed: Column) -> Column:
+    """The first 32 bits of a hexadecimal hash."""
+    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double")
+
+
 def ranked(df: DataFrame, row_id: str, seed: object = 42, turn: object = 0, name: str = "rank") -> DataFrame:
     """``df`` with each row's place (from 1) in the order of the hash of its identifier."""
-    held = df.withColumn("_hash", hash_text(seed, turn, F.col(row_id)))
-    held = held.withColumn("_key", F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double"))
-    even = [16**8 * k / BUCKETS for k in range(1, BUCKETS)]
-    return running_sums(held, "_key", {name: F.lit(1)}, even, ["_hash", row_id]).drop("_hash", "_key")
+    parts = buckets_for(df.count())
+    hashed, key = free(df, "_hash"), free(df, "_key")
+    held = df.withColumn(hashed, hash_text(seed, turn, F.col(row_id)))
+    held = held.withColumn(key, _share(F.col(hashed)))
+    even = [16**8 * k / parts for k in range(1, parts)]
+    return running_sums(held, key, {name: F.lit(1)}, even, [hashed, row_id]).drop(hashed, key)
+
+
+def among_first(df: DataFrame, row_id: str, k: int, seed: object = 42, turn: object = 0, rows: int | None = None) -> Column:
+    """Is a row among the ``k`` rows with the smallest hashes? Identifiers must be unique.
+
+    Two aggregates find the ``k``-th hash: one counts buckets of hashes, one sorts the bucket in which it lies. The
+    rows themselves are not moved.
+    """
+    rows = df.count() if rows is None else rows
+    if k >= rows:
+        return F.lit(True)
+    parts = max(1, min(MOST_BUCKETS, rows // 1024))
+    hashed = hash_text(seed, turn, F.col(row_id))
+    place = F.floor(_share(hashed) / F.lit(16**8 / parts)).cast("int")
+    before, edge = 0, 0
+    for r in sorted(df.groupBy(place.alias("place")).count().collect(), key=lambda r: r["place"]):
+        edge = r["place"]
+        if before + r["count"] >= k:
+            break
+        before += r["count"]
+    inside = df.where(place == edge).select(hashed.alias("hash"), F.col(row_id).alias("id")).orderBy("hash", "id").limit(max(k - before, 0))
+    last = inside.agg(F.max(F.struct("hash", "id")).alias("last")).first()["last"]
+    if last is None:
+        return F.lit(False)
+    return (hashed < last["hash"]) | ((hashed == last["hash"]) & (F.col(row_id) <= F.lit(last["id"])))

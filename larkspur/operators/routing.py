@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Nodes up to which a level's table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_NODES = 1 << 16
+
+
+def _level(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+
+
 def goes_right(bins: str, feat: int, split: int, nan_left: bool) -> Column:
     code = F.get(bins, F.lit(feat))
     return code > split if nan_left else (code > split) | (code == 0)
@@ -25,11 +33,11 @@ def node_of(group, bins: str = "bins") -> Column:
 
 def route_by_table(rows: DataFrame, splits: DataFrame, bins: str = "bins") -> DataFrame:
     """The same for one level, by a lookup join with ``splits`` (node, feat, bin, nan_left, left, right). ``splits``
-    has one row for a node of a level, 2 ** depth at most, and is broadcast. Rows of other nodes keep theirs."""
+    has one row for a node of a level, and is broadcast up to ``BROADCAST_NODES``. Rows of other nodes keep theirs."""
     code = F.get(bins, F.col("feat"))
     right = (code > F.col("bin")) | ((code == 0) & ~F.col("nan_left"))
     node = F.when(F.col("feat").isNull(), F.col("node")).when(right, F.col("right")).otherwise(F.col("left"))
-    joined = rows.join(F.broadcast(splits), "node", "left")
+    joined = rows.join(_level(splits), "node", "left")
     return joined.select(*(node.alias("node") if c == "node" else F.col(c) for c in rows.columns))
 
 
@@ -42,9 +50,9 @@ def child_ids(best: DataFrame, last: int, min_gain: float = 0.0) -> DataFrame:
 
 def members(rows: DataFrame, wanted: DataFrame, key: str = "node") -> DataFrame:
     """``rows`` with ``pos``, the place of their key in the sorted ``wanted`` keys, or -1. Wanted are nodes of a level,
-    2 ** depth at most, so they are numbered in one task and broadcast."""
+    2 ** depth at most, so they are numbered in one task."""
     places = wanted.select(key).distinct().withColumn("pos", F.row_number().over(Window.orderBy(key)) - 1)
-    return rows.join(F.broadcast(places), key, "left").na.fill(-1, ["pos"])
+    return rows.join(_level(places), key, "left").na.fill(-1, ["pos"])
 
 
 def active(rows: DataFrame, nodes: list[int]) -> DataFrame:

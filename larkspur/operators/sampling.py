@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.ordered import ranked, uniform
+from larkspur.operators.ordered import among_first, uniform
 
 
 def exact_rows(df: DataFrame, row_id: str, k: int, seed: object = 42, turn: object = 0) -> DataFrame:
-    """Exactly ``k`` rows without replacement."""
-    return ranked(df, row_id, seed, turn, "_rank").where(F.col("_rank") <= k).drop("_rank")
+    """Exactly ``k`` rows without replacement; identifiers must be unique."""
+    return df.where(among_first(df, row_id, k, seed, turn))
 
 
 def _draws(seed: object, turn: object, n: int) -> np.ndarray:
@@ -30,7 +30,7 @@ class RowSampler:
     def mark(self, rows: DataFrame, row_id: str, n: int, seed: object, turn: int) -> DataFrame:
         if self.rate == 1:
             return rows.withColumn("_in", F.lit(True))
-        return ranked(rows, row_id, seed, f"rows{turn}", "_in").withColumn("_in", F.col("_in") <= max(1, int(n * self.rate)))
+        return rows.withColumn("_in", among_first(rows, row_id, max(1, int(n * self.rate)), seed, f"rows{turn}", n))
 
 
 def importance_of_rows(g: Column, h: Column, lam: Column | float, outputs: int, hessians: int) -> Column:
@@ -99,9 +99,9 @@ class ColumnImportanceSampler:
         p = importance + 1e-3
         if self.n_force:
             p = p[: -self.n_force]
-        if self.inverse:
-            p = 1 / p
         p = p / p.sum()
+        if self.inverse and len(p) > 1:
+            p = (1 - p) / (1 - p).sum()
         return self.smooth / len(p) + (1 - self.smooth) * p
 
     def choose(self, n: int, seed: object, turn: int, model) -> list[int]:

@@ -8,17 +8,20 @@ leave-one-fold-out choice of iterations errs least is taken, with the best itera
 from __future__ import annotations
 
 import copy
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.losses import SIGMOID_CLIP, clip
+from larkspur.functions.losses import SIGMOID_CLIP, clip, loss_from_name
 from larkspur.operators.binning import Binner
 from larkspur.operators.histograms import best_splits, histogram
+from larkspur.operators.ordered import free
 from larkspur.operators.routing import node_of
 from larkspur.plans.booster import leaf_column
 from larkspur.plans.cv import CrossValidation, mean_of_arrays
-from larkspur.plans.model import GroupTree, Model
+from larkspur.plans.model import GroupTree, predict_all
+from larkspur.sources.frames import inner_names
 
 
 def mse_row(y: Column, p: Column) -> Column:
@@ -38,7 +41,7 @@ def crossentropy_row(y: Column, p: Column) -> Column:
 
 
 #: Row scorers by loss (fixed values).
-SCORERS = {"mse": mse_row, "msle": mse_row, "bce": bce_row, "crossentropy": crossentropy_row}
+SCORERS = {"mse": mse_row, "bce": bce_row, "crossentropy": crossentropy_row}
 
 
 def cluster_gains(hist: DataFrame, k: int, min_leaf: int) -> DataFrame:
@@ -125,27 +128,45 @@ def best_iterations(sums: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 class AdaptiveESCV(CrossValidation):
-    """Cross-validation whose predictions stop at the best iteration of each row's cluster."""
+    """Cross-validation whose predictions stop at the best iteration of each row's cluster.
 
-    def __init__(self, booster, depth_range=range(1, 4), min_data_in_leaf: int = 100, iters_to_fit: int = 10):
+    ``iters_to_fit``: the iterations whose losses cluster trees see, or how many of them, evenly spread. ``metric``: a
+    function of two array columns (targets, predictions) that gives a row's loss; known losses have their own.
+    """
+
+    def __init__(self, booster, depth_range=range(1, 4), min_data_in_leaf: int = 100, iters_to_fit: int | list[int] = 10, metric: Callable[[Column, Column], Column] | None = None):
         base = copy.copy(booster)
         base.es = 0
         super().__init__(base)
-        self.candidates, self.iters_to_fit = ClusterCandidates(depth_range, min_data_in_leaf), iters_to_fit
+        self.candidates, self.iters_to_fit, self.metric = ClusterCandidates(depth_range, min_data_in_leaf), iters_to_fit, metric
+
+    def _scorer(self) -> Callable[[Column, Column], Column]:
+        name = loss_from_name(self.booster.loss).name
+        if self.metric is None and name not in SCORERS:
+            raise ValueError(f"no row loss is known for {name}: give a metric")
+        return self.metric or SCORERS[name]
+
+    def _fitted(self, n: int) -> list[int]:
+        if isinstance(self.iters_to_fit, int):
+            return sorted({round(i * (n - 1) / max(self.iters_to_fit - 1, 1)) for i in range(self.iters_to_fit)})
+        found = sorted(set(self.iters_to_fit))
+        if not found or found[0] < 0 or found[-1] >= n:
+            raise ValueError("iters_to_fit must be iterations of the models")
+        return found
 
     def fit_predict(self, df, features, target, row_id, weight=None, cv=5, stratify=None) -> DataFrame:
+        scorer = self._scorer()
         rows, binner = self._fits(df, features, target, row_id, weight, cv, stratify)
-        scorer = SCORERS.get(self.boosters[0].model.loss.name, mse_row)
-        held = None
+        held, inner = None, inner_names(features)
         for k, b in enumerate(self.boosters):
-            staged = b.predict_staged(rows.where(F.col("fold") == k))
+            staged = b.model.on(inner).predict_staged(rows.where(F.col("fold") == k))
             held = staged if held is None else held.unionByName(staged)
         held = held.withColumn("loss", scorer(F.col("y"), F.col("prediction")) * F.col("w")).persist()
-        n = len(self.boosters[0].model.trees)
-        fitted = sorted({round(i * (n - 1) / max(self.iters_to_fit - 1, 1)) for i in range(self.iters_to_fit)})
+        fitted = self._fitted(len(self.boosters[0].model.trees))
         paths = held.where(F.col("iter").isin(fitted)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("iter", "loss"))).alias("s"))
         binned = binner.transform(rows).select("id", "fold", "bins").persist()
         self.candidates.fit(binned.join(paths, "id").withColumn("path", F.transform("s", lambda x: x["loss"])), "path", len(fitted), binner)
+        self.candidates.features = list(features)
         clusters = binned.select("id", F.posexplode(F.array(*self.candidates.columns())).alias("cand", "clust"))
         long = held.select("id", "fold", "iter", "loss").join(clusters, "id")
         error, chosen, final = best_iterations(fold_sums(long).persist())
@@ -156,17 +177,10 @@ class AdaptiveESCV(CrossValidation):
         return picked.select("id", "fold", "y", "clust", "iter", "prediction")
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        """Each row's mean over folds at the iteration of its cluster."""
-        cluster = self.candidates.raw_columns()[self.best_candidate]
-        out = None
-        for clust, last in sorted(self.best_trees.items()):
-            part = df.where(cluster == clust)
-            for k, b in enumerate(self.boosters):
-                cut = Model(b.model.features, b.model.loss, b.model.base, b.model.trees[: last + 1])
-                part = cut.predict(part, f"_p{k}")
-            names = [f"_p{k}" for k in range(len(self.boosters))]
-            part = part.withColumn(name, mean_of_arrays([F.col(c) for c in names])).drop(*names)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-
+        """Each row's mean over folds at the iteration of its cluster; all folds and iterations are scored in one pass."""
+        models, held = [b.model for b in self.boosters], free(df, "_stages")
+        stages = sorted(set(self.best_trees.values()))
+        scored = predict_all(models, df, held, stages)
+        place = F.create_map(*(F.lit(x) for clust, last in sorted(self.best_trees.items()) for x in (clust, stages.index(last))))
+        stage = F.get(held, F.element_at(place, self.candidates.raw_columns()[self.best_candidate]))
+        return scored.withColumn(name, mean_of_arrays([models[0].loss.postprocess(F.get(stage, F.lit(k))) for k in range(len(models))])).drop(held)

@@ -10,8 +10,10 @@ folder every ``checkpoint_every`` iterations, which cuts the lineage.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,22 @@ from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.functions.metrics import Metric, metric_from_name
 from larkspur.operators import multioutput
 from larkspur.operators.binning import binner_from_name
-from larkspur.operators.histograms import best_splits_dense, dense, histogram, split_search
+from larkspur.operators.histograms import best_splits, best_splits_dense, dense, gains, histogram, running, sibling
 from larkspur.operators.routing import leaf_values, node_of
 from larkspur.operators.sampling import ColumnSampler, RowSampler
 from larkspur.plans.callbacks import Callback, CallbackPipeline, EarlyStopping, EvalHistory
 from larkspur.plans.model import GroupTree, Model, Tree
-from larkspur.sources.frames import scan
+from larkspur.sources.frames import inner_names, scan
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder; only where none is set (local tests) is a temporary one made."""
+    """Written to the session's checkpoint folder; only in local mode (tests) is a temporary one made where none is set."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(found)
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="larkspur-"))
     return df.checkpoint(eager=True)
 
 
@@ -51,6 +55,38 @@ def values_column(group: GroupTree, values: np.ndarray, bins: str = "bins") -> C
     return at(0)
 
 
+def moved(frame: DataFrame, tree: Tree) -> DataFrame:
+    """The frame (with ``bins`` and ``pred``) with a tree's values added to its margins."""
+    if sum(v.size for v in tree.values) > SQL_VALUES:
+        return _moved_by_batch(frame, tree)
+    parts: dict[int, Column] = {}
+    for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
+        column = values_column(group, values)
+        parts |= {out: F.get(column, F.lit(j)) for j, out in enumerate(outs)}
+    if len(tree.groups) == 1 and tree.outputs[0] == sorted(tree.outputs[0]):
+        added = values_column(tree.groups[0], tree.values[0])
+    else:
+        added = F.array(*(parts[k] for k in range(len(parts))))
+    return frame.withColumn("pred", F.zip_with("pred", added, lambda a, b: a + b))
+
+
+def _moved_by_batch(frame: DataFrame, tree: Tree) -> DataFrame:
+    bins_at, pred_at = frame.columns.index("bins"), frame.columns.index("pred")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, columns = batch.num_rows, list(batch.columns)
+            if n:
+                codes = batch.column(bins_at).flatten().to_numpy().reshape(n, -1)
+                out = batch.column(pred_at).flatten().to_numpy().reshape(n, -1).copy()
+                for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
+                    out[:, outs] += values[group.ends_of_codes(codes)]
+                columns[pred_at] = pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), out.ravel())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return frame.mapInArrow(run, frame.schema)
+
+
 def leaf_column(group: GroupTree, bins: str = "bins") -> Column:
     node, number = node_of(group, bins), {n: k for k, n in enumerate(group.leaves)}
     return F.element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), node)
@@ -59,43 +95,90 @@ def leaf_column(group: GroupTree, bins: str = "bins") -> Column:
 #: Cells (nodes x features x bins x sums) of a level's histogram up to which the driver searches it; a larger one is
 #: searched where it lies, and only the best split of each node is sent.
 DRIVER_CELLS = 2_000_000
+#: Leaf values (over the outputs) of a tree up to which margins are moved by generated conditions; beyond, on Arrow batches.
+SQL_VALUES = 512
+
+
+class _Level:
+    """Histograms of the nodes of a level. Rows are summed for the smaller child of each split alone; its sibling's
+    histogram is the parent's less that. Small histograms are kept as arrays on the driver, larger ones as frames."""
+
+    def __init__(self, features: int, widest: int, outputs: int, hessians: int, lam: float, min_leaf: int):
+        self.shape, self.sums, self.limits = (features, widest), (outputs, hessians), (lam, min_leaf)
+        self.arrays: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.frame: DataFrame | None = None
+        self.older: list[DataFrame] = []
+
+    def small(self, nodes: int) -> bool:
+        return nodes * self.shape[0] * self.shape[1] * sum(self.sums) <= DRIVER_CELLS
+
+    def counted(self, live: list[int], families: list[tuple[int, int, int]]) -> list[int]:
+        """The nodes whose rows must be summed: of a family (smaller child, larger child, parent) the first only, if the
+        parent's histogram is at hand in the same form."""
+        kept = bool(self.arrays) if self.small(len(live)) else self.frame is not None
+        self.families = families if kept else []
+        return [small for small, _, _ in self.families] or live
+
+    def search(self, rows: DataFrame, features: list[int], live: list[int], counted: list[int], path: str | None) -> list[tuple]:
+        """node, feature position, bin, missing left, gain, left and all rows, left sums and all sums, of each live node's
+        best split."""
+        k, m = self.sums
+        hist = histogram(rows, features, k, m, path=path)
+        if self.small(len(live)):
+            g, h, n = dense(hist.toArrow(), counted, *self.shape, k, m)
+            arrays = {node: (g[:, i], h[:, i], n[i]) for i, node in enumerate(counted)}
+            for small, large, parent in self.families:
+                rest = [a - b for a, b in zip(self.arrays[parent], arrays[small], strict=True)]
+                arrays[large] = tuple(np.where(rest[2] > 0, x, 0.0) for x in rest)  # no rounding where no rows are
+            self.arrays, self.frame = arrays, None
+            cells = [np.stack([arrays[node][i] for node in live], axis=1) for i in range(2)]
+            best = best_splits_dense(*cells, np.stack([arrays[node][2] for node in live]), *self.limits)
+            return [(node, *b[:4], b[6], float(arrays[node][2][0].sum()), b[4], b[5], arrays[node][0][:, 0].sum(axis=1), arrays[node][1][:, 0].sum(axis=1)) for node, b in zip(live, best, strict=True)]
+        if self.families:
+            family = rows.sparkSession.createDataFrame(self.families, "small bigint, large bigint, parent bigint")
+            family = F.broadcast(family)  # a row for a node of the level: they are few, as the driver grows the tree
+            by_parent = hist.join(family, F.col("node") == F.col("small")).withColumn("node", F.col("parent")).drop("small", "large", "parent")
+            rest = sibling(self.frame, by_parent, k, m).join(family, F.col("node") == F.col("parent"))
+            hist = hist.unionByName(rest.withColumn("node", F.col("large")).select(hist.columns))
+        self.older += [self.frame] if self.frame is not None else []
+        self.frame, self.arrays = hist.persist(), {}
+        best = best_splits(gains(running(self.frame, k, m), k, m, *self.limits, sums=True)).collect()
+        return [(int(r["node"]), r["feat"], int(r["bin"]), bool(r["nan_left"]), float(r["gain"]), r["left_n"], r["all_n"], *(np.array(r[c]) for c in ("left_g", "left_h", "all_g", "all_h"))) for r in sorted(best, key=lambda r: r["node"])]
+
+    def done(self) -> None:
+        for held in [*self.older, *([self.frame] if self.frame is not None else [])]:
+            held.unpersist()
 
 
-def grow(rows: DataFrame, features: list[int], outputs: int, hessians: int, borders: list[np.ndarray], max_depth: int, lam: float, min_leaf: int, min_gain: float, path: str | None = None) -> tuple[GroupTree, dict[int, tuple] | None]:
+def grow(rows: DataFrame, features: list[int], outputs: int, hessians: int, borders: list[np.ndarray], max_depth: int, lam: float, min_leaf: int, min_gain: float, path: str | None = None) -> tuple[GroupTree, dict[int, tuple]]:
     """A tree's structure from ``rows`` (codes, arrays g and h), depth by depth, until nothing splits; and the sums of
-    gradients and hessians in each of its nodes, if the driver has seen them all."""
+    gradients and hessians in each of its nodes: a right child's are its parent's less the left child's."""
     tree, sums = GroupTree(), {}
-    live = [0]
+    live, families = [0], []
     base = rows.select("bins", *(F.get("g", F.lit(k)).alias(f"g{k}") for k in range(outputs)), *(F.get("h", F.lit(k)).alias(f"h{k}") for k in range(hessians)))
-    widest = max((len(borders[f]) for f in features), default=0) + 2
+    level = _Level(len(features), max((len(borders[f]) for f in features), default=0) + 2, outputs, hessians, lam, min_leaf)
     for _ in range(max_depth):
-        placed = base.withColumn("node", node_of(tree))
-        if len(live) < len(tree.leaves):
-            placed = placed.where(F.col("node").isin(live))
-        found = []
-        if len(live) * len(features) * widest * (outputs + hessians) <= DRIVER_CELLS:
-            table = histogram(placed, features, outputs, hessians, path=path).toArrow()
-            if not table.num_rows:
-                break
-            g, h, n = dense(table, live, len(features), widest, outputs, hessians)
-            if 0 in live:
-                sums[0] = (g[:, 0, 0].sum(axis=1), h[:, 0, 0].sum(axis=1))
-            found = [(node, *best) for node, best in zip(live, best_splits_dense(g, h, n, lam, min_leaf), strict=True)]
-        else:
-            best = split_search(placed, features, outputs, hessians, lam, min_leaf, path).collect()
-            found = [(int(r["node"]), r["feat"], int(r["bin"]), bool(r["nan_left"]), float(r["gain"]), None, None) for r in sorted(best, key=lambda r: r["node"])]
-        live = []
-        for node, position, split, nan_left, gain, left_g, left_h in found:
+        placed, counted = base.withColumn("node", node_of(tree)), level.counted(live, families)
+        if len(counted) < len(tree.leaves):
+            placed = placed.where(F.col("node").isin(counted))
+        found, live, families = level.search(placed, features, live, counted, path), [], []
+        for node, position, split, nan_left, gain, left_n, all_n, left_g, left_h, all_g, all_h in found:
+            sums.setdefault(node, (all_g, all_h))
             if gain > min_gain:
                 f = features[position]
                 edge = borders[f][split - 1] if 0 < split <= len(borders[f]) else (-np.inf if split == 0 else np.inf)
                 left, right = tree.grow(node, f, split, float(edge), nan_left, gain)
+                sums[left], sums[right] = (left_g, left_h), (sums[node][0] - left_g, sums[node][1] - left_h)
                 live += [left, right]
-                if left_g is not None and node in sums:
-                    sums[left], sums[right] = (left_g, left_h), (sums[node][0] - left_g, sums[node][1] - left_h)
+                families.append((left, right, node) if 2 * left_n <= all_n else (right, left, node))
         if not live:
             break
-    return tree, sums if all(leaf in sums for leaf in tree.leaves) else None
+    level.done()
+    return tree, sums
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros_like(a, dtype=float), where=b != 0)
 
 
 class GradientBoosting:
@@ -130,10 +213,11 @@ class GradientBoosting:
     def fit(self, df: DataFrame, features: list[str], target, row_id: str, weight: str | None = None, eval_sets: list[DataFrame] | None = None) -> GradientBoosting:
         """Trains on ``df``. ``target``: a column (of numbers or arrays) or several; evaluation sets have the same."""
         loss, _ = self._parts()
-        train = scan(df, row_id, features, target, weight)
+        names = inner_names(features)
+        train = scan(df, row_id, features, target, weight, names)
         binner = binner_from_name(self.quantization, sample=self.quant_sample, max_bin=self.max_bin, min_data_in_bin=self.min_data_in_bin, seed=self.seed)
-        binner.fit(train, features, "id")
-        sets = [scan(e, row_id, features, target, weight) for e in eval_sets or []]
+        binner.fit(train, names, "id")
+        sets = [scan(e, row_id, features, target, weight, names) for e in eval_sets or []]
         self.fit_binned(train, sets, binner, features, weight is not None)
         return self
 
@@ -180,21 +264,10 @@ class GradientBoosting:
 
     def _moved(self, frame: DataFrame, tree: Tree, turn: int) -> DataFrame:
         """The frame with a tree's values added to its margins."""
-        parts: dict[int, Column] = {}
-        for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
-            column = values_column(group, values)
-            parts |= {out: F.get(column, F.lit(j)) for j, out in enumerate(outs)}
-        if len(tree.groups) == 1:
-            added = values_column(tree.groups[0], tree.values[0])
-            order = tree.outputs[0]
-            if order != sorted(order):
-                added = F.array(*(parts[k] for k in range(len(parts))))
-        else:
-            added = F.array(*(parts[k] for k in range(len(parts))))
-        moved = frame.withColumn("pred", F.zip_with("pred", added, lambda a, b: a + b))
+        ahead = moved(frame, tree)
         if (turn + 1) % self.checkpoint_every == 0:
-            return checkpointed(moved).persist()
-        return moved.persist()
+            return checkpointed(ahead).persist()
+        return ahead.persist()
 
     def _iteration(self, state: dict, splitter, outputs: int, turn: int) -> tuple[Tree, list[Column]]:
         loss, rows = self.model.loss, state["train"]
@@ -236,8 +309,8 @@ class GradientBoosting:
                 k_, m_ = k, m
             tree, sums = grow(structure, features, k_, m_, state["borders"], self.max_depth, self.lambda_l2, self.min_data_in_leaf, self.min_gain_to_split)
             groups.append(tree)
-            if structure is part and sums is not None:  # the search has summed what leaf values need
-                values.append(np.array([-self.lr * g / (h + self.lambda_l2) for g, h in (sums[leaf] for leaf in tree.leaves)]))
+            if structure is part:  # the search has summed what leaf values need
+                values.append(np.array([-self.lr * _over(g, h + self.lambda_l2) for g, h in (sums[leaf] for leaf in tree.leaves)]))
             else:
                 values.append(self._values(part.withColumn("leaf", leaf_column(tree)), tree, k, m))
         tree = Tree(groups, sets, values)
@@ -255,11 +328,8 @@ class GradientBoosting:
 
     def _refined(self, rows: DataFrame, tree: Tree, outputs: int) -> list[np.ndarray]:
         """A further Newton step of the leaf values at the margins that they lead to, without sample weights."""
-        parts: dict[int, Column] = {}
-        for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
-            parts |= {out: F.get(values_column(group, values), F.lit(j)) for j, out in enumerate(outs)}
-        ahead = F.zip_with("pred", F.array(*(parts[k] for k in range(outputs))), lambda a, b: a + b)
-        g, h = self.model.loss.grad_hess(F.col("y"), ahead)
+        rows = moved(rows.select(*(c for c in rows.columns if c not in ("g", "h"))), tree)
+        g, h = self.model.loss.grad_hess(F.col("y"), F.col("pred"))
         rows = rows.withColumn("g", g).withColumn("h", h)
         hessians = int(rows.select(F.size("h")).first()[0])
         new = []

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.binning import binner_from_name
-from larkspur.operators.ordered import hash_text, ranked
-from larkspur.sources.frames import scan
+from larkspur.operators.ordered import buckets_for, free, hash_text, ranked
+from larkspur.plans.model import predict_all
+from larkspur.sources.frames import inner_names, scan
 
 
 def kfold(df: DataFrame, row_id: str, k: int, seed: object = 42) -> DataFrame:
@@ -18,8 +19,8 @@ def kfold(df: DataFrame, row_id: str, k: int, seed: object = 42) -> DataFrame:
 
 
 def stratified_kfold(df: DataFrame, row_id: str, label: str, k: int, seed: object = 42) -> DataFrame:
-    """The same inside each class, whose rows are ranked in one of ``BUCKETS`` parts each."""
-    parts = 64
+    """The same inside each class, whose rows are ranked in as many parts each as the table's rows need."""
+    parts = buckets_for(df.count())
     held = df.withColumn("_hash", hash_text(seed, "folds", F.col(row_id)))
     held = held.withColumn("_part", (F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / (16**8 / parts)).cast("int"))
     sizes = held.groupBy(label, "_part").agg(F.count("*").alias("_size"))
@@ -61,11 +62,11 @@ class CrossValidation:
         self.booster = booster
 
     def _fits(self, df: DataFrame, features, target, row_id, weight, cv, stratify):
-        folded = with_folds(df, row_id, cv, stratify, self.booster.seed)
-        rows = scan(folded, row_id, features, target, weight)
-        rows = rows.join(folded.select(F.col(row_id).alias("id"), "fold"), "id").persist()
+        inner = inner_names(features)
+        folds = with_folds(df, row_id, cv, stratify, self.booster.seed).select(F.col(row_id).alias("id"), "fold")
+        rows = scan(df, row_id, features, target, weight, inner).join(folds, "id").persist()
         options = {"sample": self.booster.quant_sample, "max_bin": self.booster.max_bin, "min_data_in_bin": self.booster.min_data_in_bin, "seed": self.booster.seed}
-        binner = binner_from_name(self.booster.quantization, **options).fit(rows, features, "id")
+        binner = binner_from_name(self.booster.quantization, **options).fit(rows, inner, "id")
         self.folds = rows.agg(F.max("fold")).first()[0] + 1
         self.boosters = []
         for k in range(self.folds):
@@ -80,14 +81,13 @@ class CrossValidation:
         rows, _ = self._fits(df, features, target, row_id, weight, cv, stratify)
         out = None
         for k, booster in enumerate(self.boosters):
-            part = booster.predict(rows.where(F.col("fold") == k)).select("id", "fold", "y", "prediction")
+            part = booster.model.on(inner_names(features)).predict(rows.where(F.col("fold") == k)).select("id", "fold", "y", "prediction")
             out = part if out is None else out.unionByName(part)
         return out
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        """The mean of the folds' postprocessed predictions."""
-        scored = df
-        for k, booster in enumerate(self.boosters):
-            scored = booster.predict(scored, f"_p{k}")
-        names = [f"_p{k}" for k in range(len(self.boosters))]
-        return scored.withColumn(name, mean_of_arrays([F.col(c) for c in names])).drop(*names)
+        """The mean of the folds' postprocessed predictions, all made in one pass."""
+        models, held = [b.model for b in self.boosters], free(df, "_folds")
+        scored = predict_all(models, df, held)
+        each = [models[0].loss.postprocess(F.get(F.get(held, F.lit(0)), F.lit(k))) for k in range(len(models))]
+        return scored.withColumn(name, mean_of_arrays(each)).drop(held)

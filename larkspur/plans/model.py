@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.operators.binning import missing_to_null
+from larkspur.operators.ordered import free, named
 
 
 @dataclass
@@ -58,6 +59,21 @@ class GroupTree:
         number[self.leaves] = np.arange(len(self.leaves))
         return number[node]
 
+    def ends_of_codes(self, codes: np.ndarray) -> np.ndarray:
+        """The leaf number of each row of a matrix of codes (0: missing)."""
+        feat, split, nan_left = np.array(self.feat), np.array(self.split), np.array(self.nan_left)
+        left, right = np.array(self.left), np.array(self.right)
+        node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        while len(rows):
+            now = node[rows]
+            inner = left[now] >= 0
+            rows, now = rows[inner], now[inner]
+            code = codes[rows, feat[now]]
+            node[rows] = np.where((code > split[now]) | ((code == 0) & ~nan_left[now]), right[now], left[now])
+        number = np.full(len(feat), -1)
+        number[self.leaves] = np.arange(len(self.leaves))
+        return number[node]
+
     def leaf_column(self, features: list[str]) -> Column:
         """The leaf number as one nested condition over raw features, for whole-stage code."""
         number = {node: k for k, node in enumerate(self.leaves)}
@@ -65,7 +81,7 @@ class GroupTree:
         def at(node: int) -> Column:
             if self.left[node] < 0:
                 return F.lit(number[node])
-            x = missing_to_null(F.col(features[self.feat[node]]))
+            x = missing_to_null(named(features[self.feat[node]]))
             right = F.when(x.isNull(), F.lit(not self.nan_left[node])).otherwise(x > F.lit(float(self.threshold[node])))
             return F.when(right, at(self.right[node])).otherwise(at(self.left[node]))
 
@@ -95,6 +111,10 @@ class Model:
     def __init__(self, features: list[str], loss: Loss, base: list[float], trees: list[Tree] | None = None):
         self.features, self.loss, self.base, self.trees = list(features), loss, list(base), trees or []
 
+    def on(self, features: list[str]) -> Model:
+        """The same model for a frame whose features have other names."""
+        return Model(features, self.loss, self.base, self.trees)
+
     # scoring
 
     def _scored(self, df: DataFrame, name: str, kind: T.DataType, score) -> DataFrame:
@@ -107,7 +127,8 @@ class Model:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:keep], score(_matrix(batch, keep, n))], names=[*batch.schema.names[:keep], name])
 
         rest = [c for c in df.columns if c != name]
-        wide = df.select(*(F.col(f"`{c}`") for c in rest), *(missing_to_null(F.col(c)).alias(f"_x{k}") for k, c in enumerate(self.features)))
+        x = free(df, "_x")
+        wide = df.select(*map(named, rest), *(missing_to_null(named(c)).alias(f"{x}{k}") for k, c in enumerate(self.features)))
         fields = [df.schema[c] for c in rest]
         return wide.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
 
@@ -146,7 +167,7 @@ class Model:
         return chosen
 
     def predict_staged(self, df: DataFrame, iterations: list[int] | None = None) -> DataFrame:
-        """A row for each row and iteration: ``df``'s columns, ``iter`` and ``prediction`` after trees 0 to iter."""
+        """A row for each row and iteration: ``df``'s other columns, ``iter`` and ``prediction`` after trees 0 to iter."""
         chosen = self._iterations(iterations)
         trees, base = self.trees, np.array(self.base)
 
@@ -159,13 +180,14 @@ class Model:
             inner = pa.ListArray.from_arrays(np.arange(0, stages.size + 1, len(base), dtype=np.int32), stages.ravel())
             return pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, len(chosen), dtype=np.int32), inner)
 
-        scored = self._scored(df, "_stages", T.ArrayType(T.ArrayType(T.DoubleType())), score)
-        steps = F.array(*map(F.lit, chosen))
-        long = scored.select("*", F.posexplode("_stages").alias("_k", "prediction"))
-        return long.select(*df.columns, F.element_at(steps, F.col("_k") + 1).alias("iter"), self.loss.postprocess(F.col("prediction")).alias("prediction"))
+        stages, place, margin = free(df, "_stages"), free(df, "_place"), free(df, "_margin")
+        scored = self._scored(df, stages, T.ArrayType(T.ArrayType(T.DoubleType())), score)
+        steps, rest = F.array(*map(F.lit, chosen)), [named(c) for c in df.columns if c not in ("iter", "prediction")]
+        long = scored.select(*rest, F.posexplode(stages).alias(place, margin))
+        return long.select(*rest, F.element_at(steps, F.col(place) + 1).alias("iter"), self.loss.postprocess(F.col(margin)).alias("prediction"))
 
     def predict_leaves(self, df: DataFrame, iterations: list[int] | None = None) -> DataFrame:
-        """A row for each row and iteration: ``df``'s columns, ``iter`` and ``leaf``, an array over groups."""
+        """A row for each row and iteration: ``df``'s other columns, ``iter`` and ``leaf``, an array over groups."""
         chosen = self._iterations(iterations)
         trees = [self.trees[k] for k in chosen]
         groups = {len(t.groups) for t in trees}
@@ -178,9 +200,11 @@ class Model:
             inner = pa.ListArray.from_arrays(np.arange(0, ends.size + 1, g, dtype=np.int32), ends.ravel().astype(np.int32))
             return pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, len(trees), dtype=np.int32), inner)
 
-        scored = self._scored(df, "_leaves", T.ArrayType(T.ArrayType(T.IntegerType())), score)
-        long = scored.select("*", F.posexplode("_leaves").alias("_k", "leaf"))
-        return long.select(*df.columns, F.element_at(F.array(*map(F.lit, chosen)), F.col("_k") + 1).alias("iter"), "leaf")
+        ends, place, found = free(df, "_ends"), free(df, "_place"), free(df, "_found")
+        scored = self._scored(df, ends, T.ArrayType(T.ArrayType(T.IntegerType())), score)
+        rest = [named(c) for c in df.columns if c not in ("iter", "leaf")]
+        long = scored.select(*rest, F.posexplode(ends).alias(place, found))
+        return long.select(*rest, F.element_at(F.array(*map(F.lit, chosen)), F.col(place) + 1).alias("iter"), F.col(found).alias("leaf"))
 
     # what the model tells
 
@@ -243,3 +267,26 @@ class Model:
     @classmethod
     def load_tables(cls, spark: SparkSession, path: str, loss: str | Loss | None = None) -> Model:
         return cls.from_json(spark.read.text(f"{path}/model").first()[0], loss)
+
+
+def predict_all(models: list[Model], df: DataFrame, name: str, iterations: list[int] | None = None) -> DataFrame:
+    """``df`` with raw margins of several models on the same features, in one pass: an array of iterations (only the last
+    trees where none are given) of arrays of models of outputs."""
+    chosen = iterations or [None]
+    trees, bases = [m.trees for m in models], [np.array(m.base) for m in models]
+    outputs = len(bases[0])
+
+    def score(x: np.ndarray) -> pa.Array:
+        made = np.empty((len(x), len(chosen), len(models), outputs))
+        for k, (own, base) in enumerate(zip(trees, bases, strict=True)):
+            out, done = np.tile(base, (len(x), 1)), 0
+            for i, last in enumerate(chosen):
+                stop = len(own) if last is None else last + 1
+                for tree in own[done:stop]:
+                    tree.add(x, out)
+                made[:, i, k], done = out, stop
+        inner = pa.ListArray.from_arrays(np.arange(0, made.size + 1, outputs, dtype=np.int32), made.ravel())
+        middle = pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, len(models), dtype=np.int32), inner)
+        return pa.ListArray.from_arrays(np.arange(0, len(middle) + 1, len(chosen), dtype=np.int32), middle)
+
+    return models[0]._scored(df, name, T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))), score)

@@ -122,13 +122,17 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model from (text, language) pairs."""
     languages = sorted({lang for _, lang in texts})
     rng, label_of = np.random.default_rng(seed), {x: k for k, x in enumerate(languages)}
-    spans, lengths = [], 0
-    for text, lang in texts:
-        found = [w for w in words_of(text) if any(c.isalpha() for c in w)]
-        for at in range(0, len(found), SPAN // 2):
-            if lengths < TRAIN_WORDS:
-                spans.append((found[at : at + SPAN // 2], label_of[lang]))
-                lengths += len(spans[-1][0])
+    spans = []
+    for lang in languages:  # each has an equal share of the words, which its texts give by turns
+        cut = []
+        for words in ([w for w in words_of(text) if any(c.isalpha() for c in w)] for text, x in texts if x == lang):
+            cut.append([words[at : at + SPAN // 2] for at in range(0, len(words), SPAN // 2)])
+        left = TRAIN_WORDS // len(languages)
+        for turn in range(max(map(len, cut), default=0)):
+            for own in cut:
+                if turn < len(own) and left > 0:
+                    spans.append((own[turn], label_of[lang]))
+                    left -= len(own[turn])
     every = {}
     for words, _ in spans:
         for w in words:

@@ -6,6 +6,10 @@ scores to be judged are plain arithmetic on identifiers, so that both engines fo
 
 from __future__ import annotations
 
+import logging
+import pickle
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import losses, metrics
 from larkspur.operators import binning, histograms, multioutput, ordered, routing, sampling
-from larkspur.plans import adaptive, cv
-from larkspur.plans.booster import GradientBoosting, leaf_column
+from larkspur.plans import adaptive, callbacks, cv
+from larkspur.plans.booster import GradientBoosting, SketchBoost, leaf_column
 from larkspur.plans.model import GroupTree
 from larkspur.sources import export, frames
 
@@ -85,11 +89,6 @@ def scan_inputs(spark, sf_dir):
     return scanned.select("id", F.round("gap", 9).alias("gap"), F.round(F.get("y", F.lit(0)), 9).alias("y"), "w")
 
 
-@query("synthetic_regression")
-def synthetic_regression(spark, sf_dir):
-    return frames.make_regression(spark, 1000, 5, 2)
-
-
 # binning
 
 _RANKS = "SELECT floor((CAST(k AS DOUBLE) * (CAST(1 AS DOUBLE) / {bins})) * n) AS r FROM range(1, {bins}) t(k), (SELECT count(*) AS n FROM e) c"
@@ -476,8 +475,6 @@ def export_targets(spark, sf_dir):
 @query("train_multilabel")
 def train_multilabel(spark, sf_dir):
     """Two labels with missing values, one vector-valued tree each turn, found on the larger of the two gradients."""
-    from larkspur.plans.booster import SketchBoost
-
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     rows = docs.select("doc_id", "n_chars", F.length("source").alias("ls"), F.crc32("lang").alias("lc"), F.when(F.col("doc_id") % 3 != 0, F.col("quality")).alias("a"), F.col("toxic").alias("b"))
     booster = SketchBoost("masked_bce", metric="masked_auc", ntrees=3, max_depth=2, sketch_method="topk", es=0, verbose=0)
@@ -487,9 +484,9 @@ def train_multilabel(spark, sf_dir):
 @query("train_multiclass")
 def train_multiclass(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    rows = vectors.select("vec_id", "label", *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(16)))
+    rows = vectors.select("vec_id", "label", *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(64)))
     booster = GradientBoosting("multiclass", ntrees=2, max_depth=2, es=0, verbose=0)
-    return booster.fit(rows, [f"x{k}" for k in range(16)], "label", "vec_id").predict(rows).select("vec_id", "prediction")
+    return booster.fit(rows, [f"x{k}" for k in range(64)], "label", "vec_id").predict(rows).select("vec_id", "prediction")
 
 
 # sampling and folds
@@ -639,17 +636,429 @@ def es_best_candidate(spark, sf_dir):
     return adaptive.best_iterations(_sums(spark, sf_dir))[0]
 
 
-@query("adaptive_oof")
-def adaptive_oof(spark, sf_dir):
-    booster = GradientBoosting("mse", ntrees=3, max_depth=1, verbose=0)
-    return adaptive.AdaptiveESCV(booster, range(1, 2), 50, 2).fit_predict(r_rows(spark, sf_dir), ["x0", "x1"], "y", "id", cv=2).select("id", "fold", "clust", "iter", "prediction")
-
-
 @query("running_sums", f"WITH {E} SELECT id, round(sum(x) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING), 4) AS upto FROM e")
 def running_sums(spark, sf_dir):
     return ordered.running_sums(e_rows(spark, sf_dir), "x", {"upto": F.col("x")}, ties=["id"]).select("id", F.round("upto", 4).alias("upto"))
 
 
+# more of the same operators, each against SQL of its own
+
+def _side(b: str, s: str = "rb") -> str:
+    return f"CASE WHEN (CASE WHEN {b}.feat = 0 THEN {s}.b0 ELSE {s}.b1 END) > {b}.bin THEN 1 ELSE 0 END"
+
+
+def _stumps(tag: str, trees: int, lr: float, where: str, base: str = "TRUE", source: str = "rb") -> str:
+    """Tables ``{tag}0`` .. ``{tag}{trees}``: margins of all rows after each stump; those ``where`` says are trained on."""
+    parts = [f"{tag}0 AS (SELECT *, (SELECT avg(y) FROM {source} WHERE {base}) AS pred FROM {source})"]
+    for k in range(trees):
+        parts.append(f"""{tag}l{k} AS (SELECT 0 AS feat, b0 AS bin, pred - y AS g FROM {tag}{k} WHERE {where} UNION ALL SELECT 1, b1, pred - y FROM {tag}{k} WHERE {where}),
+{tag}h{k} AS (SELECT feat, bin, sum(g) AS g, CAST(count(*) AS DOUBLE) AS h FROM {tag}l{k} GROUP BY feat, bin),
+{tag}p{k} AS (SELECT feat, bin, sum(g) OVER o AS g, sum(h) OVER o AS h, sum(g) OVER f AS gt, sum(h) OVER f AS ht FROM {tag}h{k} WINDOW o AS (PARTITION BY feat ORDER BY bin ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feat)),
+{tag}b{k} AS (SELECT feat, bin FROM {tag}p{k} ORDER BY CASE WHEN least(ht - h, h) > 10 THEN g * g / (h + 1) + (gt - g) * (gt - g) / (ht - h + 1) - gt * gt / (ht + 1) ELSE 0 END DESC, feat, bin LIMIT 1),
+{tag}s{k} AS (SELECT s.*, {_side("b", "s")} AS side FROM {tag}{k} s, {tag}b{k} b),
+{tag}v{k} AS (SELECT side, -{lr} * sum(pred - y) / (count(*) + 1) AS v FROM {tag}s{k} WHERE {where} GROUP BY side),
+{tag}{k + 1} AS (SELECT s.* EXCLUDE (side, pred), s.pred + v.v AS pred FROM {tag}s{k} s JOIN {tag}v{k} v ON s.side = v.side)""")
+    return ", ".join(parts)
+
+
+@query("scan_csv", "SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice, o_orderstatus FROM orders")
+def scan_csv(spark, sf_dir):
+    """Written as CSV files and read back with inferred types."""
+    path = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").write.csv(path, header=True)
+    return frames.read_csv(spark, path).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderstatus")
+
+
+def _scratch(spark) -> str:
+    """The folder that driver and executors share; only in local mode a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
+
+
+@query("scan_persisted", f"WITH {RB} SELECT id, x0, b0 AS c0, b1 AS c1, y FROM rb")
+def scan_persisted(spark, sf_dir):
+    """The frame that a fit keeps: identifier, codes and target, held in memory and disk."""
+    names = frames.inner_names(["x0", "x1"])
+    rows = frames.scan(r_rows(spark, sf_dir), "id", ["x0", "x1"], "y", names=names)
+    kept = binning.QuantileBinner().fit(rows, names, "id").transform(rows).persist()
+    return kept.select("id", F.col("_f0").alias("x0"), *(F.get("bins", F.lit(k)).cast("bigint").alias(f"c{k}") for k in range(2)), F.get("y", F.lit(0)).alias("y"))
+
+
+_U = "(CAST('0x' || substr(md5(concat('42:{turn}:', CAST(i AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0)"
+_N = "sqrt(-2 * ln(1 - " + _U.replace("{turn}", "{turn}:radius") + ")) * cos(2 * pi() * " + _U.replace("{turn}", "{turn}:angle") + ")"
+_WEIGHT = "(({k} * 37 + {t} * 101 + 42) % 97 + 1.0)"
+ORACLE_SQL["synthetic_regression"] = (
+    "WITH n AS (SELECT i, " + ", ".join(f"{_N.format(turn=f'x{k}')} AS x{k}" for k in range(5)) + ", " + ", ".join(f"{_N.format(turn=f'y{t}')} AS e{t}" for t in range(2)) + " FROM range(1000) t(i)) "
+    "SELECT i AS row_id, " + ", ".join(f"round(x{k}, 6) AS x{k}" for k in range(5)) + ", "
+    + ", ".join("round(e%d + %s, 4) AS y%d" % (t, " + ".join(f"x{k} * {_WEIGHT.format(k=k, t=t)}" for k in range(5)), t) for t in range(2)) + " FROM n"
+)
+
+
+@query("synthetic_regression", ORACLE_SQL["synthetic_regression"])
+def synthetic_regression(spark, sf_dir):
+    made = frames.make_regression(spark, 1000, 5, 2)
+    return made.select("row_id", *(F.round(f"x{k}", 6).alias(f"x{k}") for k in range(5)), *(F.round(f"y{t}", 4).alias(f"y{t}") for t in range(2)))
+
+
+@query("bin_by_name", f"WITH {E} SELECT 'Quantile' AS kind, round(border, 9) AS border FROM ({_QUANTILES.format(bins=15)}) UNION ALL SELECT 'Uniform', round(border, 9) FROM ({_EVEN.format(bins=15)}) UNION ALL SELECT * FROM (SELECT DISTINCT 'Uniquant', round(border, 9) FROM ({_EVEN.format(bins=7)} UNION ALL {_QUANTILES.format(bins=8)}))")
+def bin_by_name(spark, sf_dir):
+    found = [binning.binner_from_name(kind, max_bin=16).borders_frame(e_rows(spark, sf_dir), ["x"]).select(F.lit(kind).alias("kind"), F.round("border", 9).alias("border")) for kind in ("Quantile", "Uniform", "Uniquant")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("bin_count", f"WITH {R} SELECT greatest(count(DISTINCT x0), count(DISTINCT x1)) + 1 AS bins FROM r")
+def bin_count(spark, sf_dir):
+    """Bins that the largest feature needs: its distinct values and one for missing values."""
+    binner = binning.QuantileBinner().fit(r_rows(spark, sf_dir), ["x0", "x1"], "id")
+    return spark.createDataFrame([(binner.max_bins,)], "bins bigint")
+
+
+_ALIASES = [("bce", "bce"), ("binary", "bce"), ("crossentropy", "crossentropy"), ("l2", "mse"), ("logloss", "bce"), ("mse", "mse"), ("msle", "msle"), ("multiclass", "crossentropy"), ("multilabel", "bce"), ("multitask", "mse"), ("regression", "mse")]
+
+
+@query("loss_aliases", f"WITH {E} SELECT alias, round(avg(CASE loss WHEN 'mse' THEN p - y WHEN 'msle' THEN p - ln(1 + y) WHEN 'bce' THEN 1 / (1 + exp(-q)) - t ELSE 0 END), 6) AS g FROM e, (VALUES {', '.join(map(str, _ALIASES))}) a(alias, loss) GROUP BY alias")
+def loss_aliases(spark, sf_dir):
+    """The mean gradient of the loss that each name stands for."""
+    rows = e_rows(spark, sf_dir)
+    sums = []
+    for alias, _ in _ALIASES:
+        loss = losses.loss_from_name(alias)
+        if loss.multiclass:
+            g = F.aggregate(loss.grad_hess(F.array(F.lit(1)), F.array("q", "t"))[0], F.lit(0.0), lambda a, v: a + v)
+        else:
+            y, p = (F.array("t"), F.array("q")) if loss.name == "bce" else (loss.preprocess(F.array("y")), F.array("p"))
+            g = F.get(loss.grad_hess(y, p)[0], F.lit(0))
+        sums.append(F.struct(F.lit(alias).alias("alias"), F.abs(F.round(F.avg(g), 6)).alias("size"), F.round(F.avg(g), 6).alias("g")))
+    found = rows.agg(F.array(*sums).alias("s")).select(F.explode("s").alias("s"))
+    return found.select("s.alias", F.when(F.col("s.size") == 0, 0.0).otherwise(F.col("s.g")).alias("g"))
+
+
+class _Twice(losses.MSELoss):
+    """A loss of a user's own: twice the squared error."""
+
+    name = "twice"
+
+    def grad_hess(self, y, p):
+        return F.zip_with(p, y, lambda a, b: 2 * (a - b)), F.array(F.lit(2.0))
+
+
+@query("loss_custom", _boost(1, 2, 0.3, "2.0") + _OUT.format(k=1))
+def loss_custom(spark, sf_dir):
+    rows = r_rows(spark, sf_dir)
+    booster = GradientBoosting(_Twice(), metric="rmse", ntrees=1, max_depth=2, lr=0.3, es=0, verbose=0)
+    return _predicted((booster.fit(rows, ["x0", "x1"], "y", "id"), rows))
+
+
+_BY_NAME = {"rmse": "rmse", "l2": "rmse", "r2": "r2", "r2_score": "r2", "rmsle": "rmsle"}
+
+
+@query("metric_by_name", f"WITH {E} SELECT name, round(CASE kind WHEN 'rmse' THEN sqrt(avg((y - p) * (y - p))) WHEN 'rmsle' THEN sqrt(avg(power(ln(1 + y) - ln(1 + p), 2))) ELSE 1 - sum((y - p) * (y - p)) / sum((y - c) * (y - c)) END, 7) AS value FROM e, (SELECT avg(y) AS c FROM e) a, (VALUES {', '.join(map(str, _BY_NAME.items()))}) n(name, kind) GROUP BY name, kind")
+def metric_by_name(spark, sf_dir):
+    rows = e_rows(spark, sf_dir).select(F.array("y").alias("y"), F.array("p").alias("p"))
+    found = [metrics.metric_from_name(name).frame(rows).select(F.lit(name).alias("name"), F.round("value", 7).alias("value")) for name in _BY_NAME]
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("metric_best", "WITH s AS (SELECT CAST(month(o_orderdate) AS BIGINT) AS m, avg(o_totalprice) AS v FROM orders GROUP BY 1) SELECT (SELECT m FROM s ORDER BY v, m LIMIT 1) AS lowest, (SELECT m FROM s ORDER BY v DESC, m LIMIT 1) AS highest")
+def metric_best(spark, sf_dir):
+    """The first best of a list of scores, by a metric that should be small and by one that should be large."""
+    scores = [r["v"] for r in table(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("m")).agg(F.avg("o_totalprice").alias("v")).orderBy("m").collect()]
+    return spark.createDataFrame([(metrics.RMSE().argmax(scores) + 1, metrics.AUC().argmax(scores) + 1)], "lowest bigint, highest bigint")
+
+
+class EveryOther:
+    """A row sampler of a user's own: rows with even identifiers."""
+
+    def mark(self, rows, row_id, n, seed, turn):
+        return rows.withColumn("_in", F.col(row_id) % 2 == 0)
+
+
+@query("sample_custom", f"WITH {RB}, {_stumps('t', 2, 0.3, 'id % 2 = 0')} SELECT id, round(pred, 7) AS prediction FROM t2")
+def sample_custom(spark, sf_dir):
+    return _predicted(_fit(spark, sf_dir, 2, 1, 0.3, subsample=EveryOther()))
+
+
+# two outputs
+
+R2 = RB + ", rm AS (SELECT id, b0, b1, y AS y1, 10 * (x1 % 4) AS y2 FROM rb)"
+
+
+def _two(depth: int, lr: float, structure: tuple[int, ...]) -> str:
+    """One vector-valued tree for y1 and y2, whose structure sees the given gradients."""
+    parts = [R2, "u0 AS (SELECT *, 0 AS node, p1 - y1 AS g1, p2 - y2 AS g2 FROM rm, (SELECT avg(y1) AS p1, avg(y2) AS p2 FROM rm) a)"]
+    gain = " + ".join(f"g{k} * g{k} / (h + 1) + (g{k}t - g{k}) * (g{k}t - g{k}) / (ht - h + 1) - g{k}t * g{k}t / (ht + 1)" for k in structure)
+    for d in range(depth):
+        s = f"u{d}"
+        parts.append(f"""l{d} AS (SELECT node, 0 AS feat, b0 AS bin, g1, g2 FROM {s} UNION ALL SELECT node, 1, b1, g1, g2 FROM {s}),
+h{d} AS (SELECT node, feat, bin, sum(g1) AS g1, sum(g2) AS g2, CAST(count(*) AS DOUBLE) AS h FROM l{d} GROUP BY node, feat, bin),
+q{d} AS (SELECT node, feat, bin, sum(g1) OVER o AS g1, sum(g2) OVER o AS g2, sum(h) OVER o AS h, sum(g1) OVER f AS g1t, sum(g2) OVER f AS g2t, sum(h) OVER f AS ht FROM h{d} WINDOW o AS (PARTITION BY node, feat ORDER BY bin ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY node, feat)),
+b{d} AS (SELECT node, feat, bin FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feat, bin) AS r FROM (SELECT *, CASE WHEN least(ht - h, h) > 10 THEN {gain} ELSE 0 END AS gain FROM q{d})) WHERE r = 1 AND gain > 0),
+u{d + 1} AS (SELECT s.* REPLACE (CASE WHEN b.feat IS NULL THEN s.node ELSE 2 * s.node + 1 + {_side("b", "s")} END AS node) FROM {s} s LEFT JOIN b{d} b ON s.node = b.node)""")
+    parts.append(f"w AS (SELECT node, -{lr} * sum(g1) / (count(*) + 1) AS v1, -{lr} * sum(g2) / (count(*) + 1) AS v2 FROM u{depth} GROUP BY node)")
+    return "WITH " + ", ".join(parts) + f" SELECT id, round(p1 + v1, 7) AS p1, round(p2 + v2, 7) AS p2 FROM u{depth} JOIN w ON u{depth}.node = w.node"
+
+
+def two_rows(spark, sf_dir) -> DataFrame:
+    return r_rows(spark, sf_dir).select("id", "x0", "x1", F.col("y").alias("y1"), (10 * (F.col("x1") % 4)).alias("y2"))
+
+
+def _two_predicted(booster, spark, sf_dir) -> DataFrame:
+    rows = two_rows(spark, sf_dir)
+    scored = booster.fit(rows, ["x0", "x1"], ["y1", "y2"], "id").predict(rows)
+    return scored.select("id", *(F.round(F.get("prediction", F.lit(k)), 7).alias(f"p{k + 1}") for k in range(2)))
+
+
+@query("fit_two_outputs", _two(2, 0.3, (1, 2)))
+def fit_two_outputs(spark, sf_dir):
+    return _two_predicted(GradientBoosting("mse", ntrees=1, max_depth=2, lr=0.3, es=0, verbose=0), spark, sf_dir)
+
+
+@query("fit_sketched", _two(2, 0.3, (2,)))
+def fit_sketched(spark, sf_dir):
+    """The structure sees the output with the larger gradients alone, leaf values are found for both."""
+    return _two_predicted(SketchBoost("mse", sketch_outputs=1, sketch_method="topk", ntrees=1, max_depth=2, lr=0.3, es=0, verbose=0), spark, sf_dir)
+
+
+@query("fit_unhessed", _two(2, 0.3, (1, 2)))
+def fit_unhessed(spark, sf_dir):
+    """With several outputs and without hessians, rows count by weight in the structure; leaf values use the hessians."""
+    return _two_predicted(GradientBoosting("mse", ntrees=1, max_depth=2, lr=0.3, use_hess=False, es=0, verbose=0), spark, sf_dir)
+
+
+@query("gain_two_outputs", R2.join(["WITH ", ", "]) + "l AS (SELECT 0 AS feat, b0 AS bin, y1, y2 FROM rm UNION ALL SELECT 1, b1, y1, y2 FROM rm), h AS (SELECT feat, bin, sum(y1) AS a, sum(y2) AS b, CAST(count(*) AS DOUBLE) AS h FROM l GROUP BY feat, bin), q AS (SELECT feat, bin, sum(a) OVER o AS a, sum(b) OVER o AS b, sum(h) OVER o AS h, sum(a) OVER f AS ta, sum(b) OVER f AS tb, sum(h) OVER f AS ht FROM h WINDOW o AS (PARTITION BY feat ORDER BY bin ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feat)) SELECT feat, bin, round(CASE WHEN least(ht - h, h) > 10 THEN a * a / (h + 1) + (ta - a) * (ta - a) / (ht - h + 1) - ta * ta / (ht + 1) + b * b / (h + 1) + (tb - b) * (tb - b) / (ht - h + 1) - tb * tb / (ht + 1) ELSE 0 END, 4) AS gain FROM q")
+def gain_two_outputs(spark, sf_dir):
+    rows = r_binned(spark, sf_dir).withColumn("g1", 10 * (F.col("x1") % 4))
+    found = histograms.gains(histograms.running(histograms.histogram(rows, [0, 1], 2, 1), 2, 1), 2, 1).where("nan_left")
+    return found.select("feat", F.col("bin").cast("bigint").alias("bin"), F.round("gain", 4).alias("gain"))
+
+
+@query("split_single", "SELECT k, CAST(0 AS BIGINT) AS grp FROM range(3) t(k)")
+def split_single(spark, sf_dir):
+    return spark.createDataFrame([(k, g) for g, part in enumerate(multioutput.single_groups(3)) for k in part], "k bigint, grp bigint")
+
+
+@query("sketch_identity", f"WITH {K} SELECT id, round(g0, 6) AS s0, g1 AS s1, g2 AS s2 FROM k")
+def sketch_identity(spark, sf_dir):
+    return _cells(multioutput.Sketch().apply(k_rows(spark, sf_dir), 3, 1, {})[0], 3)
+
+
+_SVD = f"WITH {K}, m AS (SELECT sum(g1 * g1) AS a, sum(g1 * g2) AS b, sum(g2 * g2) AS c FROM k), v AS (SELECT b AS x, (a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 - a AS y FROM m) SELECT id, round((g1 * x + g2 * y) / sqrt(x * x + y * y), 4) AS s0 FROM k, v"
+
+
+def _svd(spark, sf_dir, **options) -> DataFrame:
+    rows = k_rows(spark, sf_dir)
+    rows = rows.withColumn("g", F.slice("g", 2, 2))
+    return _cells(multioutput.SVDSketch(n_components=1, **options).apply(rows, 2, 1, {"n": rows.count(), "seed": 42, "turn": 0, "row_id": "id"})[0], 1, 4)
+
+
+@query("sketch_svd", _SVD)
+def sketch_svd(spark, sf_dir):
+    return _svd(spark, sf_dir)
+
+
+@query("sketch_svd_randomized", _SVD)
+def sketch_svd_randomized(spark, sf_dir):
+    return _svd(spark, sf_dir, algorithm="randomized", n_iter=20)
+
+
+@query("sketch_svd_sample", _SVD.replace("AS c FROM k)", "AS c FROM (SELECT * FROM k ORDER BY md5(concat('42:svd0:', CAST(id AS VARCHAR))), id LIMIT 300))"))
+def sketch_svd_sample(spark, sf_dir):
+    return _svd(spark, sf_dir, sample=300)
+
+
+# files and other scorers
+
+def _folder() -> str:
+    return tempfile.mkdtemp(prefix="larkspur-")
+
+
+@query("model_json", _boost(2, 2, 0.3) + _OUT.format(k=2))
+def model_json(spark, sf_dir):
+    """Dumped to a JSON file on the driver and loaded again."""
+    booster, rows = _fit(spark, sf_dir, 2, 2, 0.3)
+    path = f"{_folder()}/model.json"
+    booster.dump(path)
+    return _predicted((GradientBoosting("mse").load(path), rows))
+
+
+@query("model_pickle", _boost(2, 2, 0.3) + _OUT.format(k=2))
+def model_pickle(spark, sf_dir):
+    booster, rows = _fit(spark, sf_dir, 2, 2, 0.3)
+    return _predicted((pickle.loads(pickle.dumps(booster)), rows))
+
+
+def _two_fitted(spark, sf_dir):
+    rows = two_rows(spark, sf_dir)
+    return GradientBoosting("mse", ntrees=1, max_depth=2, lr=0.3, es=0, verbose=0).fit(rows, ["x0", "x1"], ["y1", "y2"], "id").model, rows
+
+
+@query("scorer_filter", f"SELECT id, p2 FROM ({_two(2, 0.3, (1, 2))})")
+def scorer_filter(spark, sf_dir):
+    model, rows = _two_fitted(spark, sf_dir)
+    return export.Scorer(model, [1]).predict(rows).select("id", F.round(F.get("prediction", F.lit(0)), 7).alias("p2"))
+
+
+@query("scorer_logistic", f"SELECT id, round(1 / (1 + exp(-p1)), 5) AS p1, round(1 / (1 + exp(-p2)), 5) AS p2 FROM ({_two(2, 0.3, (1, 2))})")
+def scorer_logistic(spark, sf_dir):
+    model, rows = _two_fitted(spark, sf_dir)
+    scored = export.Scorer(model, transform="LOGISTIC").predict(rows)
+    return scored.select("id", *(F.round(F.get("prediction", F.lit(k)), 5).alias(f"p{k + 1}") for k in range(2)))
+
+
+@query("scorer_onnx", f"SELECT id, round(p1, 3) AS p1, round(p2, 3) AS p2 FROM ({_two(2, 0.3, (1, 2))})")
+def scorer_onnx(spark, sf_dir):
+    """Written as an ONNX file and scored by the runtime for such files."""
+    model, rows = _two_fitted(spark, sf_dir)
+    scored = export.score_onnx(rows, export.onnx_bytes(model, spark), model.features)
+    return scored.select("id", *(F.round(F.get("prediction", F.lit(k)), 3).alias(f"p{k + 1}") for k in range(2)))
+
+
+@query("scorer_compiled", _two(2, 0.3, (1, 2)))
+def scorer_compiled(spark, sf_dir):
+    """Converted to SQL text, kept in a file, read back and run as part of the plan."""
+    model, rows = _two_fitted(spark, sf_dir)
+    path = f"{_folder()}/model.sql.json"
+    export.Compiled.convert(model).dump(path)
+    scored = export.Compiled.load(path).predict(rows)
+    return scored.select("id", *(F.round(F.get("prediction", F.lit(k)), 7).alias(f"p{k + 1}") for k in range(2)))
+
+
+# training's frame: parameters, callbacks, logging
+
+@query("infer_params", "SELECT * FROM (VALUES ('bce', 'bce', 'bce', 2), ('mse', 'mse', 'rmse', 1), ('msle', 'msle', 'rmsle', 1), ('multiclass', 'crossentropy', 'crossentropy', 1)) t(asked, loss, metric, groups)")
+def infer_params(spark, sf_dir):
+    """What a booster makes of names: loss, metric and groups of two outputs."""
+    rows = []
+    for asked, splitter in (("mse", "Single"), ("msle", "Single"), ("bce", "OneVsAll"), ("multiclass", "Single")):
+        booster = GradientBoosting(asked, target_splitter=splitter)
+        loss, metric = booster._parts()
+        rows.append((asked, loss.name, metric.name, len(booster._groups()(2, 42, 0))))
+    return spark.createDataFrame(rows, "asked string, loss string, metric string, groups int")
+
+
+class _Told(callbacks.Callback):
+    def __init__(self, name: str, into: list, last: int | None = None):
+        self.name, self.into, self.last = name, into, last
+
+    def _say(self, what: str) -> None:
+        self.into.append((len(self.into), self.name, what))
+
+    def before_train(self, state):
+        self._say("before train")
+
+    def before_iteration(self, state):
+        self._say(f"before {state['num_iter']}")
+
+    def after_iteration(self, state):
+        self._say(f"after {state['num_iter']}")
+        return state["num_iter"] == self.last
+
+    def after_train(self, state):
+        self._say("after train")
+
+
+_CALLS = ["a before train", "b before train", "a before 0", "b before 0", "a after 0", "b after 0", "a before 1", "b before 1", "a after 1", "a after train", "b after train"]
+
+
+@query("callback_order", "SELECT * FROM (VALUES " + ", ".join(str((k, c[0], c[2:])) for k, c in enumerate(_CALLS)) + ") t(k, who, what)")
+def callback_order(spark, sf_dir):
+    """Two callbacks; the first stops training after its second iteration, so the second is not asked."""
+    calls: list = []
+    _fit(spark, sf_dir, 5, 1, 0.3, callbacks=[_Told("a", calls, 1), _Told("b", calls)])
+    return spark.createDataFrame(calls, "k int, who string, what string")
+
+
+@query("log_lines", "SELECT * FROM (VALUES (0, 17, 'one'), (1, 17, 'two'), (2, 17, 'three')) t(k, level, line)")
+def log_lines(spark, sf_dir):
+    """Text written to a logger's stream: whole lines, each once, at the level of verbosity 2."""
+    logger, lines = logging.getLogger("larkspur.lines"), []
+    handler = logging.Handler()
+    handler.emit = lambda record: lines.append((len(lines), record.levelno, record.getMessage()))
+    handler.addFilter(callbacks.DuplicateFilter())
+    logger.handlers, logger.propagate = [handler], False
+    logger.setLevel(logging.DEBUG)
+    stream = callbacks.LoggerStream(logger, callbacks.verbosity_to_loglevel(2))
+    stream.write("one\none\ntw")
+    stream.write("o\nthree")
+    stream.flush()
+    return spark.createDataFrame(lines, "k int, level int, line string")
+
+
+# cross-validation and adaptive stopping as a whole
+
+_FOLD = "(row_number() OVER (ORDER BY md5(concat('42:folds:', CAST(id AS VARCHAR))), id) - 1) % 2"
+RF = f"{RB}, rf AS (SELECT * REPLACE (10 * x1 AS y), {_FOLD} AS fold FROM rb)"
+_CV = f"WITH {RF}, " + ", ".join(_stumps(f"f{k}t", 3, 0.3, f"fold <> {k}", f"fold <> {k}", "rf") for k in range(2)) + " "
+
+
+def _cv(spark, sf_dir, kind=cv.CrossValidation, *more):
+    booster = GradientBoosting("mse", ntrees=3, max_depth=1, lr=0.3, es=0, verbose=0)
+    return kind(booster, *more), r_rows(spark, sf_dir).withColumn("y", 10 * F.col("x1"))
+
+
+@query("folds_custom", "SELECT o_orderkey AS id, CAST(o_orderkey % 3 AS INT) AS fold FROM orders")
+def folds_custom(spark, sf_dir):
+    booster, rows = _cv(spark, sf_dir)
+    booster.booster.ntrees = 1
+    return booster.fit_predict(rows.withColumn("part", F.col("id") % 3), ["x0", "x1"], "y", "id", cv=cv.CustomFolds("part")).select("id", "fold")
+
+
+@query("cv_oof_predictions", _CV + "SELECT id, CAST(fold AS INT) AS fold, round(pred, 7) AS prediction FROM f0t3 WHERE fold = 0 UNION ALL SELECT id, CAST(fold AS INT), round(pred, 7) FROM f1t3 WHERE fold = 1")
+def cv_oof_predictions(spark, sf_dir):
+    booster, rows = _cv(spark, sf_dir)
+    return booster.fit_predict(rows, ["x0", "x1"], "y", "id", cv=2).select("id", "fold", F.round(F.get("prediction", F.lit(0)), 7).alias("prediction"))
+
+
+@query("cv_predict", _CV + "SELECT a.id, round((a.pred + b.pred) / 2, 7) AS prediction FROM f0t3 a JOIN f1t3 b ON a.id = b.id")
+def cv_predict(spark, sf_dir):
+    booster, rows = _cv(spark, sf_dir)
+    booster.fit_predict(rows, ["x0", "x1"], "y", "id", cv=2)
+    return booster.predict(rows).select("id", F.round(F.get("prediction", F.lit(0)), 7).alias("prediction"))
+
+
+_PATHS = f"WITH {RB}, p AS (SELECT id, b0, b1, l0, l1, l2 FROM ({_PATH.replace('SELECT id, b0 AS bin', 'SELECT id, b0, b1')}))"
+_CLUSTERS = _PATHS + ", l AS (SELECT 0 AS feat, b0 AS bin, l0, l1, l2 FROM p UNION ALL SELECT 1, b1, l0, l1, l2 FROM p), h AS (SELECT feat, bin, sum(l0) AS a, sum(l1) AS b, sum(l2) AS c, count(*) AS n FROM l GROUP BY feat, bin), u AS (SELECT feat, bin, sum(a) OVER o AS a, sum(b) OVER o AS b, sum(c) OVER o AS c, sum(n) OVER o AS n, sum(a) OVER f AS ta, sum(b) OVER f AS tb, sum(c) OVER f AS tc, sum(n) OVER f AS tn FROM h WINDOW o AS (PARTITION BY feat ORDER BY bin ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY feat)), z AS (SELECT feat, bin FROM (SELECT feat, bin, CASE WHEN least(n, tn - n) >= 100 THEN least(ta, tb, tc) - least(a, b, c) - least(ta - a, tb - b, tc - c) ELSE 0 END AS gain FROM u) WHERE gain > 0 ORDER BY gain DESC, feat, bin LIMIT 1) "
+
+
+@query("es_candidates", _CLUSTERS + f"SELECT id, CAST(0 AS INT) AS none, CAST(CASE WHEN z.feat IS NULL THEN 0 ELSE {_side('z', 'p')} END AS INT) AS clust FROM p LEFT JOIN z ON TRUE")
+def es_candidates(spark, sf_dir):
+    """The clusters of no clustering and of the tree of depth 1 over paths of three losses."""
+    rows = _paths(spark, sf_dir)
+    binner = binning.QuantileBinner().fit(r_rows(spark, sf_dir), ["x0", "x1"], "id")
+    found = adaptive.ClusterCandidates(range(1, 2), 100).fit(rows.withColumn("path", F.array("g0", "g1", "g2")), "path", 3, binner)
+    none, clust = found.columns()
+    return rows.select("id", none.cast("int").alias("none"), clust.cast("int").alias("clust"))
+
+
+# the target is a feature: losses fall from stump to stump in every cluster, so all clusters stop where the others' sums say
+_STAGED = ", st AS (" + " UNION ALL ".join(f"SELECT id, fold, y, {i - 1} AS iter, pred FROM f{k}t{i} WHERE fold = {k}" for k in range(2) for i in (1, 2, 3)) + "), sl AS (SELECT fold, iter, sum((y - pred) * (y - pred)) AS loss FROM st GROUP BY fold, iter), pick AS (SELECT a.fold, b.iter, row_number() OVER (PARTITION BY a.fold ORDER BY b.loss, b.iter) AS r FROM (SELECT DISTINCT fold FROM sl) a JOIN sl b ON a.fold <> b.fold) "
+_ADAPTIVE = (adaptive.AdaptiveESCV, range(1, 2), 50, [0, 1, 2])
+
+
+@query("adaptive_oof", _CV.rstrip() + _STAGED + "SELECT st.id, CAST(st.fold AS INT) AS fold, CAST(st.iter AS INT) AS iter, round(st.pred, 7) AS prediction FROM st JOIN pick ON st.fold = pick.fold AND st.iter = pick.iter AND pick.r = 1")
+def adaptive_oof(spark, sf_dir):
+    booster, rows = _cv(spark, sf_dir, *_ADAPTIVE)
+    return booster.fit_predict(rows, ["x0", "x1"], "y", "id", cv=2).select("id", "fold", "iter", F.round(F.get("prediction", F.lit(0)), 7).alias("prediction"))
+
+
+@query("adaptive_predict", _CV.rstrip() + _STAGED + ", best AS (SELECT iter FROM (SELECT iter, sum(loss) AS loss FROM sl GROUP BY iter) ORDER BY loss, iter LIMIT 1) SELECT a.id, round((CASE iter WHEN 0 THEN a1.pred + b1.pred WHEN 1 THEN a2.pred + b2.pred ELSE a.pred + b.pred END) / 2, 7) AS prediction FROM best, f0t3 a JOIN f1t3 b ON a.id = b.id JOIN f0t1 a1 ON a.id = a1.id JOIN f1t1 b1 ON a.id = b1.id JOIN f0t2 a2 ON a.id = a2.id JOIN f1t2 b2 ON a.id = b2.id")
+def adaptive_predict(spark, sf_dir):
+    booster, rows = _cv(spark, sf_dir, *_ADAPTIVE)
+    booster.fit_predict(rows, ["x0", "x1"], "y", "id", cv=2)
+    return booster.predict(rows).select("id", F.round(F.get("prediction", F.lit(0)), 7).alias("prediction"))
+
+
+@query("sample_column_probs_inverse", "SELECT k, round(0.1 / 4 + 0.9 * (1 - (v + 1e-3) / 10.004) / 3, 9) AS p FROM (VALUES (0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)) t(k, v)")
+def sample_column_probs_inverse(spark, sf_dir):
+    p = sampling.ColumnImportanceSampler(smooth=0.1, inverse=True).shares(np.array([1.0, 2.0, 3.0, 4.0]))
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)], "k int, p double").withColumn("p", F.round("p", 9))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small regression on orders: the price from date parts, priority, status and the customer's balance."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey", "left")

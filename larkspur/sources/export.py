@@ -1,18 +1,26 @@
 """Export of models for other scorers: a flat table of tree-ensemble attributes, with a choice of outputs.
 
 The table has the attributes of a tree-ensemble regressor (branch on ``<=``, missing values by flag, values summed on
-top of base values). An ONNX file is written where the ``onnx`` package is installed; the table needs nothing.
+top of base values). ``onnx_bytes`` writes the same as an ONNX file, ``score_onnx`` scores with one, and ``Compiled`` is a
+model as generated SQL.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions.losses import sigmoid, softmax
+from larkspur.operators.binning import missing_to_null
+from larkspur.operators.ordered import free, named
 from larkspur.plans.model import Model
 
 #: What a scorer may do with the sums (fixed values).
@@ -90,21 +98,142 @@ class Scorer:
         return scored.withColumn(name, self.model.loss.postprocess(kept) if self.postprocess else kept)
 
 
-def to_onnx(model: Model, spark: SparkSession, path: str, fltr: list[int] | None = None, transform: str = "NONE") -> None:
-    """Writes an ONNX file; needs the ``onnx`` package, which is imported here and nowhere else."""
-    try:
-        from onnx import TensorProto, helper, save
-    except ImportError as missing:
-        raise RuntimeError("the onnx package is not installed; use node_table and target_table") from missing
+def _number(value: int) -> bytes:
+    """A protocol buffer's variable-length integer."""
+    value, out = value & (1 << 64) - 1, bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def _field(number: int, value: int | str | bytes) -> bytes:
+    if isinstance(value, int):
+        return _number(number << 3) + _number(value)
+    raw = value.encode() if isinstance(value, str) else value
+    return _number(number << 3 | 2) + _number(len(raw)) + raw
+
+
+#: Kinds of attributes in an ONNX file, with the field that has their values (fixed values).
+_STRING, _FLOATS, _INTS, _STRINGS = (3, 4), (6, 7), (7, 8), (8, 9)
+
+
+def _attribute(name: str, value) -> bytes:
+    if isinstance(value, str):
+        kind, body = _STRING, _field(_STRING[1], value)
+    elif isinstance(value, np.ndarray) and value.dtype == np.float32:
+        kind, body = _FLOATS, _field(_FLOATS[1], value.astype("<f4").tobytes())
+    elif value and isinstance(value[0], str):
+        kind, body = _STRINGS, b"".join(_field(_STRINGS[1], v) for v in value)
+    else:
+        kind, body = _INTS, _field(_INTS[1], b"".join(map(_number, value)))
+    return _field(5, _field(1, name) + body + _field(20, kind[0]))
+
+
+def _tensor(name: str, width: int) -> bytes:
+    """A matrix of floats with any number of rows."""
+    shape = _field(1, _field(2, "n")) + _field(1, _field(1, width))
+    return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, shape)))
+
+
+def _below(thresholds: list[float]) -> np.ndarray:
+    """The largest floats that are not above: a float value is below one exactly if it is below the other."""
+    exact = np.array(thresholds, dtype=np.float64)
+    near = exact.astype(np.float32)
+    return np.where(near > exact, np.nextafter(near, np.float32(-np.inf)), near).astype(np.float32)
+
+
+def onnx_bytes(model: Model, spark: SparkSession, fltr: list[int] | None = None, transform: str = "NONE") -> bytes:
+    """An ONNX file with one tree-ensemble regressor from ``X`` (floats, NaN for missing) to ``Y`` (kept outputs)."""
+    if transform not in POST_TRANSFORMS:
+        raise ValueError(f"unknown transform: {transform}")
     nodes = node_table(model, spark, fltr).orderBy("tree", "node").collect()
     targets = target_table(model, spark, fltr).orderBy("tree", "node", "target").collect()
     keep = chosen_outputs(model, fltr)
-    made = helper.make_node(
-        "TreeEnsembleRegressor", ["X"], ["Y"], domain="ai.onnx.ml", aggregate_function="SUM", n_targets=len(keep), post_transform=transform, base_values=[float(model.base[k]) for k in keep],
-        nodes_treeids=[r["tree"] for r in nodes], nodes_nodeids=[r["node"] for r in nodes], nodes_modes=[r["mode"] for r in nodes], nodes_featureids=[r["feat"] for r in nodes],
-        nodes_values=[float(r["threshold"]) for r in nodes], nodes_truenodeids=[r["true_node"] for r in nodes], nodes_falsenodeids=[r["false_node"] for r in nodes],
-        nodes_missing_value_tracks_true=[int(r["missing_true"]) for r in nodes],
-        target_treeids=[r["tree"] for r in targets], target_nodeids=[r["node"] for r in targets], target_ids=[r["target"] for r in targets], target_weights=[float(r["value"]) for r in targets],
-    )
-    graph = helper.make_graph([made], "larkspur", [helper.make_tensor_value_info("X", TensorProto.FLOAT, [None, len(model.features)])], [helper.make_tensor_value_info("Y", TensorProto.FLOAT, [None, len(keep)])])
-    save(helper.make_model(graph, opset_imports=[helper.make_opsetid("ai.onnx.ml", 3), helper.make_opsetid("", 15)]), path)
+
+    def whole(rows, column: str) -> list[int]:
+        return [int(r[column]) for r in rows]
+
+    attributes = {
+        "aggregate_function": "SUM", "post_transform": transform, "n_targets": None, "base_values": np.array([model.base[k] for k in keep], dtype=np.float32),
+        "nodes_treeids": whole(nodes, "tree"), "nodes_nodeids": whole(nodes, "node"), "nodes_featureids": whole(nodes, "feat"), "nodes_modes": [r["mode"] for r in nodes],
+        "nodes_values": _below([r["threshold"] for r in nodes]), "nodes_truenodeids": whole(nodes, "true_node"), "nodes_falsenodeids": whole(nodes, "false_node"),
+        "nodes_missing_value_tracks_true": whole(nodes, "missing_true"), "target_treeids": whole(targets, "tree"), "target_nodeids": whole(targets, "node"),
+        "target_ids": whole(targets, "target"), "target_weights": np.array([r["value"] for r in targets], dtype=np.float32),
+    }
+    made = b"".join(_attribute(k, v) for k, v in attributes.items() if v is not None)
+    made += _field(5, _field(1, "n_targets") + _field(3, len(keep)) + _field(20, 2))
+    node = _field(1, "X") + _field(2, "Y") + _field(4, "TreeEnsembleRegressor") + made + _field(7, "ai.onnx.ml")
+    graph = _field(1, node) + _field(2, "larkspur") + _field(11, _tensor("X", len(model.features))) + _field(12, _tensor("Y", len(keep)))
+    versions = _field(8, _field(1, "ai.onnx.ml") + _field(2, 3)) + _field(8, _field(1, "") + _field(2, 15))
+    return _field(1, 8) + _field(2, "larkspur") + _field(7, graph) + versions
+
+
+def to_onnx(model: Model, spark: SparkSession, path: str, fltr: list[int] | None = None, transform: str = "NONE") -> None:
+    """Writes an ONNX file."""
+    with open(path, "wb") as file:
+        file.write(onnx_bytes(model, spark, fltr, transform))
+
+
+def score_onnx(df: DataFrame, onnx: bytes, features: list[str], name: str = "prediction") -> DataFrame:
+    """``df`` with what the runtime for ONNX files makes of its features, batch by batch on the executors."""
+    rest, n = [c for c in df.columns if c != name], len(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import onnxruntime
+
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1
+        session = onnxruntime.InferenceSession(onnx, options, providers=["CPUExecutionProvider"])
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(rest) :]], axis=1).astype(np.float32)
+            y = session.run(["Y"], {"X": x})[0].reshape(batch.num_rows, -1).astype(np.float64)
+            lists = pa.ListArray.from_arrays(np.arange(0, y.size + 1, max(y.shape[1], 1), dtype=np.int32), y.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists], names=[*batch.schema.names[: len(rest)], name])
+
+    x = free(df, "_x")
+    wide = df.select(*map(named, rest), *(missing_to_null(named(c)).alias(f"{x}{k}") for k, c in enumerate(features[:n])))
+    return wide.mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
+
+class Compiled:
+    """A model as SQL text, one nested condition for each tree, which Spark compiles with the rest of a stage. The text
+    can be kept in a file and read back without the model. ``outputs``: the SQL of each output's sum."""
+
+    def __init__(self, outputs: list[str]):
+        self.outputs = list(outputs)
+
+    @classmethod
+    def convert(cls, model: Model, fltr: list[int] | None = None) -> Compiled:
+        def literal(v: float) -> str:
+            return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+        def text(group, values, node: int, number: dict[int, int]) -> str:
+            if group.left[node] < 0:
+                return literal(float(values[number[node]]))
+            x = "`" + model.features[group.feat[node]].replace("`", "``") + "`"
+            left, right = text(group, values, group.left[node], number), text(group, values, group.right[node], number)
+            missing = left if group.nan_left[node] else right
+            return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN {missing} WHEN {x} > {literal(float(group.threshold[node]))} THEN {right} ELSE {left} END"
+
+        sums = {k: [literal(float(model.base[k]))] for k in chosen_outputs(model, fltr)}
+        for tree in model.trees:
+            for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
+                number = {node: k for k, node in enumerate(group.leaves)}
+                for j, out in enumerate(outs):
+                    if out in sums:
+                        sums[out].append(text(group, values[:, j], 0, number))
+        return cls([" + ".join(parts) for parts in sums.values()])
+
+    def dump(self, path: str) -> None:
+        with open(path, "w") as file:
+            json.dump(self.outputs, file)
+
+    @classmethod
+    def load(cls, path: str) -> Compiled:
+        with open(path) as file:
+            return cls(json.load(file))
+
+    def predict(self, df: DataFrame, name: str = "prediction", transform: str = "NONE") -> DataFrame:
+        """``df`` with the array of sums, transformed."""
+        return df.withColumn(name, post_transform(F.array(*map(F.expr, self.outputs)), transform))

@@ -1,14 +1,17 @@
-"""Near-duplicate components by the exact similarity of shingle sets: no pair at ``SIMILARITY`` or more is missed.
+"""Near-duplicate components by the exact similarity of shingle sets of ``SIMILARITY`` or more.
 
 A text is read as the set of its 5-word shingles (words as in ``simhash``), each a 64-bit hash. Two texts link if
 their sets' Jaccard similarity is 4/5 or more. Equal sets are one node, so copies never multiply. Candidates come from
 
-* SimHash: nodes of equal fingerprints, and the spanning forest of fingerprints ``simhash.BUDGET`` bits apart;
-* the prefix filter: of n shingles, the n // 5 + 1 with the smallest hashes. Sets that similar have a shingle in common
-  there, whatever the texts, so that these candidates are complete.
+* SimHash: nodes of equal fingerprints, and the spanning forest of fingerprints ``simhash.BUDGET`` bits apart, found by
+  the trie self-join. Texts at a similarity of 0.8 lie 5 to 13 bits apart as a rule, where a self-join of fingerprints
+  would have to look at a share of all pairs that does not shrink with the corpus;
+* bands of minima: ``ROWS`` smallest hashes of a set under as many orders make a band, of which there are ``BANDS``. Two
+  sets of similarity s have a band in common with probability ``1 - (1 - s ** ROWS) ** BANDS``: all but one in two million
+  at 0.8, one in three hundred at 0.2, so that a passage that many texts share makes few candidates.
 
-Large groups are tied first: SimHash's candidates, and each prefix shingle's smallest node with its other nodes. Then
-only nodes of one shingle that are still in different components are compared with each other, in chunks as in
+Large groups are tied first: SimHash's candidates, and each band's smallest node with its other nodes. Then
+only nodes of one band that are still in different components are compared with each other, in chunks as in
 ``simhash``. Candidates pass filters that never drop a link: sizes, and parities of the shingles' hashes in classes (sets
 differ in as many shingles as parities at least), 512 classes first and then, for larger sets, as many as twice their
 shingles. What is left is decided by whole sets.
@@ -37,6 +40,11 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 PARITIES, CHUNK = 8, 1024
 #: Nodes up to which those whose texts are read again are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 300_000
+#: Orders in a band, and bands of a node. More bands miss less, more orders make fewer candidates.
+ROWS, BANDS = 6, 48
+#: Odd multipliers of the orders.
+_ORDERS = np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_ORDERS = (_ORDERS ^ _ORDERS >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
 _MAPS = [f"p{k}" for k in range(PARITIES)]
 
 
@@ -49,6 +57,20 @@ def _node(values: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(values.tobytes()), "big", signed=True)
 
 
+def bands(values: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's minima; none for an empty set."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_ORDERS), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(values), 128):
+        np.minimum(least, (values[at : at + 128, None] * _ORDERS).min(axis=0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
 def _parities(values: np.ndarray, longs: int = PARITIES) -> np.ndarray:
     """The parities of the numbers of values in ``64 * longs`` classes; longs is a power of two."""
     odd = np.bincount((values & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
@@ -74,9 +96,8 @@ def _apart(x: Column, y: Column) -> Column:
 
 
 def _described(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``key, node, fp, n``, the parities, ``prefix`` and ``wide`` of every document."""
+    """``key, node, fp, n``, the parities, ``bands`` and ``wide`` of every document."""
     kind = dict(docs.dtypes)[key]
-    least, whole = SIMILARITY
 
     def listed(arrays: list[np.ndarray]) -> pa.ListArray:
         ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
@@ -84,22 +105,22 @@ def _described(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fixed, prefixes, wide = [], [], []
+            fixed, keys, wide = [], [], []
             for raw in text_bytes(batch.column(1)):
                 all_ = simhash.digests(raw, shingle)
                 values = np.unique(np.frombuffer(all_, ">u8").astype(np.uint64))
                 n = len(values)
                 print_ = np.array([simhash.majority(all_)], np.uint64).view(np.int64)
                 fixed.append(np.concatenate([[_node(values)], print_, [n], _parities(values)]))
-                prefixes.append(values[: n - -(-least * n // whole) + 1 if n else 0].view(np.int64))
+                keys.append(bands(values))
                 wide.append(_wide(values))
             columns = np.array(fixed, np.int64).reshape(len(fixed), 3 + PARITIES).T
-            lists = [listed(prefixes), listed(wide)]
-            return pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), *lists], ["key", "node", "fp", "n", *_MAPS, "prefix", "wide"])
+            lists = [listed(keys), listed(wide)]
+            return pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in columns), *lists], ["key", "node", "fp", "n", *_MAPS, "bands", "wide"])
 
         return work
 
-    schema = f"key {kind}, node bigint, fp bigint, n bigint, {', '.join(f'{m} bigint' for m in _MAPS)}, prefix array<bigint>, wide array<bigint>"
+    schema = f"key {kind}, node bigint, fp bigint, n bigint, {', '.join(f'{m} bigint' for m in _MAPS)}, bands array<bigint>, wide array<bigint>"
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(in_batches(make), schema)
 
 
@@ -123,7 +144,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (gram, node, n) in order: the rows of grams with several nodes, with the smallest of them."""
+    """Of (band, node, n) in order: the rows of bands with several nodes, with the smallest of them."""
     for rows in _groups(batches):
         rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])]
         new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
@@ -131,7 +152,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(start, append=rows.shape[1])
         lead, lead_n = np.repeat(rows[1, start], size), np.repeat(rows[2, start], size)
         kept = np.repeat(size > 1, size)
-        yield pa.record_batch([pa.array(x[kept]) for x in (*rows, lead, lead_n)], ["gram", "node", "n", "lead", "lead_n"])
+        yield pa.record_batch([pa.array(x[kept]) for x in (*rows, lead, lead_n)], ["band", "node", "n", "lead", "lead_n"])
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +222,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     told = stored(_described(docs, key, text, shingle), "shingles")
     # any row of a node has the node's facts; its text is read again by a document's identifier
     first = stored(told.groupBy("node").agg(F.min("key").alias("first"), *(F.min(c).alias(c) for c in ("fp", "n", *_MAPS)), F.first("wide").alias("wide")), "nodes")
-    grams = told.select(F.explode("prefix").alias("gram"), "node", "n").repartition("gram").sortWithinPartitions("gram", "node")
-    shared = stored(grams.mapInArrow(_shared, "gram bigint, node bigint, n bigint, lead bigint, lead_n bigint"), "shared")
+    banded = told.select(F.explode("bands").alias("band"), "node", "n").repartition("band").sortWithinPartitions("band", "node")
+    shared = stored(banded.mapInArrow(_shared, "band bigint, node bigint, n bigint, lead bigint, lead_n bigint"), "shared")
 
     prints = stored(first.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
     reps = [prints.select(F.col("fp").alias(s), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
@@ -213,15 +234,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     tied = _verified(pairs, first, docs, key, text, shingle)
 
     label = stored(components(tied).withColumnRenamed("root", "label"), "labels")
-    rows = stored(shared.join(label, "node", "left").select("gram", "node", "lead", F.coalesce("label", "node").alias("label")), "labelled")
-    open_ = stored(rows.groupBy("gram").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 2 and low != high").select("gram", "size"), "open")
+    rows = stored(shared.join(label, "node", "left").select("band", "node", "lead", F.coalesce("label", "node").alias("label")), "labelled")
+    open_ = stored(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("size > 2 and low != high").select("band", "size"), "open")
     chunks = F.ceil(F.col("size") / F.lit(CHUNK))
     own = F.pmod(F.xxhash64("node"), chunks)
     dealt = (
-        rows.join(open_, "gram")
+        rows.join(open_, "band")
         .join(first.select("node", "n", *_MAPS), "node")
         .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("other"))
-        .select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "lead", "label", "n", *_MAPS)
+        .select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "lead", "label", "n", *_MAPS)
     )
     pairs = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_crossing, "a bigint, b bigint").distinct()
     late = _verified(pairs, first, docs, key, text, shingle)

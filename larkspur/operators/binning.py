@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.operators.ordered import among_first, free, named
+from larkspur.operators.columns import free, map_batches, named
+from larkspur.operators.ordered import among_first
 
 #: The smallest finite double: minus infinity counts as this when borders are sought.
 LOWEST = -1.7976931348623157e308
@@ -102,9 +104,7 @@ class Binner:
 
         x = free(df, "_x")
         wide = df.select("*", *(missing_to_null(named(c)).alias(f"{x}{k}") for k, c in enumerate(features)))
-        from pyspark.sql import types as T
-
-        return wide.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.ShortType()))]))
+        return map_batches(wide, run, [*df.schema.fields, T.StructField(name, T.ArrayType(T.ShortType()))])
 
     def fit_transform(self, df: DataFrame, features: list[str], row_id: str, name: str = "bins") -> DataFrame:
         return self.fit(df, features, row_id).transform(df, name)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.columns import free
+
 #: Rows that one task may sort, and buckets at most (as many totals come to the driver).
 BUCKET_ROWS, MOST_BUCKETS = 1 << 18, 1 << 16
 
@@ -20,18 +22,6 @@ def buckets_for(rows: int) -> int:
     return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
-def free(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` starts with it."""
-    while any(c.lower().startswith(name.lower()) for c in df.columns):
-        name = f"_{name}"
-    return name
-
-
-def named(name: str) -> Column:
-    """The column of just this name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def cuts(df: DataFrame, key: str, buckets: int) -> list[float]:
     """Approximate quantiles of a numeric column: bounds of buckets of like size. They bear on speed only."""
     if buckets < 2:

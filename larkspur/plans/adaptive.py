@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.losses import SIGMOID_CLIP, clip, loss_from_name
 from larkspur.operators.binning import Binner
 from larkspur.operators.histograms import best_splits, histogram
-from larkspur.operators.ordered import free
+from larkspur.operators.columns import free
 from larkspur.operators.routing import node_of
 from larkspur.plans.booster import leaf_column
 from larkspur.plans.cv import CrossValidation, mean_of_arrays

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.binning import binner_from_name
-from larkspur.operators.ordered import buckets_for, free, hash_text, ranked
+from larkspur.operators.columns import free
+from larkspur.operators.ordered import buckets_for, hash_text, ranked
 from larkspur.plans.model import predict_all
 from larkspur.sources.frames import inner_names, scan
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.operators.binning import missing_to_null
-from larkspur.operators.ordered import free, named
+from larkspur.operators.columns import free, map_batches, named
 
 
 @dataclass
@@ -130,7 +130,7 @@ class Model:
         x = free(df, "_x")
         wide = df.select(*map(named, rest), *(missing_to_null(named(c)).alias(f"{x}{k}") for k, c in enumerate(self.features)))
         fields = [df.schema[c] for c in rest]
-        return wide.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
+        return map_batches(wide, run, [*fields, T.StructField(name, kind)])
 
     def margins(self, df: DataFrame, name: str = "margin") -> DataFrame:
         """Raw margins: the base score and every tree's values."""

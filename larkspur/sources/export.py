@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from larkspur.functions.losses import sigmoid, softmax
 from larkspur.operators.binning import missing_to_null
-from larkspur.operators.ordered import free, named
+from larkspur.operators.columns import free, map_batches, named
 from larkspur.plans.model import Model
 
 #: What a scorer may do with the sums (fixed values).
@@ -136,15 +136,9 @@ def _tensor(name: str, width: int) -> bytes:
     return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, shape)))
 
 
-def _below(thresholds: list[float]) -> np.ndarray:
-    """The largest floats that are not above: a float value is below one exactly if it is below the other."""
-    exact = np.array(thresholds, dtype=np.float64)
-    near = exact.astype(np.float32)
-    return np.where(near > exact, np.nextafter(near, np.float32(-np.inf)), near).astype(np.float32)
-
-
 def onnx_bytes(model: Model, spark: SparkSession, fltr: list[int] | None = None, transform: str = "NONE") -> bytes:
-    """An ONNX file with one tree-ensemble regressor from ``X`` (floats, NaN for missing) to ``Y`` (kept outputs)."""
+    """An ONNX file with one tree-ensemble regressor from ``X`` (floats, NaN for missing) to ``Y`` (kept outputs).
+    Thresholds are rounded like features: values on a border stay on its side, values a rounding error apart meet."""
     if transform not in POST_TRANSFORMS:
         raise ValueError(f"unknown transform: {transform}")
     nodes = node_table(model, spark, fltr).orderBy("tree", "node").collect()
@@ -157,7 +151,7 @@ def onnx_bytes(model: Model, spark: SparkSession, fltr: list[int] | None = None,
     attributes = {
         "aggregate_function": "SUM", "post_transform": transform, "n_targets": None, "base_values": np.array([model.base[k] for k in keep], dtype=np.float32),
         "nodes_treeids": whole(nodes, "tree"), "nodes_nodeids": whole(nodes, "node"), "nodes_featureids": whole(nodes, "feat"), "nodes_modes": [r["mode"] for r in nodes],
-        "nodes_values": _below([r["threshold"] for r in nodes]), "nodes_truenodeids": whole(nodes, "true_node"), "nodes_falsenodeids": whole(nodes, "false_node"),
+        "nodes_values": np.array([r["threshold"] for r in nodes], dtype=np.float32), "nodes_truenodeids": whole(nodes, "true_node"), "nodes_falsenodeids": whole(nodes, "false_node"),
         "nodes_missing_value_tracks_true": whole(nodes, "missing_true"), "target_treeids": whole(targets, "tree"), "target_nodeids": whole(targets, "node"),
         "target_ids": whole(targets, "target"), "target_weights": np.array([r["value"] for r in targets], dtype=np.float32),
     }
@@ -193,7 +187,7 @@ def score_onnx(df: DataFrame, onnx: bytes, features: list[str], name: str = "pre
 
     x = free(df, "_x")
     wide = df.select(*map(named, rest), *(missing_to_null(named(c)).alias(f"{x}{k}") for k, c in enumerate(features[:n])))
-    return wide.mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return map_batches(wide, run, [*(df.schema[c] for c in rest), T.StructField(name, T.ArrayType(T.DoubleType()))])
 
 
 class Compiled:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.binning import missing_to_null
-from larkspur.operators.ordered import named, uniform
+from larkspur.operators.columns import named
+from larkspur.operators.ordered import uniform
 
 
 def inner_names(features: list[str]) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.losses import loss_from_name
 from larkspur.functions.metrics import AUC, metric_from_name
-from larkspur.operators import multioutput, sampling
+from larkspur.operators import multioutput, ordered, sampling
 from larkspur.operators.binning import BINNERS, binner_from_name
 from larkspur.plans import booster as booster_module
 from larkspur.plans.adaptive import AdaptiveESCV
@@ -249,3 +249,76 @@ def test_sources_and_logging(spark, tmp_path):
     stream.write("one\none\ntwo")
     stream.flush()
     assert seen == ["one", "two"] and verbosity_to_loglevel(0) == logging.ERROR
+
+
+def test_names_that_clash(spark, df):
+    odd = {"a": "w", "b": "_x0", "c": "fold", "y": "pred", "id": "bins"}
+    renamed = df.drop("w", "t", "u").toDF(*(odd.get(c, c) for c in df.drop("w", "t", "u").columns)).withColumnsRenamed({"_x0": "a.b c"}).withColumn("_x0", F.lit("text")).withColumn("iter", F.lit(7)).withColumn("_f0", F.lit(1))
+    features = ["w", "a.b c", "fold"]
+    plain = GradientBoosting("mse", ntrees=2, max_depth=2, lr=0.4, es=0, verbose=0).fit(df, FEATURES, "y", "id")
+    booster = GradientBoosting("mse", ntrees=2, max_depth=2, lr=0.4, es=0, verbose=0).fit(renamed, features, "pred", "bins")
+    want = predictions(plain, df)
+    for scored in (booster.predict(renamed), booster.model.predict_sql(renamed), export.Compiled.convert(booster.model).predict(renamed), booster.predict_staged(renamed, [1])):
+        got = {r["bins"]: r["prediction"] for r in scored.collect()}
+        assert all(np.allclose(got[k], want[k]) for k in want)
+    assert booster.predict_leaves(renamed, [0]).where("iter = 0").count() == df.count()
+    cv = CrossValidation(booster)
+    assert cv.fit_predict(renamed, features, "pred", "bins", cv=2).count() == df.count() and cv.predict(renamed).count() == df.count()
+
+
+def test_wide_leaves_move_margins_by_batch(df, monkeypatch):
+    options = {"ntrees": 2, "max_depth": 3, "es": 0, "verbose": 0, "gd_steps": 2, "target_splitter": "RandomGroups"}
+    one = predictions(GradientBoosting("mse", **options).fit(df, FEATURES, ["y", "t", "u"], "id"), df)
+    monkeypatch.setattr(booster_module, "SQL_VALUES", 1)
+    other = predictions(GradientBoosting("mse", **options).fit(df, FEATURES, ["y", "t", "u"], "id"), df)
+    assert all(np.allclose(one[k], other[k]) for k in one)
+
+
+def test_ranks_and_samples_in_many_buckets(spark, df, monkeypatch):
+    scored = df.select(F.array("t").alias("y"), F.array(F.col("a") + F.coalesce(F.nanvl("b", F.lit(0.0)), F.lit(0.0))).alias("p"))
+    whole = AUC().evaluate(scored), {r.id: r.rank for r in ordered.ranked(df, "id").collect()}
+    order = sorted(whole[1], key=whole[1].get)
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 40)
+    assert AUC().evaluate(scored) == pytest.approx(whole[0]) and {r.id: r.rank for r in ordered.ranked(df, "id").collect()} == whole[1]
+    for k in (0, 1, 17, 599, 600, 700):
+        assert {r.id for r in sampling.exact_rows(df, "id", k).collect()} == set(order[:k])
+
+
+def test_singular_vectors_of_gradients(df):
+    g = df.select("id", F.array(*(F.sin(F.col("id") * (k + 1)) * (k + 1) for k in range(10))).alias("g"))
+    matrix = np.array([r.g for r in g.orderBy("id").collect()])
+    products = multioutput.gram(g, 10)
+    np.testing.assert_allclose(products, matrix.T @ matrix, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(multioutput.gram(g.withColumn("g", F.slice("g", 1, 4)), 4), products[:4, :4], rtol=1e-9, atol=1e-9)
+    exact = multioutput.SVDSketch(n_components=3).vectors(products, 42, 0)
+    near = multioutput.SVDSketch(n_components=3, algorithm="randomized", n_iter=30).vectors(products, 42, 0)
+    np.testing.assert_allclose(np.abs(exact.T @ near), np.eye(3), atol=1e-3)
+    for bad in ({"sample": 0.5}, {"sample": 0}, {"algorithm": "other"}):
+        with pytest.raises(ValueError):
+            multioutput.SVDSketch(**bad)
+
+
+def test_files_for_other_scorers(spark, df, tmp_path):
+    booster = GradientBoosting("mse", ntrees=3, max_depth=3, lr=0.4, es=0, verbose=0).fit(df, FEATURES, ["y", "t"], "id")
+    want = predictions(booster, df)
+    export.to_onnx(booster.model, spark, f"{tmp_path}/m.onnx")
+    with open(f"{tmp_path}/m.onnx", "rb") as file:
+        scored = export.score_onnx(df, file.read(), FEATURES)
+    got = {r.id: r.prediction for r in scored.collect()}
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    second = {r.id: r.prediction for r in export.score_onnx(df, export.onnx_bytes(booster.model, spark, [1]), FEATURES).collect()}
+    assert all(np.allclose(second[k], want[k][1:], atol=1e-4) for k in want)
+    export.Compiled.convert(booster.model, [1]).dump(f"{tmp_path}/m.json")
+    compiled = {r.id: r.prediction for r in export.Compiled.load(f"{tmp_path}/m.json").predict(df).collect()}
+    assert all(np.allclose(compiled[k], want[k][1:]) for k in want)
+
+
+def test_adaptive_stopping_asks_for_a_metric(df):
+    booster = GradientBoosting("msle", ntrees=3, max_depth=1, verbose=0)
+    rows = df.withColumn("y", F.abs("y"))
+    with pytest.raises(ValueError, match="metric"):
+        AdaptiveESCV(booster).fit_predict(rows, FEATURES, "y", "id", cv=2)
+    own = AdaptiveESCV(booster, range(1, 2), 50, [0, 2], metric=lambda y, p: F.abs(F.get(y, F.lit(0)) - F.get(p, F.lit(0))))
+    assert own.fit_predict(rows, FEATURES, "y", "id", cv=2).count() == df.count()
+    with pytest.raises(ValueError):
+        AdaptiveESCV(GradientBoosting("mse", ntrees=2, max_depth=1, verbose=0), range(1, 2), 50, [0, 5]).fit_predict(rows, FEATURES, "y", "id", cv=2)

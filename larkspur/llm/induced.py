@@ -23,8 +23,8 @@ import tempfile
 import numpy as np
 
 BLOCK = 1 << 18
-#: Queue entries held in memory, over all queues, before they go to disk.
-MEMORY = 1 << 22
+#: Queue entries held in memory, over all queues, before they go to disk: a small part of a full shard's.
+MEMORY = 1 << 18
 
 
 class Queues:

@@ -43,7 +43,7 @@ WINDOW, GRAM = 100, 24
 #: stretch has fewer each.
 OFTEN, STRETCH_OFTEN, STRETCH = 4096, 4, 1 << 21
 #: Bytes of text in a slice, and of segments in a shard that is sorted at a time.
-SLICE_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
+SLICE_BYTES, SHARD_BYTES = 1 << 20, 3 << 20
 #: Frequent anchors up to which their table is broadcast.
 BROADCAST_OFTEN = 100_000
 LAST = (1 << 63) - 1
@@ -272,8 +272,12 @@ def repeated_strings(doc: np.ndarray, lo: np.ndarray, texts: list[bytes], folder
     inside = np.ones(len(text), bool)
     inside[begin + size] = False
     text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
-    owner = np.repeat(np.arange(len(doc)), size + 1)
-    whole = np.arange(len(text)) - begin[owner] <= (size - WINDOW)[owner]
+    owner = np.repeat(np.arange(len(doc), dtype=np.int32), size + 1)
+    turn = np.zeros(len(text), np.int8)  # whole: places where a string of WINDOW bytes starts
+    turn[begin] = 1
+    turn[(begin + size - WINDOW + 1)[size >= WINDOW]] = -1
+    turn[begin[size < WINDOW]] = 0
+    whole = np.cumsum(turn, dtype=np.int8).astype(bool)
     repeated = np.zeros(len(text), bool)
     pending: list[tuple[np.ndarray, np.ndarray]] = []
 

@@ -34,7 +34,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local["):
+        if not found and spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="larkspur-"))
     return df.checkpoint(eager=True)

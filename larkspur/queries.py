@@ -672,7 +672,7 @@ def scan_csv(spark, sf_dir):
 def _scratch(spark) -> str:
     """The folder that driver and executors share; only in local mode a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return found or f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
 

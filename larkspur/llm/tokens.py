@@ -11,8 +11,8 @@ never copied.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: The vocabulary's file name, given to the tokenizer package's ``path``.
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,13 @@ CACHE_WORDS = 150_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Words(dict):
     """What each word between two spaces is encoded to, with ``lead`` in front; lines in it are looked up alone."""
 
@@ -65,7 +72,7 @@ class Encoder:
             led.bare = bare
 
     def _packed(self, text: str) -> bytes:
-        return np.array(self.whole(text), dtype="<u4").tobytes()
+        return _little_endian(self.whole(text))
 
     def _number(self, text: str) -> int:
         return len(self.whole(text))
@@ -87,7 +94,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
-            return np.array(self.exact(text), dtype="<u4").tobytes()
+            return _little_endian(self.exact(text))
         return self._by_words(text, self.ids) if self.cut and not _TWO_SPACES.search(text) else self._packed(text) if text else b""
 
     def count(self, text: str) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import archives, jpeg_media, langid, mixing, packing, pii, quality, rollups, simhash, suffix_dedup
+from larkspur.llm import archives, jpeg_media, langid, mixing, packing, pii, quality, rollups, simhash, suffix_dedup, topk
 from larkspur.llm.common import new_path, stored, table
 
 
@@ -91,6 +91,11 @@ def op10_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_pii": op2_pii,
@@ -102,11 +107,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_rollups": op10_rollups,
+    "op11_topk": op11_topk,
 }
 
+#: Rows of ``embeddings`` that take part, with their components as whole numbers.
+_VECTORS = """
+SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_topk": f"""
+WITH e AS ({_VECTORS}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
     # base 32 of SHA-1: each five hexadecimal digits are four letters
     "op4_archives": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

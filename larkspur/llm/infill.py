@@ -38,7 +38,8 @@ def units(docs: DataFrame, key: str, text: str, pattern: str | None = None) -> D
     the text's totals. Repeated rows of ``docs`` count once. Empty texts have no units."""
     found = rf"(?s){pattern}|." if pattern else rf"(?s).{{1,{RUN}}}"
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(_identity(F.col(key), body).alias("_doc"), F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(body, F.lit(found), F.lit(0))).alias("pos", "match"))
+    told = docs.select(_identity(F.col(key), body).alias("_doc"), F.col(key).alias("key"), body.alias("body"))  # once a text, before it becomes rows
+    rows = told.select("_doc", "key", F.posexplode(F.regexp_extract_all("body", F.lit(found), F.lit(0))).alias("pos", "match"))
     rows = rows.select("_doc", "key", "pos", F.length("match").cast("bigint").alias("chars"))
     rows = rows.repartition("_doc").dropDuplicates(["_doc", "pos"]).withColumn("units", F.lit(1).cast("bigint") if pattern else F.col("chars"))
     whole = Window.partitionBy("_doc")
@@ -68,9 +69,13 @@ def hashes(key: Column, seed: object = 1, n: int = 4) -> list[Column]:
 
 def restored(output: Column, form: Column) -> Column:
     """The text from which an output was made."""
-    parts = F.split(output, f"{PREFIX}|{SUFFIX}|{MIDDLE}", -1)
-    first, second, third = (F.get(parts, F.lit(k)) for k in (1, 2, 3))
-    return F.when(form == "plain", output).when(form == "psm", F.concat(first, third, second)).otherwise(F.concat(second, third, first))
+
+    def whole(parts: Column) -> Column:
+        first, second, third = (F.get(parts, F.lit(k)) for k in (1, 2, 3))
+        return F.when(form == "psm", F.concat(first, third, second)).otherwise(F.concat(second, third, first))
+
+    split = F.array(F.split(output, f"{PREFIX}|{SUFFIX}|{MIDDLE}", -1))
+    return F.when(form == "plain", output).otherwise(F.get(F.transform(split, whole), F.lit(0)))  # the lambda's parts are split once
 
 
 def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: object = 1, pattern: str | None = None) -> DataFrame:

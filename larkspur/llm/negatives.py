@@ -219,7 +219,7 @@ class _Search:
             last = found.where(F.col("rank") == k).select(*keys, F.col("score").alias("last"))
             norms = self.anchors.select("block", "place", "norm")
             told = slots.join(last, keys, "left").join(norms, ["block", "place"])
-            certain = F.least("limit", F.coalesce(self.index.radius(F.col("norm"), F.col("last")), "limit"))
+            certain = F.when(F.col("last").isNull(), F.col("limit")).otherwise(F.least("limit", self.index.radius(F.col("norm"), F.col("last"))))
             wider = F.least("limit", F.when(F.col("last").isNull(), 2 * F.col("outer") - F.col("near")).otherwise(certain))
             still = told.where(certain > F.col("outer")).select(*keys, "least", "high", "limit", "near", F.col("outer").alias("inner"), wider.alias("next"))
             whole = Window.partitionBy("block", "place")  # the slots of an anchor move on together

@@ -51,7 +51,7 @@ def units(docs: DataFrame, key: str, text: str, pattern: str | None = None) -> D
 def offsets(docs: DataFrame, key: str, text: str, cuts: Callable[[Column, Column], list[Column]], pattern: str | None = None) -> DataFrame:
     """``_doc, n_units, cuts``: the offsets, in code points, of the ``cuts`` of each text with units. ``cuts(key, n)`` gives numbers of
     units, 0 to n each."""
-    rows, per = units(docs, key, text, pattern), 1 if pattern else RUN
+    rows, per = stored(units(docs, key, text, pattern), "units"), 1 if pattern else RUN  # read twice: the texts are matched once
     asked = rows.where("pos = 0").select("_doc", "n_units", "n_chars", F.posexplode(F.array(*cuts(F.col("key"), F.col("n_units")))).alias("cut", "unit"))
     asked = asked.withColumn("pos", F.expr(f"unit div {per}").cast("int"))
     placed = asked.join(rows.select("_doc", "pos", "at_unit", "at_char"), ["_doc", "pos"], "left")

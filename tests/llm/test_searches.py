@@ -194,7 +194,7 @@ def test_infill_of_an_empty_table(spark):
     assert found.count() == 0 and {"n", "form", "output", "_doc"} <= set(found.columns)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.text(st.characters(exclude_categories=["Cs"]), max_size=40)), min_size=1, max_size=12))
 def test_infill_of_any_texts(spark, rows):
     found = infill.fill_in_middle(spark.createDataFrame(rows, "doc_id bigint, text string"))

@@ -7,6 +7,7 @@ all outputs share. All methods build column expressions, so that a loss runs ins
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,19 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once for a row, however often ``then`` uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def softmax(p: Column, limit: float = SOFTMAX_CLIP) -> Column:
-    """Shares of the exponentials, the largest margin taken off first; clipped and not normalised again."""
-    top = F.array_max(p)
-    e = F.transform(p, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: clip(v / total, limit, 1 - limit))
+    """Shares of the exponentials, the largest margin taken off first; clipped and not normalised again. Linear in classes."""
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+        return once(total, lambda t: F.transform(e, lambda v: clip(v / t, limit, 1 - limit)))
+
+    return once(p, lambda q: once(once(F.array_max(q), lambda top: F.transform(q, lambda v: F.exp(v - top))), shares))
 
 
 class Loss:
@@ -123,8 +131,8 @@ class CrossEntropyLoss(Loss):
 
     def grad_hess(self, y, p):
         q, label, k = softmax(p, SOFTMAX_TRAIN_CLIP), F.get(y, F.lit(0)).cast("int"), F.size(p)
-        g = F.transform(q, lambda v, i: v - F.when(i == label, 1.0).otherwise(0.0))
-        return g, F.transform(q, lambda v: v * (1 - v) * k / (k - 1))
+        g = once(label, lambda c: F.transform(q, lambda v, i: v - F.when(i == c, 1.0).otherwise(0.0)))
+        return g, once(k, lambda n: F.transform(q, lambda v: v * (1 - v) * n / (n - 1)))
 
     def preprocess(self, y):
         return F.transform(F.slice(y, 1, 1), lambda v: v.cast("int").cast("double"))

@@ -105,30 +105,36 @@ class AUC(Metric):
 
     def scores(self, df, y="y", p="p", w=None):
         """``score, n1, n0``: the weight of positives and negatives at each distinct score."""
-        weight = F.lit(1.0) if w is None else F.col(w)
-        target = F.get(y, F.lit(0))
-        return df.groupBy(F.get(p, F.lit(0)).alias("score")).agg(F.sum(weight * target).alias("n1"), F.sum(weight * (1 - target)).alias("n0"))
+        return _scores(_long(df.withColumn(y, F.slice(y, 1, 1)), y, p, w)).drop("out")
 
     def frame(self, df, y="y", p="p", w=None):
-        run = running_sums(self.scores(df, y, p, w), "score", {"c0": F.col("n0")})
-        area = F.try_divide(F.sum((F.col("c0") - F.col("n0") / 2) * F.col("n1")), F.sum("n0") * F.sum("n1"))
-        return run.agg(F.when(F.count("*") <= 1, 0.5).otherwise(area).alias("value"))
+        first = df.select(F.slice(y, 1, 1).alias("y"), F.slice(p, 1, 1).alias("p"), *([w] if w else []))
+        return _areas(_scores(_long(first, "y", "p", w))).agg(F.when(F.count("*") == 0, 0.5).otherwise(F.max("value")).alias("value"))
+
+
+def _scores(long: DataFrame) -> DataFrame:
+    """``out, score, n1, n0``: the weight of positives and negatives at each distinct score of an output."""
+    return long.groupBy("out", F.col("p").alias("score")).agg(F.sum(F.col("w") * F.col("y")).alias("n1"), F.sum(F.col("w") * (1 - F.col("y"))).alias("n0"))
+
+
+def _areas(scores: DataFrame) -> DataFrame:
+    """``out, value`` of all outputs at once: one sort, one running sum, one aggregate."""
+    run = running_sums(scores, "score", {"c0": F.col("n0")}, segment="out")
+    area = F.try_divide(F.sum((F.col("c0") - F.col("n0") / 2) * F.col("n1")), F.sum("n0") * F.sum("n1"))
+    return run.groupBy("out").agg(F.when(F.count("*") <= 1, 0.5).otherwise(area).alias("value"))
 
 
 class MaskedAUC(AUC):
-    """The mean over outputs of the AUC on rows whose target is known."""
+    """The mean over outputs of the AUC on rows whose target is known; all outputs are ranked by the same jobs."""
 
     name = "masked_auc"
 
     def frame(self, df, y="y", p="p", w=None):
-        outputs = df.agg(F.max(F.size(y))).first()[0]
-        total = None
-        for k in range(outputs):
-            known = df.where(F.get(y, F.lit(k)).isNotNull() & ~F.isnan(F.get(y, F.lit(k))))
-            one = known.select(F.array(F.get(y, F.lit(k))).alias("y"), F.array(F.get(p, F.lit(k))).alias("p"), *([w] if w else []))
-            part = AUC().frame(one, w=w)
-            total = part if total is None else total.unionByName(part)
-        return total.agg(F.avg("value").alias("value"))
+        outputs = df.agg(F.max(F.size(y)).alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("out"))
+        known = _long(df, y, p, w).where(F.col("y").isNotNull() & ~F.isnan("y"))
+        areas = _areas(_scores(known)).withColumn("seen", F.lit(True))
+        each = F.when(F.col("seen").isNull(), 0.5).otherwise(F.col("value"))  # no known target counts like one score
+        return outputs.join(F.broadcast(areas), "out", "left").agg(F.avg(each).alias("value"))
 
 
 class Thresholded(Metric):
@@ -143,14 +149,13 @@ class Thresholded(Metric):
         long = _long(df, y, p, w)
         if self.q is None:
             return long.withColumn("label", (F.col("p") >= self.threshold).cast("double"))
-        counts = {r["out"]: r["count"] for r in long.groupBy("out").count().collect()}
-        limits = {}
-        for out, n in counts.items():
-            rank = -int(-(self.q * (n - 1)) // 1) + 1
-            run = running_sums(long.where(F.col("out") == out).groupBy("p").agg(F.count("*").alias("m")), "p", {"upto": F.col("m")})
-            limits[out] = run.where(F.col("upto") >= rank).agg(F.min("p")).first()[0]
-        limit = F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col("out"))
-        return long.withColumn("label", (F.col("p") >= limit).cast("double"))
+        counts = long.groupBy("out", "p").agg(F.count("*").alias("m"))
+        run = running_sums(counts, "p", {"upto": F.col("m")}, segment="out")
+        ends = counts.groupBy("out").agg(F.sum("m").alias("all"))
+        wanted = F.ceil(F.lit(self.q) * (F.col("all") - 1)) + 1
+        limits = run.join(F.broadcast(ends), "out").where(F.col("upto") >= wanted).groupBy("out").agg(F.min("p").alias("limit"))
+        # a row for each output
+        return long.join(F.broadcast(limits), "out").withColumn("label", (F.col("p") >= F.col("limit")).cast("double")).drop("limit")
 
     def stats(self, df: DataFrame, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
         """``out, tp, tot, totp, same, total``: weighted sums for each output."""

@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.operators.columns import free, map_batches, named
-from larkspur.operators.ordered import among_first
+from larkspur.operators.ordered import among_first, running_sums
 
 #: The smallest finite double: minus infinity counts as this when borders are sought.
 LOWEST = -1.7976931348623157e308
@@ -58,15 +58,19 @@ class Binner:
 
     def borders_frame(self, df: DataFrame, features: list[str]) -> DataFrame:
         """``feat, border``: few distinct values (the largest left out) are borders themselves."""
-        counts = value_counts(df, features)
-        whole = Window.partitionBy("feat")
-        known = counts.withColumn("u", F.count("*").over(whole)).withColumn("top", F.max("x").over(whole))
+        return self._borders(value_counts(df, features))
+
+    def _borders(self, counts: DataFrame) -> DataFrame:
+        ends = counts.groupBy("feat").agg(F.count("*").alias("u"), F.max("x").alias("top"))
+        known = counts.join(F.broadcast(ends), "feat")  # a row for each feature
         few = known.where((F.col("u") - 1 <= self.most - 1) & (F.col("x") < F.col("top"))).select("feat", F.col("x").alias("border"))
-        return few.unionByName(self.chosen(known.where(F.col("u") - 1 > self.most - 1), self.most)).distinct()
+        return few.unionByName(self.chosen(known.where(F.col("u") - 1 > self.most - 1).select("feat", "x", "n"), self.most)).distinct()
 
     def fit(self, df: DataFrame, features: list[str], row_id: str) -> Binner:
         self.features = list(features)
-        rows = self.borders_frame(sampled(df.select(row_id, *map(named, features)), row_id, self.sample, self.seed), self.features).collect()
+        counts = value_counts(sampled(df.select(row_id, *map(named, features)), row_id, self.sample, self.seed), self.features).persist()
+        rows = self._borders(counts).collect()
+        counts.unpersist()
         found: list[list[float]] = [[] for _ in features]
         for r in rows:
             found[r["feat"]].append(r["border"])
@@ -116,13 +120,15 @@ def quantile_places(bins: int, n: int) -> list[int]:
 
 
 def _quantiles(counts: DataFrame, bins: int) -> DataFrame:
-    order = Window.partitionBy("feat").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("feat")))
-    steps = F.sequence(F.lit(1), F.lit(bins - 1))
+    """A value is a border if one of the wanted ranks falls on its rows. The first rank from the value's first row on has
+    a number that division gives, or one beside it where doubles round: only these three are looked at."""
+    placed = running_sums(counts, "x", {"upto": F.col("n")}, segment="feat")
+    ends = counts.groupBy("feat").agg(F.sum("n").alias("all"))
+    first = (F.col("upto") - F.col("n")).cast("double") * bins / F.col("all")
     # linspace gives k * (1 / bins) in doubles; the same product is formed here
-    ranks = F.transform(steps, lambda k: F.floor(k.cast("double") * F.lit(1.0 / bins) * F.col("all")))
-    hit = F.exists(ranks, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
-    return placed.where(hit).select("feat", F.col("x").alias("border"))
+    numbers = F.transform(F.array(*(F.lit(d) for d in (-1.0, 0.0, 1.0))), lambda d: F.ceil(first) + d)
+    hit = F.exists(numbers, lambda k: (k >= 1) & (k <= bins - 1) & F.floor(k * F.lit(1.0 / bins) * F.col("all")).between(F.col("upto") - F.col("n"), F.col("upto") - 1))
+    return placed.join(F.broadcast(ends), "feat").where(hit).select("feat", F.col("x").alias("border"))
 
 
 def _even(counts: DataFrame, bins: int) -> DataFrame:

@@ -1,19 +1,23 @@
 """Ranks and running sums over a whole table without a single task that sees all of it.
 
-Rows are dealt to buckets of the order key; a window runs inside each bucket, and the totals of the buckets before
-(as many numbers as buckets, from one grouped sum) are added.
+Rows are placed by range partitioning, or by arithmetic where their keys are hashes; sums run inside each part, and the totals
+of the parts before are added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.operators.columns import free
+from larkspur.operators.columns import free, map_batches, named
 
-#: Rows that one task may sort, and buckets at most (as many totals come to the driver).
+#: Rows that one task may sort, and buckets at most.
 BUCKET_ROWS, MOST_BUCKETS = 1 << 18, 1 << 16
 
 
@@ -22,36 +26,57 @@ def buckets_for(rows: int) -> int:
     return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
-def cuts(df: DataFrame, key: str, buckets: int) -> list[float]:
-    """Approximate quantiles of a numeric column: bounds of buckets of like size. They bear on speed only."""
-    if buckets < 2:
-        return []
-    found = df.approxQuantile(key, [k / buckets for k in range(1, buckets)], 0.25 / buckets)
-    return sorted({float(x) for x in found})
+def running_sums(df: DataFrame, key: str, sums: dict[str, Column], ties: Sequence[str] = (), segment: str | None = None, part_rows: int | None = None) -> DataFrame:
+    """``df`` with inclusive running sums in the order of ``key`` (then ``ties``), one column for each of ``sums``; inside each
+    value of ``segment``, if given.
 
-
-def bucket(key: Column, bounds: Sequence[float]) -> Column:
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key))
-
-
-def running_sums(df: DataFrame, key: str, sums: dict[str, Column], bounds: Sequence[float] | None = None, ties: Sequence[str] = ()) -> DataFrame:
-    """``df`` with inclusive running sums in the order of ``key`` (then ``ties``), one column for each of ``sums``."""
-    bounds = cuts(df, key, buckets_for(df.count())) if bounds is None else bounds
-    at = free(df, "_bucket")
-    dealt = df.withColumn(at, bucket(F.col(key), bounds))
-    order = Window.partitionBy(at).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    if not bounds:
-        return dealt.withColumns({name: F.sum(value).over(order) for name, value in sums.items()}).drop(at)
-    totals = {r[0]: r for r in dealt.groupBy(at).agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()}
-    for name, value in sums.items():
-        before, total = [], 0
-        for k in range(len(bounds) + 1):
-            before.append(total)
-            total += (totals[k][name] or 0) if k in totals else 0
-        dealt = dealt.withColumn(name, F.sum(value).over(order) + F.element_at(F.array(*map(F.lit, before)), F.col(at) + 1))
-    return dealt.drop(at)
+    Small frames take one window. Larger ones are range-partitioned by segment and key, so that a large segment is
+    spread, sorted and summed part by part, which costs a row the same however many parts there are; the parts' totals (a row
+    for each part and segment in it) are then summed in their order and added.
+    """
+    rows, part_rows = df.count(), part_rows or BUCKET_ROWS
+    if rows <= part_rows:
+        order = Window.partitionBy(*([segment] if segment else [])).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(value).over(order) for name, value in sums.items()})
+    part, names = free(df, "_part"), list(sums)
+    order = [*([segment] if segment else []), key, *ties]
+    made = {name: value.alias(name) for name, value in sums.items()}
+    wide = df.select(*(named(c) for c in df.columns if c not in made), *made.values())
+    at, whole = wide.columns.index(segment) if segment else None, len(wide.columns) - len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, before, last = TaskContext.get().partitionId(), [0] * len(names), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.zeros(batch.num_rows, bool)  # where a segment begins
+            if at is not None:
+                column = batch.column(at).dictionary_encode()
+                codes, seen = column.indices.fill_null(-1).to_numpy(zero_copy_only=False), column.dictionary.to_pylist()
+                fresh[1:] = codes[1:] != codes[:-1]
+                first, end = (None if c < 0 else seen[c] for c in (codes[0], codes[-1]))
+                fresh[0], last = last is not None and last[0] != first, (end,)
+            starts = np.flatnonzero(fresh)
+            columns = []
+            for k in range(len(names)):
+                values = batch.column(whole + k).fill_null(0).to_numpy(zero_copy_only=False)
+                total = np.cumsum(values) + before[k]
+                if len(starts):  # less what ran up before the row's segment began
+                    total = total - np.concatenate([[total.dtype.type(0)], total[starts] - values[starts]])[np.cumsum(fresh)]
+                before[k] = total[-1]
+                columns.append(pa.array(total))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:whole], *columns, pa.array(np.full(batch.num_rows, number, np.int32))], names=[*batch.schema.names, part])
+
+    dealt = wide.repartitionByRange(max(1, min(MOST_BUCKETS, -(-rows // part_rows))), *order).sortWithinPartitions(*order)
+    placed = map_batches(dealt, run, [*wide.schema.fields, T.StructField(part, T.IntegerType())]).persist()
+    ends = placed.groupBy(part, *([segment] if segment else [])).agg(*(F.max_by(n, F.struct(*order)).alias(n) for n in names))
+    earlier = Window.partitionBy(*([segment] if segment else [])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offset = {n: free(df, f"_before{k}") for k, n in enumerate(names)}
+    other, own = free(df, "_other"), free(df, "_own")
+    totals = ends.select(F.col(part).alias(other), *([F.col(segment).alias(own)] if segment else []), *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(offset[n]) for n in names))
+    same = (F.col(part) == F.col(other)) & (F.col(segment).eqNullSafe(F.col(own)) if segment else F.lit(True))
+    # parts are MOST_BUCKETS at most, and segments few
+    return placed.join(F.broadcast(totals), same).select(*(named(c) for c in df.columns if c not in made), *((F.col(n) + F.col(offset[n])).alias(n) for n in names))
 
 
 def hash_text(seed: object, turn: object, key: Column) -> Column:
@@ -70,13 +95,18 @@ def _share(hashed: Column) -> Column:
 
 
 def ranked(df: DataFrame, row_id: str, seed: object = 42, turn: object = 0, name: str = "rank") -> DataFrame:
-    """``df`` with each row's place (from 1) in the order of the hash of its identifier."""
+    """``df`` with each row's place (from 1) in the order of the hash of its identifier. Hashes are spread evenly, so
+    that a row's part follows by arithmetic."""
     parts = buckets_for(df.count())
-    hashed, key = free(df, "_hash"), free(df, "_key")
+    hashed, part, own, before, at = (free(df, c) for c in ("_hash", "_part", "_own", "_before", "_at"))
     held = df.withColumn(hashed, hash_text(seed, turn, F.col(row_id)))
-    held = held.withColumn(key, _share(F.col(hashed)))
-    even = [16**8 * k / parts for k in range(1, parts)]
-    return running_sums(held, key, {name: F.lit(1)}, even, [hashed, row_id]).drop(hashed, key)
+    held = held.withColumn(part, F.floor(_share(F.col(hashed)) / F.lit(16**8 / parts)).cast("int"))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(hashed, row_id))
+    sizes = held.groupBy(F.col(part).alias(own)).agg(F.count("*").alias(before))
+    earlier = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, MOST_BUCKETS at most
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    placed = held.withColumn(at, place).join(F.broadcast(sizes), F.col(part) == F.col(own))
+    return placed.select(*(named(c) for c in df.columns if c != name), (F.col(at) + F.col(before)).alias(name))
 
 
 def among_first(df: DataFrame, row_id: str, k: int, seed: object = 42, turn: object = 0, rows: int | None = None) -> Column:

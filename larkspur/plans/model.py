@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,22 +43,6 @@ class GroupTree:
         """Nodes that are leaves, in level order: their place is their leaf number."""
         return [k for k, x in enumerate(self.left) if x < 0]
 
-    def ends(self, x: np.ndarray) -> np.ndarray:
-        """The leaf number of each row of a matrix of doubles, NaN for missing; all rows go down a level at a time."""
-        feat, threshold, nan_left = np.array(self.feat), np.array(self.threshold), np.array(self.nan_left)
-        left, right = np.array(self.left), np.array(self.right)
-        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        while len(rows):
-            now = node[rows]
-            inner = left[now] >= 0
-            rows, now = rows[inner], now[inner]
-            value = x[rows, feat[now]]
-            go_right = np.where(np.isnan(value), ~nan_left[now], value > threshold[now])
-            node[rows] = np.where(go_right, right[now], left[now])
-        number = np.full(len(feat), -1)
-        number[self.leaves] = np.arange(len(self.leaves))
-        return number[node]
-
     def ends_of_codes(self, codes: np.ndarray) -> np.ndarray:
         """The leaf number of each row of a matrix of codes (0: missing)."""
         feat, split, nan_left = np.array(self.feat), np.array(self.split), np.array(self.nan_left)
@@ -96,13 +80,102 @@ class Tree:
     outputs: list[list[int]]
     values: list[np.ndarray]
 
-    def add(self, x: np.ndarray, into: np.ndarray) -> None:
-        for group, outs, values in zip(self.groups, self.outputs, self.values, strict=True):
-            into[:, outs] += values[group.ends(x)]
-
 
-def _matrix(batch: pa.RecordBatch, at: int, n: int) -> np.ndarray:
-    return np.stack([batch.column(at + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(n)], axis=1) if n else np.zeros((batch.num_rows, 0))
+class Packed:
+    """An ensemble as flat arrays for scoring: nodes of all structures one after the other, leaves leading to themselves.
+
+    ``low[node] + (value > threshold[node])`` is a node's child, as children have neighbouring numbers. Missing values are
+    read from one of two copies of a feature, where they are infinitely low (they go left) or high, so that they need no
+    case of their own. Structures of a block are walked together for a block of rows, a level at a time.
+    """
+
+    #: Rows and structures of a block: its arrays stay in a core's cache.
+    ROWS, TREES = 2048, 32
+
+    def __init__(self, trees: list[Tree], features: int):
+        self.features = features
+        groups = [g for t in trees for g in t.groups]
+        self.first = np.cumsum([0, *(len(t.groups) for t in trees)])  # of each tree's structures
+        sizes = np.array([len(g.feat) for g in groups], np.int64)
+        self.roots = np.cumsum(sizes) - sizes
+        n = int(sizes.sum())
+        self.threshold, self.low, self.copy = np.full(n, np.inf), np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+        self.leaf, self.depths = np.zeros(n, np.int32), []
+        for root, g in zip(self.roots, groups, strict=True):
+            left, own = np.array(g.left), slice(root, root + len(g.left))
+            inner = left >= 0
+            if (np.array(g.right)[inner] != left[inner] + 1).any():
+                raise ValueError("a node's children must have neighbouring numbers")
+            self.threshold[own][inner] = np.array(g.threshold, float)[inner]
+            self.low[own][inner] = root + left[inner]
+            self.copy[own][inner] = (np.array(g.feat) + np.where(g.nan_left, 0, features))[inner]
+            self.leaf[own][~inner] = np.arange(int((~inner).sum()))
+            depth = np.zeros(len(left), int)
+            for node in np.flatnonzero(inner):  # parents come before their children
+                depth[left[node]] = depth[left[node] + 1] = depth[node] + 1
+            self.depths.append(int(depth.max()))
+        self.outputs = [np.array(o) for t in trees for o in t.outputs]
+        self.values = [np.asarray(v, float) for t in trees for v in t.values]
+
+    def leaves(self, columns: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Leaf numbers (structures from ``low`` to ``high``, rows) of rows whose features are ``doubled``."""
+        n = columns.shape[1]
+        flat, row = columns.ravel(), np.arange(n, dtype=np.int32)
+        at = self.copy * np.int32(n)
+        node = np.repeat(self.roots[low:high, None].astype(np.int32), n, axis=1)
+        for _ in range(max(self.depths[low:high], default=0)):
+            value = flat.take(at.take(node) + row)
+            node = self.low.take(node) + (value > self.threshold.take(node))
+        return self.leaf.take(node)
+
+    @staticmethod
+    def doubled(columns: list[np.ndarray]) -> np.ndarray:
+        """Features (a row each), missing values lowest, and again with missing values highest."""
+        x = np.stack(columns)
+        return np.concatenate([np.where(np.isnan(x), -np.inf, x), np.where(np.isnan(x), np.inf, x)])
+
+    def walk(self, columns: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each structure of trees ``low`` to ``high`` in turn, with the leaf number of every row."""
+        for at in range(int(self.first[low]), int(self.first[high]), self.TREES):
+            stop = min(at + self.TREES, int(self.first[high]))
+            yield from zip(range(at, stop), self.leaves(columns, at, stop), strict=True)
+
+    def add(self, columns: np.ndarray, into: np.ndarray, low: int, high: int) -> None:
+        """Adds the values of trees ``low`` to ``high``, tree by tree, to margins (rows, outputs)."""
+        whole = np.arange(into.shape[1])
+        for k, leaf in self.walk(columns, low, high):
+            outs = self.outputs[k]
+            if into.shape[1] == 1:
+                into[:, 0] += self.values[k][:, 0].take(leaf)
+            elif np.array_equal(outs, whole):
+                into += self.values[k].take(leaf, axis=0)
+            else:
+                into[:, outs] += self.values[k].take(leaf, axis=0)
+
+
+def blocks_of_rows(score: Callable[[np.ndarray], np.ndarray]) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """``score`` of ``Packed.doubled`` features, for blocks of rows one after the other."""
+
+    def whole(columns: list[np.ndarray]) -> np.ndarray:
+        n = len(columns[0])
+        parts = [score(Packed.doubled([c[at : at + Packed.ROWS] for c in columns])) for at in range(0, max(n, 1), Packed.ROWS)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    return whole
+
+
+def _columns(batch: pa.RecordBatch, at: int, n: int) -> list[np.ndarray]:
+    """``n`` columns as doubles; one of missing values where there are no features."""
+    found = [batch.column(at + k).to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for k in range(n)]
+    return found or [np.full(batch.num_rows, np.nan)]
+
+
+def _lists(cells: np.ndarray) -> pa.Array:
+    """An array of two or more dimensions as nested lists, one for each row."""
+    out = pa.array(cells.ravel())
+    for width in cells.shape[:0:-1]:
+        out = pa.ListArray.from_arrays(np.arange(0, len(out) + 1, width, dtype=np.int32), out)
+    return out
 
 
 class Model:
@@ -118,13 +191,14 @@ class Model:
     # scoring
 
     def _scored(self, df: DataFrame, name: str, kind: T.DataType, score) -> DataFrame:
-        """``df`` with a column computed by ``score(matrix)`` on Arrow batches; the model travels with the task."""
-        n = len(self.features)
+        """``df`` with a column computed by ``score`` (``Packed.doubled`` features to an array, a row for each) on Arrow
+        batches; the model travels with the task."""
+        n, whole = len(self.features), blocks_of_rows(score)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = batch.num_columns - n
-                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], score(_matrix(batch, keep, n))], names=[*batch.schema.names[:keep], name])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], _lists(whole(_columns(batch, keep, n)))], names=[*batch.schema.names[:keep], name])
 
         rest = [c for c in df.columns if c != name]
         x = free(df, "_x")
@@ -134,13 +208,12 @@ class Model:
 
     def margins(self, df: DataFrame, name: str = "margin") -> DataFrame:
         """Raw margins: the base score and every tree's values."""
-        trees, base = self.trees, np.array(self.base)
+        packed, base, trees = Packed(self.trees, len(self.features)), np.array(self.base), len(self.trees)
 
-        def score(x: np.ndarray) -> pa.Array:
-            out = np.tile(base, (len(x), 1))
-            for tree in trees:
-                tree.add(x, out)
-            return pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(base), dtype=np.int32), out.ravel())
+        def score(x: np.ndarray) -> np.ndarray:
+            out = np.tile(base, (x.shape[1], 1))
+            packed.add(x, out, 0, trees)
+            return out
 
         return self._scored(df, name, T.ArrayType(T.DoubleType()), score)
 
@@ -169,16 +242,14 @@ class Model:
     def predict_staged(self, df: DataFrame, iterations: list[int] | None = None) -> DataFrame:
         """A row for each row and iteration: ``df``'s other columns, ``iter`` and ``prediction`` after trees 0 to iter."""
         chosen = self._iterations(iterations)
-        trees, base = self.trees, np.array(self.base)
+        packed, base = Packed(self.trees[: chosen[-1] + 1], len(self.features)), np.array(self.base)
 
-        def score(x: np.ndarray) -> pa.Array:
-            out, stages = np.tile(base, (len(x), 1)), np.empty((len(x), len(chosen), len(base)))
-            for k in range(chosen[-1] + 1):
-                trees[k].add(x, out)
-                if k in chosen:
-                    stages[:, chosen.index(k)] = out
-            inner = pa.ListArray.from_arrays(np.arange(0, stages.size + 1, len(base), dtype=np.int32), stages.ravel())
-            return pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, len(chosen), dtype=np.int32), inner)
+        def score(x: np.ndarray) -> np.ndarray:
+            out, stages = np.tile(base, (x.shape[1], 1)), np.empty((x.shape[1], len(chosen), len(base)))
+            for k, (low, last) in enumerate(zip([0, *(c + 1 for c in chosen)], chosen, strict=False)):
+                packed.add(x, out, low, last + 1)
+                stages[:, k] = out
+            return stages
 
         stages, place, margin = free(df, "_stages"), free(df, "_place"), free(df, "_margin")
         scored = self._scored(df, stages, T.ArrayType(T.ArrayType(T.DoubleType())), score)
@@ -193,12 +264,11 @@ class Model:
         groups = {len(t.groups) for t in trees}
         if len(groups) != 1:
             raise ValueError("leaf indices need equally many groups in all trees")
-        (g,) = groups
+        (g,), packed = groups, Packed(trees, len(self.features))
 
-        def score(x: np.ndarray) -> pa.Array:
-            ends = np.stack([np.stack([group.ends(x) for group in t.groups], axis=1) for t in trees], axis=1)
-            inner = pa.ListArray.from_arrays(np.arange(0, ends.size + 1, g, dtype=np.int32), ends.ravel().astype(np.int32))
-            return pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, len(trees), dtype=np.int32), inner)
+        def score(x: np.ndarray) -> np.ndarray:
+            ends = np.stack([leaf for _, leaf in packed.walk(x, 0, len(chosen))], axis=1)
+            return ends.reshape(x.shape[1], len(chosen), g)
 
         ends, place, found = free(df, "_ends"), free(df, "_place"), free(df, "_found")
         scored = self._scored(df, ends, T.ArrayType(T.ArrayType(T.IntegerType())), score)
@@ -273,20 +343,18 @@ def predict_all(models: list[Model], df: DataFrame, name: str, iterations: list[
     """``df`` with raw margins of several models on the same features, in one pass: an array of iterations (only the last
     trees where none are given) of arrays of models of outputs."""
     chosen = iterations or [None]
-    trees, bases = [m.trees for m in models], [np.array(m.base) for m in models]
+    n = len(models[0].features)
+    packed, bases = [(Packed(m.trees, n), len(m.trees)) for m in models], [np.array(m.base) for m in models]
     outputs = len(bases[0])
 
-    def score(x: np.ndarray) -> pa.Array:
-        made = np.empty((len(x), len(chosen), len(models), outputs))
-        for k, (own, base) in enumerate(zip(trees, bases, strict=True)):
-            out, done = np.tile(base, (len(x), 1)), 0
+    def score(x: np.ndarray) -> np.ndarray:
+        made = np.empty((x.shape[1], len(chosen), len(models), outputs))
+        for k, ((own, trees), base) in enumerate(zip(packed, bases, strict=True)):
+            out, done = np.tile(base, (x.shape[1], 1)), 0
             for i, last in enumerate(chosen):
-                stop = len(own) if last is None else last + 1
-                for tree in own[done:stop]:
-                    tree.add(x, out)
+                stop = trees if last is None else last + 1
+                own.add(x, out, done, stop)
                 made[:, i, k], done = out, stop
-        inner = pa.ListArray.from_arrays(np.arange(0, made.size + 1, outputs, dtype=np.int32), made.ravel())
-        middle = pa.ListArray.from_arrays(np.arange(0, len(inner) + 1, len(models), dtype=np.int32), inner)
-        return pa.ListArray.from_arrays(np.arange(0, len(middle) + 1, len(chosen), dtype=np.int32), middle)
+        return made
 
     return models[0]._scored(df, name, T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))), score)

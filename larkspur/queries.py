@@ -636,6 +636,13 @@ def es_best_candidate(spark, sf_dir):
     return adaptive.best_iterations(_sums(spark, sf_dir))[0]
 
 
+@query("running_sums_segments", f"WITH {E} SELECT id, round(sum(x) OVER (PARTITION BY g ORDER BY x, id ROWS UNBOUNDED PRECEDING), 4) AS upto, row_number() OVER (PARTITION BY g ORDER BY x, id) AS place FROM e")
+def running_sums_segments(spark, sf_dir):
+    """Sums inside segments that are spread over range partitions."""
+    found = ordered.running_sums(e_rows(spark, sf_dir), "x", {"upto": F.col("x"), "place": F.lit(1).cast("bigint")}, ties=["id"], segment="g", part_rows=1500)
+    return found.select("id", F.round("upto", 4).alias("upto"), "place")
+
+
 @query("running_sums", f"WITH {E} SELECT id, round(sum(x) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING), 4) AS upto FROM e")
 def running_sums(spark, sf_dir):
     return ordered.running_sums(e_rows(spark, sf_dir), "x", {"upto": F.col("x")}, ties=["id"]).select("id", F.round("upto", 4).alias("upto"))

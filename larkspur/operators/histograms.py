@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.routing import node_of
+
 #: Features up to which histograms are built by exploding rows; beyond, by counting on Arrow batches.
 SQL_FEATURES = 8
 
@@ -24,6 +26,19 @@ def total(columns: list[Column]) -> Column:
     return out
 
 
+def _schema(sums: list[str]) -> str:
+    return ", ".join(["node bigint, feat int, bin smallint", *(f"{s} double" for s in sums), "n bigint"])
+
+
+def _cells_of(held: dict[int, np.ndarray], sums: list[str]) -> Iterator[pa.RecordBatch]:
+    """The cells that have rows, a batch for each node; the last row of ``cells`` counts."""
+    for node, cells in held.items():
+        full = np.flatnonzero(cells[-1] > 0)
+        columns = [pa.array(np.full(len(full), node)), pa.array((full // 256).astype(np.int32)), pa.array((full % 256).astype(np.int16))]
+        columns += [pa.array(c[full]) for c in cells[:-1]] + [pa.array(cells[-1][full].astype(np.int64))]
+        yield pa.record_batch(columns, ["node", "feat", "bin", *sums, "n"])
+
+
 def histogram(rows: DataFrame, features: list[int], k: int, m: int, bins: str = "bins", path: str | None = None) -> DataFrame:
     """Sums over ``rows`` (``node``, codes, g0..g{k-1}, h0..h{m-1}) by node, feature position and code."""
     sums = [f"g{i}" for i in range(k)] + [f"h{i}" for i in range(m)]
@@ -44,14 +59,60 @@ def histogram(rows: DataFrame, features: list[int], k: int, m: int, bins: str =
                 place = (codes[mine] + np.arange(len(picked)) * 256).ravel()
                 cells = np.stack([np.bincount(place, np.repeat(v[mine], len(picked)), 256 * len(picked)) for v in [*values, np.ones(len(nodes))]])
                 held[int(node)] = held[int(node)] + cells if int(node) in held else cells
-        for node, cells in held.items():
-            full = np.flatnonzero(cells[-1] > 0)
-            columns = [pa.array(np.full(len(full), node)), pa.array((full // 256).astype(np.int32)), pa.array((full % 256).astype(np.int16))]
-            columns += [pa.array(c[full]) for c in cells[:-1]] + [pa.array(cells[-1][full].astype(np.int64))]
-            yield pa.record_batch(columns, ["node", "feat", "bin", *sums, "n"])
-
-    schema = ", ".join(["node bigint, feat int, bin smallint", *(f"{s} double" for s in sums), "n bigint"])
-    parts = rows.select(F.col("node").cast("bigint"), bins, *(F.col(s).cast("double") for s in sums)).mapInArrow(run, schema)
+        yield from _cells_of(held, sums)
+
+    parts = rows.select(F.col("node").cast("bigint"), bins, *(F.col(s).cast("double") for s in sums)).mapInArrow(run, _schema(sums))
+    return parts.groupBy("node", "feat", "bin").agg(*(F.sum(s).alias(s) for s in [*sums, "n"]))
+
+
+#: Node numbers of a structure: those of the next begin at this distance, so that one level of many trees has one key.
+STRUCTURE = 1 << 32
+#: Structures times their nodes up to which rows find their nodes by generated conditions; beyond, on Arrow batches.
+SQL_NODES = 64
+
+
+def group_histogram(rows: DataFrame, features: list[int], trees: list, wanted: list[int], columns: list[tuple[list[int], list[int]]], bins: str = "bins", path: str | None = None) -> DataFrame:
+    """One level of many trees in one pass: sums by (structure, node), feature position and code, over the ``wanted`` nodes.
+
+    ``rows`` have codes and arrays ``g`` and ``h``; ``columns`` names the places in them that each structure sums. Node numbers
+    are ``STRUCTURE * structure + node``. Structures with fewer columns than others have zeros in the rest.
+    """
+    k, m = (max(len(c[i]) for c in columns) for i in (0, 1))
+    sums = [f"g{i}" for i in range(k)] + [f"h{i}" for i in range(m)]
+    if (path or ("sql" if len(features) <= SQL_FEATURES and sum(len(t.feat) for t in trees) <= SQL_NODES else "arrow")) == "sql":
+        parts = []
+        for s, (tree, (g, h)) in enumerate(zip(trees, columns, strict=True)):
+            cells = [(names[i] if i < len(names) else None, array, f"{array}{i}") for array, names, n in (("g", g, k), ("h", h, m)) for i in range(n)]
+            parts.append(F.struct((node_of(tree, bins).cast("bigint") + STRUCTURE * s).alias("node"), *((F.lit(0.0) if at is None else F.get(array, F.lit(at))).alias(name) for at, array, name in cells)))
+        placed = rows.select(bins, F.explode(F.array(*parts)).alias("part")).select(bins, "part.*")
+        if len(wanted) < sum(len(t.leaves) for t in trees):
+            placed = placed.where(F.col("node").isin(wanted))
+        return histogram(placed, features, k, m, bins, "sql")
+    picked, asked = np.array(features), np.array(sorted(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            n = batch.num_rows
+            codes = batch.column(0).flatten().to_numpy().reshape(n, -1)
+            arrays = [batch.column(c).flatten().to_numpy().reshape(n, -1) for c in (1, 2)] if n else []
+            place = None
+            for s, (tree, names) in enumerate(zip(trees, columns, strict=True)) if n else ():
+                node = tree.nodes_of_codes(codes) + STRUCTURE * s
+                for one in np.intersect1d(np.unique(node), asked):
+                    mine = np.flatnonzero(node == one)
+                    if place is None:
+                        place = codes[:, picked].astype(np.int64) + np.arange(len(picked)) * 256
+                    at = place[mine].ravel()
+                    cells = np.zeros((len(sums) + 1, 256 * len(picked)))
+                    for first, array, own in ((0, arrays[0], names[0]), (k, arrays[1], names[1])):
+                        for c, column in enumerate(own):
+                            cells[first + c] = np.bincount(at, np.repeat(array[mine, column], len(picked)), 256 * len(picked))
+                    cells[-1] = np.bincount(at, minlength=256 * len(picked))
+                    held[int(one)] = held[int(one)] + cells if int(one) in held else cells
+        yield from _cells_of(held, sums)
+
+    parts = rows.select(bins, *(F.col(c).cast("array<double>") for c in ("g", "h"))).mapInArrow(run, _schema(sums))
     return parts.groupBy("node", "feat", "bin").agg(*(F.sum(s).alias(s) for s in [*sums, "n"]))
 
 

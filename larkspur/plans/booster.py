@@ -21,7 +21,7 @@ from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.functions.metrics import Metric, metric_from_name
 from larkspur.operators import multioutput
 from larkspur.operators.binning import binner_from_name
-from larkspur.operators.histograms import best_splits, best_splits_dense, dense, gains, histogram, running, sibling
+from larkspur.operators.histograms import STRUCTURE, best_splits, best_splits_dense, dense, gains, group_histogram, histogram, running, sibling
 from larkspur.operators.routing import leaf_values, node_of
 from larkspur.operators.sampling import ColumnSampler, RowSampler
 from larkspur.plans.callbacks import Callback, CallbackPipeline, EarlyStopping, EvalHistory
@@ -119,11 +119,10 @@ class _Level:
         self.families = families if kept else []
         return [small for small, _, _ in self.families] or live
 
-    def search(self, rows: DataFrame, features: list[int], live: list[int], counted: list[int], path: str | None) -> list[tuple]:
+    def search(self, hist: DataFrame, live: list[int], counted: list[int]) -> list[tuple]:
         """node, feature position, bin, missing left, gain, left and all rows, left sums and all sums, of each live node's
         best split."""
         k, m = self.sums
-        hist = histogram(rows, features, k, m, path=path)
         if self.small(len(live)):
             g, h, n = dense(hist.toArrow(), counted, *self.shape, k, m)
             arrays = {node: (g[:, i], h[:, i], n[i]) for i, node in enumerate(counted)}
@@ -135,7 +134,7 @@ class _Level:
             best = best_splits_dense(*cells, np.stack([arrays[node][2] for node in live]), *self.limits)
             return [(node, *b[:4], b[6], float(arrays[node][2][0].sum()), b[4], b[5], arrays[node][0][:, 0].sum(axis=1), arrays[node][1][:, 0].sum(axis=1)) for node, b in zip(live, best, strict=True)]
         if self.families:
-            family = rows.sparkSession.createDataFrame(self.families, "small bigint, large bigint, parent bigint")
+            family = hist.sparkSession.createDataFrame(self.families, "small bigint, large bigint, parent bigint")
             family = F.broadcast(family)  # a row for a node of the level: they are few, as the driver grows the tree
             by_parent = hist.join(family, F.col("node") == F.col("small")).withColumn("node", F.col("parent")).drop("small", "large", "parent")
             rest = sibling(self.frame, by_parent, k, m).join(family, F.col("node") == F.col("parent"))
@@ -150,31 +149,45 @@ class _Level:
             held.unpersist()
 
 
-def grow(rows: DataFrame, features: list[int], outputs: int, hessians: int, borders: list[np.ndarray], max_depth: int, lam: float, min_leaf: int, min_gain: float, path: str | None = None) -> tuple[GroupTree, dict[int, tuple]]:
-    """A tree's structure from ``rows`` (codes, arrays g and h), depth by depth, until nothing splits; and the sums of
-    gradients and hessians in each of its nodes: a right child's are its parent's less the left child's."""
-    tree, sums = GroupTree(), {}
-    live, families = [0], []
-    base = rows.select("bins", *(F.get("g", F.lit(k)).alias(f"g{k}") for k in range(outputs)), *(F.get("h", F.lit(k)).alias(f"h{k}") for k in range(hessians)))
-    level = _Level(len(features), max((len(borders[f]) for f in features), default=0) + 2, outputs, hessians, lam, min_leaf)
+def grow(rows: DataFrame, features: list[int], columns: list[tuple[list[int], list[int]]], borders: list[np.ndarray], max_depth: int, lam: float, min_leaf: int, min_gain: float, path: str | None = None) -> tuple[list[GroupTree], list[dict[int, tuple]]]:
+    """The structures of a turn's trees from ``rows`` (codes, arrays g and h), all of them together depth by depth until
+    nothing splits: a level is one grouped sum over (structure, node, feature, code), however many structures there are.
+
+    ``columns``: the places in g and h that each structure sees. Also the sums of gradients and hessians in each node of each
+    structure: a right child's are its parent's less the left child's.
+    """
+    trees, sums = [GroupTree() for _ in columns], [{} for _ in columns]
+    live, families = [STRUCTURE * s for s in range(len(columns))], []
+    k, m = (max(len(c[i]) for c in columns) for i in (0, 1))
+    level = _Level(len(features), max((len(borders[f]) for f in features), default=0) + 2, k, m, lam, min_leaf)
+    if len(columns) == 1:
+        ((g, h),) = columns
+        base = rows.select("bins", *(F.get("g", F.lit(at)).alias(f"g{i}") for i, at in enumerate(g)), *(F.get("h", F.lit(at)).alias(f"h{i}") for i, at in enumerate(h)))
     for _ in range(max_depth):
-        placed, counted = base.withColumn("node", node_of(tree)), level.counted(live, families)
-        if len(counted) < len(tree.leaves):
-            placed = placed.where(F.col("node").isin(counted))
-        found, live, families = level.search(placed, features, live, counted, path), [], []
-        for node, position, split, nan_left, gain, left_n, all_n, left_g, left_h, all_g, all_h in found:
-            sums.setdefault(node, (all_g, all_h))
+        counted = level.counted(live, families)
+        if len(columns) == 1:
+            placed = base.withColumn("node", node_of(trees[0]))
+            if len(counted) < len(trees[0].leaves):
+                placed = placed.where(F.col("node").isin(counted))
+            hist = histogram(placed, features, k, m, path=path)
+        else:
+            hist = group_histogram(rows, features, trees, counted, columns, path=path)
+        found, live, families = level.search(hist, live, counted), [], []
+        for key, position, split, nan_left, gain, left_n, all_n, left_g, left_h, all_g, all_h in found:
+            s, node = divmod(key, STRUCTURE)
+            sums[s].setdefault(node, (all_g, all_h))
             if gain > min_gain:
                 f = features[position]
                 edge = borders[f][split - 1] if 0 < split <= len(borders[f]) else (-np.inf if split == 0 else np.inf)
-                left, right = tree.grow(node, f, split, float(edge), nan_left, gain)
-                sums[left], sums[right] = (left_g, left_h), (sums[node][0] - left_g, sums[node][1] - left_h)
-                live += [left, right]
-                families.append((left, right, node) if 2 * left_n <= all_n else (right, left, node))
+                left, right = trees[s].grow(node, f, split, float(edge), nan_left, gain)
+                sums[s][left], sums[s][right] = (left_g, left_h), (sums[s][node][0] - left_g, sums[s][node][1] - left_h)
+                pair = (key - node + left, key - node + right)
+                live += pair
+                families.append((*pair, key) if 2 * left_n <= all_n else (*pair[::-1], key))
         if not live:
             break
     level.done()
-    return tree, sums
+    return trees, sums
 
 
 def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -284,61 +297,68 @@ class GradientBoosting:
             rows = sampler.mark(rows, "id", state["n"], self.seed, turn)
         whole = isinstance(sampler, (int, float)) and sampler == 1
         inside = rows if whole else rows.where("_in")
-        inside = inside.withColumn("g", F.transform("g", lambda v: v * F.col("w"))).withColumn("h", F.transform("h", lambda v: v * F.col("w")))
-        inside = inside if whole else inside.persist()
-        columns = self.colsample if hasattr(self.colsample, "choose") else ColumnSampler(self.colsample)
-        features = columns.choose(len(self.model.features), self.seed, turn, self.model)
-        groups, sets, values = [], splitter(outputs, self.seed, turn), []
-        for outs in sets:
-            part = inside.withColumn("g", F.array(*(F.get("g", F.lit(k)) for k in outs)))
-            if hessians > 1:
-                part = part.withColumn("h", F.array(*(F.get("h", F.lit(k)) for k in outs)))
-            k, m = len(outs), len(outs) if hessians > 1 else 1
-            structure = part
-            if k > 1:
-                if not self.use_hess:
-                    structure, m_ = structure.withColumn("h", F.array("w")), 1
-                else:
-                    m_ = m
-                if self.multioutput_sketch is not None:
-                    context = {"row_id": "id", "n": state["n"], "seed": self.seed, "turn": turn, "lam": self.lambda_l2, "leaves": state["leaves"]}
-                    structure, k_, m_ = self.multioutput_sketch.apply(structure, k, m_, context)
-                else:
-                    k_ = k
-            else:
-                k_, m_ = k, m
-            tree, sums = grow(structure, features, k_, m_, state["borders"], self.max_depth, self.lambda_l2, self.min_data_in_leaf, self.min_gain_to_split)
-            groups.append(tree)
-            if structure is part:  # the search has summed what leaf values need
-                values.append(np.array([-self.lr * _over(g, h + self.lambda_l2) for g, h in (sums[leaf] for leaf in tree.leaves)]))
-            else:
-                values.append(self._values(part.withColumn("leaf", leaf_column(tree)), tree, k, m))
+        inside = inside.select("id", "bins", "w", *(F.transform(c, lambda v: v * F.col("w")).alias(c) for c in ("g", "h")))
+        held = not whole or loss.multiclass  # rows that a level should not find, or gradients that it should not compute, again
+        inside = inside.persist() if held else inside
+        choice = self.colsample if hasattr(self.colsample, "choose") else ColumnSampler(self.colsample)
+        features = choice.choose(len(self.model.features), self.seed, turn, self.model)
+        sets = splitter(outputs, self.seed, turn)
+        exact = [(list(outs), list(outs) if hessians > 1 else [0]) for outs in sets]
+        structure, columns = self._structure(inside, exact, state, turn)
+        groups, sums = grow(structure, features, columns, state["borders"], self.max_depth, self.lambda_l2, self.min_data_in_leaf, self.min_gain_to_split)
+        if structure is inside:  # the search has summed what leaf values need
+            values = [np.array([-self.lr * _over(g[: len(outs)], h[: len(outs) if hessians > 1 else 1] + self.lambda_l2) for g, h in (s[leaf] for leaf in t.leaves)]) for t, s, outs in zip(groups, sums, sets, strict=True)]
+        else:
+            values = self._values(inside, groups, exact)
         tree = Tree(groups, sets, values)
-        for step in range(self.gd_steps - 1):
-            tree.values = self._refined(rows if whole else rows.where("_in"), tree, outputs)
-        if not whole:
+        for _ in range(self.gd_steps - 1):
+            tree.values = self._refined(rows if whole else rows.where("_in"), tree)
+        if held:
             inside.unpersist()
         return tree, [leaf_column(t) for t in groups]
 
-    def _values(self, rows: DataFrame, tree: GroupTree, k: int, m: int) -> np.ndarray:
-        out = np.zeros((len(tree.leaves), k))
-        for r in leaf_values(rows, k, m, self.lr, self.lambda_l2).collect():
-            out[r["leaf"]] = r["value"]
+    def _structure(self, rows: DataFrame, exact: list[tuple[list[int], list[int]]], state: dict, turn: int) -> tuple[DataFrame, list[tuple[list[int], list[int]]]]:
+        """What the search of the structures sees: ``rows`` themselves, or arrays g and h of other columns (sketches, weights
+        instead of hessians), and the places of each structure's columns in them."""
+        if all(len(g) == 1 or (self.use_hess and self.multioutput_sketch is None) for g, _ in exact):
+            return rows, exact
+        whole, columns, made = rows.withColumnsRenamed({"g": "_g", "h": "_h"}), [], {"g": [], "h": []}
+        for s, (g, h) in enumerate(exact):
+            part, k, m = whole.withColumns({"g": F.array(*(F.get("_g", F.lit(c)) for c in g)), "h": F.array(*(F.get("_h", F.lit(c)) for c in h))}), len(g), len(h)
+            if k > 1:
+                if not self.use_hess:
+                    part, m = part.withColumn("h", F.array("w")), 1
+                if self.multioutput_sketch is not None:
+                    context = {"row_id": "id", "n": state["n"], "seed": self.seed, "turn": turn, "lam": self.lambda_l2, "leaves": state["leaves"]}
+                    part, k, m = self.multioutput_sketch.apply(part, k, m, context)
+            columns.append(tuple([len(made[c]) + i for i in range(n)] for c, n in (("g", k), ("h", m))))
+            for c, n in (("g", k), ("h", m)):
+                made[c] += [F.get(f"_{c}{s}", F.lit(i)) for i in range(n)]
+            whole = part.withColumnsRenamed({"g": f"_g{s}", "h": f"_h{s}"})
+        return whole.select("bins", *(F.array(*cells).alias(c) for c, cells in made.items())), columns
+
+    def _values(self, rows: DataFrame, groups: list[GroupTree], columns: list[tuple[list[int], list[int]]]) -> list[np.ndarray]:
+        """Leaf values of all structures from one grouped sum."""
+        parts = []
+        for s, (tree, (g, h)) in enumerate(zip(groups, columns, strict=True)):
+            cells = [F.array(*(F.get(c, F.lit(at)) for at in places)).alias(c) for c, places in (("g", g), ("h", h))]
+            parts.append(F.struct((leaf_column(tree).cast("bigint") + STRUCTURE * s).alias("leaf"), *cells))
+        k, m = (max(len(c[i]) for c in columns) for i in (0, 1))
+        out = [np.zeros((len(tree.leaves), len(g))) for tree, (g, _) in zip(groups, columns, strict=True)]
+        long = rows.select(F.explode(F.array(*parts)).alias("part")).select("part.*")
+        for r in leaf_values(long, k, m, self.lr, self.lambda_l2).collect():
+            s, leaf = divmod(r["leaf"], STRUCTURE)
+            out[s][leaf] = r["value"][: out[s].shape[1]]
         return out
 
-    def _refined(self, rows: DataFrame, tree: Tree, outputs: int) -> list[np.ndarray]:
+    def _refined(self, rows: DataFrame, tree: Tree) -> list[np.ndarray]:
         """A further Newton step of the leaf values at the margins that they lead to, without sample weights."""
         rows = moved(rows.select(*(c for c in rows.columns if c not in ("g", "h"))), tree)
         g, h = self.model.loss.grad_hess(F.col("y"), F.col("pred"))
         rows = rows.withColumn("g", g).withColumn("h", h)
         hessians = int(rows.select(F.size("h")).first()[0])
-        new = []
-        for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
-            part = rows.withColumn("g", F.array(*(F.get("g", F.lit(k)) for k in outs))).withColumn("leaf", leaf_column(group))
-            if hessians > 1:
-                part = part.withColumn("h", F.array(*(F.get("h", F.lit(k)) for k in outs)))
-            new.append(values + self._values(part, group, len(outs), len(outs) if hessians > 1 else 1))
-        return new
+        columns = [(list(outs), list(outs) if hessians > 1 else [0]) for outs in tree.outputs]
+        return [old + new for old, new in zip(tree.values, self._values(rows, tree.groups, columns), strict=True)]
 
     # the fitted model
 

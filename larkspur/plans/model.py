@@ -43,8 +43,8 @@ class GroupTree:
         """Nodes that are leaves, in level order: their place is their leaf number."""
         return [k for k, x in enumerate(self.left) if x < 0]
 
-    def ends_of_codes(self, codes: np.ndarray) -> np.ndarray:
-        """The leaf number of each row of a matrix of codes (0: missing)."""
+    def nodes_of_codes(self, codes: np.ndarray) -> np.ndarray:
+        """The leaf node where each row of a matrix of codes (0: missing) ends."""
         feat, split, nan_left = np.array(self.feat), np.array(self.split), np.array(self.nan_left)
         left, right = np.array(self.left), np.array(self.right)
         node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
@@ -54,9 +54,13 @@ class GroupTree:
             rows, now = rows[inner], now[inner]
             code = codes[rows, feat[now]]
             node[rows] = np.where((code > split[now]) | ((code == 0) & ~nan_left[now]), right[now], left[now])
-        number = np.full(len(feat), -1)
+        return node
+
+    def ends_of_codes(self, codes: np.ndarray) -> np.ndarray:
+        """The leaf number of each row."""
+        number = np.full(len(self.feat), -1)
         number[self.leaves] = np.arange(len(self.leaves))
-        return number[node]
+        return number[self.nodes_of_codes(codes)]
 
     def leaf_column(self, features: list[str]) -> Column:
         """The leaf number as one nested condition over raw features, for whole-stage code."""

@@ -125,6 +125,15 @@ def sibling(parent: DataFrame, small: DataFrame, k: int, m: int) -> DataFrame:
     return rest.where("n > 0")
 
 
+def with_siblings(hist: DataFrame, parents: DataFrame, families: list[tuple[int, int, int]], k: int, m: int) -> DataFrame:
+    """``hist``, which has the smaller child of each family (smaller, larger, parent), with the larger children too."""
+    family = hist.sparkSession.createDataFrame(families, "small bigint, large bigint, parent bigint")
+    family = F.broadcast(family)  # a row for a node of the level: they are few, as the driver grows the tree
+    by_parent = hist.join(family, F.col("node") == F.col("small")).withColumn("node", F.col("parent")).drop("small", "large", "parent")
+    rest = sibling(parents, by_parent, k, m).join(family, F.col("node") == F.col("parent"))
+    return hist.unionByName(rest.withColumn("node", F.col("large")).select(hist.columns))
+
+
 def running(hist: DataFrame, k: int, m: int) -> DataFrame:
     """Running sums over a node's and feature's bins, with node totals (``*_t``) and the missing bin's sums (``*_m``)."""
     sums = [f"g{i}" for i in range(k)] + [f"h{i}" for i in range(m)] + ["n"]

@@ -21,7 +21,7 @@ from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.functions.metrics import Metric, metric_from_name
 from larkspur.operators import multioutput
 from larkspur.operators.binning import binner_from_name
-from larkspur.operators.histograms import STRUCTURE, best_splits, best_splits_dense, dense, gains, group_histogram, histogram, running, sibling
+from larkspur.operators.histograms import STRUCTURE, best_splits, best_splits_dense, dense, gains, group_histogram, histogram, running, with_siblings
 from larkspur.operators.routing import leaf_values, node_of
 from larkspur.operators.sampling import ColumnSampler, RowSampler
 from larkspur.plans.callbacks import Callback, CallbackPipeline, EarlyStopping, EvalHistory
@@ -134,11 +134,7 @@ class _Level:
             best = best_splits_dense(*cells, np.stack([arrays[node][2] for node in live]), *self.limits)
             return [(node, *b[:4], b[6], float(arrays[node][2][0].sum()), b[4], b[5], arrays[node][0][:, 0].sum(axis=1), arrays[node][1][:, 0].sum(axis=1)) for node, b in zip(live, best, strict=True)]
         if self.families:
-            family = hist.sparkSession.createDataFrame(self.families, "small bigint, large bigint, parent bigint")
-            family = F.broadcast(family)  # a row for a node of the level: they are few, as the driver grows the tree
-            by_parent = hist.join(family, F.col("node") == F.col("small")).withColumn("node", F.col("parent")).drop("small", "large", "parent")
-            rest = sibling(self.frame, by_parent, k, m).join(family, F.col("node") == F.col("parent"))
-            hist = hist.unionByName(rest.withColumn("node", F.col("large")).select(hist.columns))
+            hist = with_siblings(hist, self.frame, self.families, k, m)
         self.older += [self.frame] if self.frame is not None else []
         self.frame, self.arrays = hist.persist(), {}
         best = best_splits(gains(running(self.frame, k, m), k, m, *self.limits, sums=True)).collect()

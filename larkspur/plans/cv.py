@@ -84,6 +84,7 @@ class CrossValidation:
         for k, booster in enumerate(self.boosters):
             part = booster.model.on(inner_names(features)).predict(rows.where(F.col("fold") == k)).select("id", "fold", "y", "prediction")
             out = part if out is None else out.unionByName(part)
+        rows.unpersist()  # what is returned reads the input once more
         return out
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:

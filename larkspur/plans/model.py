@@ -43,6 +43,19 @@ class GroupTree:
         """Nodes that are leaves, in level order: their place is their leaf number."""
         return [k for k, x in enumerate(self.left) if x < 0]
 
+    def cut(self, depth: int) -> GroupTree:
+        """The tree as it was when it had ``depth`` levels of splits: as numbers are in level order, its nodes come first."""
+        level = [0] * len(self.feat)
+        for node, left in enumerate(self.left):
+            if left >= 0:
+                level[left] = level[left + 1] = level[node] + 1
+        keep = sum(x <= depth for x in level)
+        made = GroupTree(*(list(c[:keep]) for c in (self.feat, self.split, self.threshold, self.nan_left, self.left, self.right, self.gain)))
+        for node in range(keep):
+            if level[node] == depth:
+                made.feat[node], made.split[node], made.threshold[node], made.nan_left[node], made.left[node], made.right[node], made.gain[node] = -1, 0, 0.0, True, -1, -1, 0.0
+        return made
+
     def nodes_of_codes(self, codes: np.ndarray) -> np.ndarray:
         """The leaf node where each row of a matrix of codes (0: missing) ends."""
         feat, split, nan_left = np.array(self.feat), np.array(self.split), np.array(self.nan_left)
@@ -245,6 +258,14 @@ class Model:
 
     def predict_staged(self, df: DataFrame, iterations: list[int] | None = None) -> DataFrame:
         """A row for each row and iteration: ``df``'s other columns, ``iter`` and ``prediction`` after trees 0 to iter."""
+        chosen, stages = self._iterations(iterations), free(df, "_stages")
+        scored, place, margin = self.stages(df, stages, chosen), free(df, "_place"), free(df, "_margin")
+        steps, rest = F.array(*map(F.lit, chosen)), [named(c) for c in df.columns if c not in ("iter", "prediction")]
+        long = scored.select(*rest, F.posexplode(stages).alias(place, margin))
+        return long.select(*rest, F.element_at(steps, F.col(place) + 1).alias("iter"), self.loss.postprocess(F.col(margin)).alias("prediction"))
+
+    def stages(self, df: DataFrame, name: str, iterations: list[int] | None = None) -> DataFrame:
+        """``df`` with an array of raw margins after each of the iterations."""
         chosen = self._iterations(iterations)
         packed, base = Packed(self.trees[: chosen[-1] + 1], len(self.features)), np.array(self.base)
 
@@ -255,11 +276,7 @@ class Model:
                 stages[:, k] = out
             return stages
 
-        stages, place, margin = free(df, "_stages"), free(df, "_place"), free(df, "_margin")
-        scored = self._scored(df, stages, T.ArrayType(T.ArrayType(T.DoubleType())), score)
-        steps, rest = F.array(*map(F.lit, chosen)), [named(c) for c in df.columns if c not in ("iter", "prediction")]
-        long = scored.select(*rest, F.posexplode(stages).alias(place, margin))
-        return long.select(*rest, F.element_at(steps, F.col(place) + 1).alias("iter"), self.loss.postprocess(F.col(margin)).alias("prediction"))
+        return self._scored(df, name, T.ArrayType(T.ArrayType(T.DoubleType())), score)
 
     def predict_leaves(self, df: DataFrame, iterations: list[int] | None = None) -> DataFrame:
         """A row for each row and iteration: ``df``'s other columns, ``iter`` and ``leaf``, an array over groups."""

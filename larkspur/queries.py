@@ -825,6 +825,21 @@ def fit_two_outputs(spark, sf_dir):
     return _two_predicted(GradientBoosting("mse", ntrees=1, max_depth=2, lr=0.3, es=0, verbose=0), spark, sf_dir)
 
 
+_EACH = f"SELECT a.id, a.p1, b.p2 FROM ({_two(2, 0.3, (1,))}) a JOIN ({_two(2, 0.3, (2,))}) b ON a.id = b.id"
+
+
+@query("fit_one_vs_all", _EACH)
+def fit_one_vs_all(spark, sf_dir):
+    """A tree for each output, grown together."""
+    return _two_predicted(GradientBoosting("mse", ntrees=1, max_depth=2, lr=0.3, target_splitter="OneVsAll", es=0, verbose=0), spark, sf_dir)
+
+
+@query("fit_random_groups", _EACH)
+def fit_random_groups(spark, sf_dir):
+    """As many random groups as outputs."""
+    return _two_predicted(GradientBoosting("mse", ntrees=1, max_depth=2, lr=0.3, target_splitter="RandomGroups", es=0, verbose=0), spark, sf_dir)
+
+
 @query("fit_sketched", _two(2, 0.3, (2,)))
 def fit_sketched(spark, sf_dir):
     """The structure sees the output with the larger gradients alone, leaf values are found for both."""

@@ -295,12 +295,17 @@ def suffixes(text: np.ndarray, depth: int, characters: int = 257, folder: str |
 
         small.done()
         for c in range(characters):
-            position, own = large.read(c, 0, large.many[c])
-            if len(position):
+            last = None
+            for at in range(0, large.many[c], BLOCK):
+                position, own = large.read(c, at, min(at + BLOCK, large.many[c]))
+                last = position[-1:]
                 yield position, own
-            after, own = (x[::-1] for x in small.read(c, 0, small.many[c]))
-            if len(after):
-                first = _common(text, position[-1:], after[:1], depth) if len(position) else np.zeros(1, np.uint8)
-                yield after, np.concatenate([first, own[:-1]])
+            before = None  # the common prefix of a block's first entry with the entry before it
+            for stop in range(small.many[c], 0, -BLOCK):
+                after, own = (x[::-1] for x in small.read(c, max(stop - BLOCK, 0), stop))
+                if before is None:
+                    before = _common(text, last, after[:1], depth) if last is not None else np.zeros(1, np.uint8)
+                yield after, np.concatenate([before, own[:-1]])
+                before = own[-1:]
     finally:
         shutil.rmtree(home, ignore_errors=True)

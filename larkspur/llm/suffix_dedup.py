@@ -134,6 +134,18 @@ def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), stops - np.diff(stops, prepend=0), stops
 
 
+def _windows(texts: list[bytes], most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of texts: place in the text where the buffer begins, bytes, starts and stops of its texts. A text of more
+    than ``most`` bytes (``SLICE_BYTES``) is cut in windows that have all but one byte of a string in common: each of its strings
+    lies in one window, and a segment that a cut divides becomes two, which anchors bring together like any others."""
+    most = most or SLICE_BYTES
+    if len(texts) != 1 or len(texts[0]) <= most:
+        yield (0, *_buffer(texts))
+        return
+    for at in range(0, max(len(texts[0]) - WINDOW + 1, 1), most):
+        yield (at, *_buffer([texts[0][at : at + most + WINDOW - 1]]))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents: the segments of each slice, and counts of anchors that are frequent in a stretch of slices."""
     grams, whole = Hashes(1), Hashes(2)
@@ -147,37 +159,45 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rows(COUNTED, times.astype(np.int64), zero, zero, found)
 
     for batch in slices(batches, SLICE_BYTES):
-        data, starts, stops = _buffer(text_bytes(batch.column(1)))
-        doc, lo, w, anchor, seg = segments(data, starts, stops, grams, whole)
-        keys = batch.column(0).to_numpy()
-        out, found = _collapsed(keys[doc], lo - starts[doc], w, anchor, seg)
-        anchors.append(found)
-        yield out
+        texts, keys = text_bytes(batch.column(1)), batch.column(0).to_numpy()
+        for first, data, starts, stops in _windows(texts):
+            doc, lo, w, anchor, seg = segments(data, starts, stops, grams, whole)
+            out, found = _collapsed(keys[doc], first + lo - starts[doc], w, anchor, seg)
+            anchors.append(found)
+            yield out
         if sum(map(len, anchors)) >= STRETCH:
             yield counts()
     yield counts()
     pa.default_memory_pool().release_unused()
 
 
-def _strings():
-    """Documents with marked segments: each string of these as a segment of its own."""
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with marked segments: each string of these as a segment of its own. Only the segments' bytes are hashed,
+    about ``SLICE_BYTES`` at a time, so that memory does not follow the number of strings of a long text."""
     one, two = Hashes(3), Hashes(4)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, starts, _ = _buffer(text_bytes(batch.column(1)))
+    def told(pieces: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        doc, lo, w = (np.array([p[k] for p in pieces], np.int64) for k in range(3))
+        data, starts, _ = _buffer([p[3] for p in pieces])
         one.read(data)
         two.read(data)
-        docs, los = [], []
-        for k, (lo, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            for a, n in zip(lo, w, strict=True):
-                docs.append(np.full(n, k))
-                los.append(np.arange(a, a + n))
-        doc, lo = np.concatenate(docs), np.concatenate(los)
-        at = lo + starts[doc]
-        keys = batch.column(0).to_numpy()
-        return _collapsed(keys[doc], lo, np.ones(len(doc), np.int64), one.of(at, at + WINDOW), two.of(at, at + WINDOW))[0]
+        own = np.repeat(np.arange(len(w)), w)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(w) - w, w)
+        at = starts[own] + step
+        return _collapsed(doc[own], lo[own] + step, np.ones(len(own), np.int64), one.of(at, at + WINDOW), two.of(at, at + WINDOW))[0]
 
-    return work
+    held, size = [], 0
+    for batch in slices(batches, SLICE_BYTES):
+        for doc, raw, los, ws in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
+            for lo, w in zip(los, ws, strict=True):
+                held.append((doc, lo, w, raw[lo : lo + w + WINDOW - 1]))
+                size += w + WINDOW
+                if size >= SLICE_BYTES:
+                    yield told(held)
+                    held, size = [], 0
+    if held:
+        yield told(held)
+    pa.default_memory_pool().release_unused()
 
 
 def _by_anchor(batches: Iterator[pa.RecordBatch], column: int, least_rows: int = 1) -> Iterator[pa.Table]:
@@ -376,7 +396,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[D
         rows = often[0].unionByName(often[-1]) if len(often) > 1 else often[0]
         marks = rows.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("w").alias("w"))
         strings = own.join(marks, "doc").select("doc", "text", "lo", "w")
-        strings = stored(strings.mapInArrow(in_batches(_strings, SLICE_BYTES), _SCHEMA), "strings")
+        strings = stored(strings.mapInArrow(_strings, _SCHEMA), "strings")
         tables += [strings, stored(settled(strings.where(F.col("kind") == SEGMENT), "anchor", "seg"), "met")]
     return tables
 

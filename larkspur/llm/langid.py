@@ -22,6 +22,7 @@ counts as several words); columns other than those named are not read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import in_batches
+from larkspur.llm.common import in_batches, slices
 
 TRAIN_DOCS, TRAIN_WORDS = 400, 400_000
 HASH_BITS, LENGTH, CACHE_WORDS = 17, 20, 200_000
@@ -118,14 +119,32 @@ def forward_backward(emission: np.ndarray, change: np.ndarray, sizes: np.ndarray
     return both / both.sum(axis=2, keepdims=True), forward, backward * e
 
 
+def lettered(text: str) -> list[str]:
+    """The words with letters, of which training reads an equal share for each language."""
+    return [w for w in words_of(text) if any(c.isalpha() for c in w)]
+
+
+def turns_needed(counts: list[int], share: int) -> int:
+    """Turns of ``SPAN // 2`` words each after which documents of so many words have given ``share`` words, or all."""
+    turns, most = 0, -(-max(counts, default=0) // (SPAN // 2))
+    while turns < most and sum(min(n, turns * (SPAN // 2)) for n in counts) < share:
+        turns += 1
+    return turns
+
+
 def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model from (text, language) pairs."""
+    return train_on_words([(lettered(text), lang) for text, lang in texts], seed)
+
+
+def train_on_words(texts: list[tuple[list[str], str]], seed: int = 7) -> Model:
+    """A model from (words with letters, language) pairs."""
     languages = sorted({lang for _, lang in texts})
     rng, label_of = np.random.default_rng(seed), {x: k for k, x in enumerate(languages)}
     spans = []
     for lang in languages:  # each has an equal share of the words, which its texts give by turns
         cut = []
-        for words in ([w for w in words_of(text) if any(c.isalpha() for c in w)] for text, x in texts if x == lang):
+        for words in (words for words, x in texts if x == lang):
             cut.append([words[at : at + SPAN // 2] for at in range(0, len(words), SPAN // 2)])
         left = TRAIN_WORDS // len(languages)
         for turn in range(max(map(len, cut), default=0)):
@@ -254,7 +273,9 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from the bounded sample of the documents that are not held out and have a language."""
+    """A model from the bounded sample of the documents that are not held out and have a language. Executors count the
+    sample's words and cut each document to those that its language's share can need, so that what comes to the driver is
+    bounded by ``TRAIN_WORDS`` and one turn of each document, however long documents are."""
     known = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(lang).alias("l"))
     languages = [r.l for r in known.select("l").distinct().orderBy("l").collect()]
     pick = None
@@ -264,9 +285,27 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if pick is None:
         return train([])
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    found = rows.join(F.broadcast(pick.distinct()), ["k", "l"], "left_semi").where("t is not null").collect()
-    found = sorted({(zlib.crc32(str(r.k).encode()), r.k, r.t, r.l) for r in found})
-    return train([(t, lang_) for _, _, t, lang_ in found])
+    found = rows.join(F.broadcast(pick.distinct()), ["k", "l"], "left_semi").where("t is not null")
+    kind = dict(found.dtypes)["k"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words that ``most`` (null: none, only their number is asked for) says."""
+        for batch in slices(batches):
+            each = [lettered(t) for t in batch.column(1).to_pylist()]
+            kept = [w[:m] if m is not None else None for w, m in zip(each, batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(map(len, each), pa.int64()), pa.array(kept, pa.list_(pa.string()))], ["k", "l", "n", "words"])
+
+    def asked(most: Column) -> DataFrame:
+        return found.select("k", "t", "l", most.cast("int").alias("most")).mapInArrow(cut, f"k {kind}, l string, n bigint, words array<string>")
+
+    counts = asked(F.lit(None)).select("l", "n").collect()  # TRAIN_DOCS for each language
+    present = sorted({r.l for r in counts})
+    if not present:
+        return train([])
+    turns = {x: turns_needed([r.n for r in counts if r.l == x], TRAIN_WORDS // len(present)) for x in present}
+    most = F.element_at(F.create_map(*(F.lit(v) for x, n in turns.items() for v in (x, n * (SPAN // 2)))), F.col("l"))
+    told = sorted({(zlib.crc32(str(r.k).encode()), r.k, tuple(r.words), r.l) for r in asked(most).collect()})
+    return train_on_words([(list(words), lang_) for _, _, words, lang_ in told])
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -112,20 +112,26 @@ class Rollup:
             return False
         return True
 
-    def _base(self) -> tuple[str | None, set[str]]:
-        """The newest base's folder and the batches that it holds."""
+    def _base(self) -> tuple[str | None, DataFrame]:
+        """The newest base's folder and a table of the batches that it holds."""
         bases = self._names("base")
         if not bases:
-            return None, set()
-        held = self.spark.read.schema("batch string").parquet(f"{self.path}/{bases[-1]}/batches")
-        return bases[-1], {r["batch"] for r in held.collect()}
+            return None, self.spark.createDataFrame([], "batch string")
+        return bases[-1], self.spark.read.schema("batch string").parquet(f"{self.path}/{bases[-1]}/batches")
+
+    def _new(self, held: DataFrame, folders: list[str]) -> tuple[DataFrame, list[str]]:
+        """The batches of the folders as a table, and the folders that the base does not hold: all of them, but where a
+        compaction was cut off before it had deleted them."""
+        named = self.spark.createDataFrame([(unquote(f.removeprefix("batch=")),) for f in folders], "batch string")
+        known = {r["batch"] for r in named.join(held, "batch", "left_semi").collect()}  # some of the folders listed
+        return named, [f for f in folders if unquote(f.removeprefix("batch=")) not in known]
 
     @staticmethod
     def _folder(batch: str) -> str:
         return f"batch={quote(batch, safe='')}"
 
     def committed(self, batch: str) -> bool:
-        return self._files().exists(self._at(self._folder(batch))) or batch in self._base()[1]
+        return self._files().exists(self._at(self._folder(batch))) or not self._base()[1].where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Adds a batch of signed events; False if the batch was committed before."""
@@ -144,9 +150,9 @@ class Rollup:
         if not folders:
             return False
         staged = f"staged-{uuid.uuid4().hex}"
-        self._sums(base, held, folders).coalesce(1).write.parquet(f"{self.path}/{staged}/totals")
-        known = held | {unquote(f.removeprefix("batch=")) for f in folders}
-        self.spark.createDataFrame([(b,) for b in sorted(known)], "batch string").coalesce(1).write.parquet(f"{self.path}/{staged}/batches")
+        named, new = self._new(held, folders)
+        self._sums(base, new).coalesce(1).write.parquet(f"{self.path}/{staged}/totals")
+        held.unionByName(named).distinct().write.parquet(f"{self.path}/{staged}/batches")
         number = int(base.removeprefix("base=")) + 1 if base else 1
         if not self._put(staged, f"base={number:012d}"):
             return False
@@ -154,12 +160,14 @@ class Rollup:
             self._files().delete(self._at(name), True)
         return True
 
-    def _sums(self, base: str | None, held: set[str], folders: list[str]) -> DataFrame:
-        paths = [f"{self.path}/{f}" for f in folders if unquote(f.removeprefix("batch=")) not in held]
+    def _sums(self, base: str | None, folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in folders]
         paths += [f"{self.path}/{base}/totals"] if base else []
         rows = self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
         return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens``: the sum over the committed batches."""
-        return self._sums(*self._base(), self._names("batch"))
+        base, held = self._base()
+        folders = self._names("batch")
+        return self._sums(base, self._new(held, folders)[1] if base else folders)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths given out inside ``scratch``, innermost last.
+_owned: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/larkspur/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/larkspur/{label}-{uuid.uuid4().hex}"
+    for paths in _owned[-1:]:
+        paths.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that are stored inside and deletes them on leaving: the result must have been written by then."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            delete(spark, path)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -40,7 +64,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     executor costs nothing that has been written."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def released(made: DataFrame) -> None:
+    """Deletes a ``stored`` table that nothing reads any more."""
+    delete(made.sparkSession, made.stored_at)
 
 
 def fresh(df: DataFrame, name: str) -> str:

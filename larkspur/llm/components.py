@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import stored
+from larkspur.llm.common import released, stored
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """edges: a > b. Large star: all neighbours of each node; small star: the smaller ones."""
+def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """edges: a > b. Large star: all neighbours of each node; small star: the smaller ones. Also the table on the way."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
     least = stored(least, "least")  # so that both sides of the join are plain shuffles, whose skew Spark splits
@@ -26,7 +26,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         moved = moved.unionByName(least.select("a", F.col("low").alias("b")))
     else:
         moved = tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.where(F.col("a") != F.col("b")).distinct()
+    return moved.where(F.col("a") != F.col("b")).distinct(), least
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -36,7 +36,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(now.where(F.col("a") != F.col("b")).distinct(), "edges")
     seen = None
     while True:
-        now = stored(_star(_star(now, small=False), small=True), "stars")
+        large, one = _star(now, small=False)
+        small, other = _star(large, small=True)
+        before, now = now, stored(small, "stars")
+        for table in (before, one, other):  # a round's tables go when the next is written
+            released(table)
         told = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
         if told == seen:
             break

@@ -183,11 +183,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents, each as often as the mix takes it; a part of half a document or more counts as one copy."""
+    """The documents, each as often as the mix takes it; a part of half a document or more counts as one copy. Rows that
+    repeat an identifier are told apart by their sizes; those of one size share what the mix takes of them evenly."""
     found = mix(docs, key, source, text).where("taken > 0")
-    at, many, copy = fresh(docs, "mix_key"), fresh(docs, "mix_times"), fresh(docs, "mix_copy")
-    number = F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias(many)
-    times = stored(found.groupBy(F.col(key).alias(at)).agg(number).where(F.col(many) > 0), "times")
+    at, many, copy, size = (fresh(docs, f"mix_{c}") for c in ("key", "times", "copy", "size"))
+    number = F.round(F.sum("taken") / F.sum("size")).cast("int").alias(many)
+    times = stored(found.groupBy(F.col(key).alias(at), F.col("size").alias(size)).agg(number).where(F.col(many) > 0), "times")
     times = F.broadcast(times) if times.count() <= BROADCAST_KEYS else times
-    copies = docs.join(times, F.col(key).eqNullSafe(F.col(at)))
+    copies = docs.join(times, F.col(key).eqNullSafe(F.col(at)) & (F.regexp_count(F.col(text), F.lit(WORD)) == F.col(size)))
     return copies.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)

@@ -144,15 +144,32 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (band, node, n) in order: the rows of bands with several nodes, with the smallest of them."""
-    for rows in _groups(batches):
-        rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])]
-        new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])
-        start = np.flatnonzero(new)
+    """Of (band, node, n) in order: the rows of bands with several nodes, with the smallest of them. Of what went before,
+    only the last row is kept, and its band's first node: a band never meets in memory."""
+    last: np.ndarray | None = None  # band, node, n, lead, lead_n of the last row
+    waits = False  # it is its band's only one so far, and has not been handed on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        if last is not None:
+            rows = np.concatenate([last[:3, None], rows], axis=1)
+        # a node may have a band twice
+        differ = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+        rows = rows[:, differ]
+        start = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
         size = np.diff(start, append=rows.shape[1])
-        lead, lead_n = np.repeat(rows[1, start], size), np.repeat(rows[2, start], size)
-        kept = np.repeat(size > 1, size)
+        lead, lead_n = rows[1, start], rows[2, start]
+        several = size > 1
+        if last is not None:
+            lead[0], lead_n[0] = last[3:]
+            several[0] |= not waits
+        kept = np.repeat(several, size)
+        if last is not None:
+            kept[0] &= waits  # else it has been handed on
+        lead, lead_n = np.repeat(lead, size), np.repeat(lead_n, size)
         yield pa.record_batch([pa.array(x[kept]) for x in (*rows, lead, lead_n)], ["band", "node", "n", "lead", "lead_n"])
+        last, waits = np.array([*rows[:, -1], lead[-1], lead_n[-1]]), not several[-1]
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +238,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """``key, component_id`` for every document."""
     told = stored(_described(docs, key, text, shingle), "shingles")
     # any row of a node has the node's facts; its text is read again by a document's identifier
-    first = stored(told.groupBy("node").agg(F.min("key").alias("first"), *(F.min(c).alias(c) for c in ("fp", "n", *_MAPS)), F.first("wide").alias("wide")), "nodes")
-    banded = told.select(F.explode("bands").alias("band"), "node", "n").repartition("band").sortWithinPartitions("band", "node")
+    first = stored(told.groupBy("node").agg(F.min("key").alias("first"), *(F.min(c).alias(c) for c in ("fp", "n", *_MAPS)), *(F.first(c).alias(c) for c in ("wide", "bands"))), "nodes")
+    banded = first.select(F.explode("bands").alias("band"), "node", "n").repartition("band").sortWithinPartitions("band", "node")
     shared = stored(banded.mapInArrow(_shared, "band bigint, node bigint, n bigint, lead bigint, lead_n bigint"), "shared")
 
     prints = stored(first.groupBy("fp").agg(F.min("node").alias("rep")), "prints")

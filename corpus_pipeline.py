@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import mixing, packing, pii, quality, shingle_join
-from larkspur.llm.common import new_path, stored, table
+from larkspur.llm.common import delete, new_path, scratch, stored, table
 
 #: Identifiers of dropped documents up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -64,9 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. What a stage has stored on its way goes when its result is written, and a stage's
+    result when the next is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

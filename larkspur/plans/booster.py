@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.functions.metrics import Metric, metric_from_name
-from larkspur.operators import multioutput
+from larkspur.operators import multioutput, summaries  # noqa: F401  the latter adds its binner to those with names
 from larkspur.operators.binning import binner_from_name
 from larkspur.operators.histograms import STRUCTURE, best_splits, best_splits_dense, dense, gains, group_histogram, histogram, running, with_siblings
 from larkspur.operators.routing import leaf_values, node_of

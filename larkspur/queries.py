@@ -636,6 +636,13 @@ def es_best_candidate(spark, sf_dir):
     return adaptive.best_iterations(_sums(spark, sf_dir))[0]
 
 
+@query("bin_summary", f"WITH {E}, o AS (SELECT x, row_number() OVER (ORDER BY x) AS r, count(*) OVER () AS n FROM e WHERE x IS NOT NULL) SELECT DISTINCT x AS border FROM o JOIN range(1, 7) t(k) ON r = (k * n + 6) // 7")
+def bin_summary(spark, sf_dir):
+    """Where a summary is finer than the rows are many, its ranks are exact."""
+    binner = binning.binner_from_name("Summary", max_bin=8, accuracy=10_000_000).fit(e_rows(spark, sf_dir), ["x"], "id")
+    return spark.createDataFrame([(float(b),) for b in binner.borders[0]], "border double")
+
+
 @query("running_sums_segments", f"WITH {E} SELECT id, round(sum(x) OVER (PARTITION BY g ORDER BY x, id ROWS UNBOUNDED PRECEDING), 4) AS upto, row_number() OVER (PARTITION BY g ORDER BY x, id) AS place FROM e")
 def running_sums_segments(spark, sf_dir):
     """Sums inside segments that are spread over range partitions."""

@@ -150,6 +150,15 @@ def test_op9(spark):
     assert {k: tuple(r[0])[1:] for k, r in run(spark, "op9_quality").items()} == want
 
 
+@pytest.mark.parametrize("name, table", [("op11_topk", "embeddings"), ("op12_negatives", "embeddings"), ("op13_infill", "documents")])
+def test_equals_sql(spark, name, table):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    found = queries.QUERIES[name](spark, DATA)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert want and sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_op10(spark, documents):
     from larkspur.llm.tokens import Encoder
 

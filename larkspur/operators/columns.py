@@ -22,6 +22,15 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def constants(values, kind: str) -> str:
+    """SQL of an array of constants, all of them in one string that is split once when the plan is optimised, so that
+    neither the plan nor its text's parts grow with their number."""
+    if not len(values):
+        return f"CAST(array() AS ARRAY<{kind}>)"
+    cells = ",".join(repr(float(v)) if kind == "DOUBLE" else str(int(v)) for v in values)
+    return f"CAST(split('{cells}', ',') AS ARRAY<{kind}>)"
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[T.StructField]) -> DataFrame:
     """``mapInArrow`` that takes and gives columns by place, so that their names may have any characters."""
 

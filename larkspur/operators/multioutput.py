@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.columns import constants
 from larkspur.operators.sampling import _draws, exact_rows
 
 LEAST_HESSIAN = 0.01
@@ -74,6 +75,26 @@ def _gram_by_batch(rows: DataFrame, outputs: int) -> np.ndarray:
     return out
 
 
+def gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """What ``gram`` would give, times ``basis`` (outputs, k), without the products of pairs of outputs: a task sums
+    one block of the basis' shape, and the blocks are added up by output."""
+    outputs, k = basis.shape
+    sums = [f"b{j}" for j in range(k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((outputs, k))
+        for batch in batches:
+            g = batch.column(0).flatten().to_numpy().reshape(-1, outputs)
+            total += g.T @ (g @ basis)
+        yield pa.record_batch([pa.array(np.arange(outputs, dtype=np.int32)), *map(pa.array, total.T.copy())], ["out", *sums])
+
+    schema = ", ".join(["out int", *(f"{c} double" for c in sums)])
+    made = np.zeros((outputs, k))
+    for r in rows.select("g").mapInArrow(run, schema).groupBy("out").agg(*(F.sum(c).alias(c) for c in sums)).collect():
+        made[r["out"]] = r[1:]
+    return made
+
+
 class Sketch:
     """``apply`` gives the rows with fewer gradient columns, the number of these and of hessian columns."""
 
@@ -91,7 +112,7 @@ class Sketch:
     @staticmethod
     def _projected(rows: DataFrame, matrix: np.ndarray, hessians: int) -> tuple[DataFrame, int, int]:
         def dot(column: str, weights: np.ndarray):
-            weighted = F.zip_with(column, F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b)
+            weighted = F.zip_with(column, F.expr(constants(weights, "DOUBLE")), lambda a, b: a * b)
             return F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v)
 
         k = matrix.shape[1]
@@ -112,30 +133,40 @@ class SVDSketch(Sketch):
     """Gradients on the leading right singular vectors, from the sums of their products, over ``sample`` rows at most.
 
     ``algorithm``: "jacobi" and "full" decompose the sums exactly; "randomized" turns a random basis towards the
-    leading vectors in ``n_iter`` rounds.
+    leading vectors in ``n_iter`` rounds. With more than ``wide`` outputs a round of it is a pass over the rows, whose memory
+    is linear in outputs (``gram_times``); with fewer, one pass sums the products of all pairs.
     """
 
-    def __init__(self, sample: int | None = None, n_components: int = 5, n_iter: int = 5, algorithm: str = "jacobi"):
+    def __init__(self, sample: int | None = None, n_components: int = 5, n_iter: int = 5, algorithm: str = "jacobi", wide: int = 256):
         if algorithm not in ("jacobi", "full", "randomized"):
             raise ValueError(f"unknown algorithm: {algorithm}")
         if sample is not None and (sample < 1 or sample != int(sample)):
             raise ValueError("sample is a number of rows")
-        self.sample, self.k, self.rounds, self.algorithm = sample, n_components, n_iter, algorithm
+        self.sample, self.k, self.rounds, self.algorithm, self.wide = sample, n_components, n_iter, algorithm, wide
 
-    def vectors(self, products: np.ndarray, seed: object, turn: object) -> np.ndarray:
-        if self.algorithm != "randomized":
-            return np.linalg.eigh(products)[1][:, ::-1][:, : self.k]
-        n = len(products)
-        basis = projection(n, min(n, self.k + 5), True, seed, f"svd{turn}")
+    def leading(self, times: Callable[[np.ndarray], np.ndarray], outputs: int, seed: object, turn: object) -> np.ndarray:
+        """The leading vectors of a symmetric matrix that is known by its products with a basis alone."""
+        basis = projection(outputs, min(outputs, self.k + 5), True, seed, f"svd{turn}")
         for _ in range(self.rounds + 1):
-            basis = np.linalg.qr(products @ basis)[0]
-        return basis @ np.linalg.eigh(basis.T @ products @ basis)[1][:, ::-1][:, : self.k]
+            basis = np.linalg.qr(times(basis))[0]
+        return basis @ np.linalg.eigh(basis.T @ times(basis))[1][:, ::-1][:, : self.k]
+
+    def vectors(self, rows: DataFrame, outputs: int, seed: object, turn: object) -> np.ndarray:
+        if self.algorithm == "randomized" and outputs > self.wide:
+            held = rows.select("g").persist()
+            found = self.leading(lambda basis: gram_times(held, basis), outputs, seed, turn)
+            held.unpersist()
+            return found
+        products = gram(rows, outputs)
+        if self.algorithm == "randomized":
+            return self.leading(lambda basis: products @ basis, outputs, seed, turn)
+        return np.linalg.eigh(products)[1][:, ::-1][:, : self.k]
 
     def apply(self, rows, outputs, hessians, context):
         part = rows
         if self.sample is not None and self.sample < context["n"]:
             part = exact_rows(rows, context["row_id"], int(self.sample), context["seed"], f"svd{context['turn']}")
-        vectors = self.vectors(gram(part, outputs), context["seed"], context["turn"])
+        vectors = self.vectors(part, outputs, context["seed"], context["turn"])
         vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
         return self._projected(rows, vectors, hessians)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.functions.metrics import Metric, metric_from_name
 from larkspur.operators import multioutput, summaries  # noqa: F401  the latter adds its binner to those with names
 from larkspur.operators.binning import binner_from_name
-from larkspur.operators.histograms import STRUCTURE, best_splits, best_splits_dense, dense, gains, group_histogram, histogram, running, with_siblings
+from larkspur.operators.histograms import SQL_NODES, STRUCTURE, best_splits, best_splits_dense, dense, gains, group_histogram, histogram, running, with_siblings
 from larkspur.operators.routing import leaf_values, node_of
 from larkspur.operators.sampling import ColumnSampler, RowSampler
 from larkspur.plans.callbacks import Callback, CallbackPipeline, EarlyStopping, EvalHistory
@@ -145,12 +146,21 @@ class _Level:
             held.unpersist()
 
 
+def living(rows: DataFrame, trees: list[GroupTree], live: list[int]) -> DataFrame:
+    """The rows that are in a node of ``live`` in one of the structures at least."""
+    inside = [node_of(t).isin([key % STRUCTURE for key in live if key // STRUCTURE == s]) for s, t in enumerate(trees)]
+    return rows.where(reduce(lambda a, b: a | b, inside))
+
+
 def grow(rows: DataFrame, features: list[int], columns: list[tuple[list[int], list[int]]], borders: list[np.ndarray], max_depth: int, lam: float, min_leaf: int, min_gain: float, path: str | None = None) -> tuple[list[GroupTree], list[dict[int, tuple]]]:
     """The structures of a turn's trees from ``rows`` (codes, arrays g and h), all of them together depth by depth until
     nothing splits: a level is one grouped sum over (structure, node, feature, code), however many structures there are.
 
     ``columns``: the places in g and h that each structure sees. Also the sums of gradients and hessians in each node of each
     structure: a right child's are its parent's less the left child's.
+
+    Once at most half of the rows that a level reads are in nodes that may still split, these are kept apart, and later
+    levels read them alone: the rows of finished leaves are not read again.
     """
     trees, sums = [GroupTree() for _ in columns], [{} for _ in columns]
     live, families = [STRUCTURE * s for s in range(len(columns))], []
@@ -159,7 +169,8 @@ def grow(rows: DataFrame, features: list[int], columns: list[tuple[list[int], li
     if len(columns) == 1:
         ((g, h),) = columns
         base = rows.select("bins", *(F.get("g", F.lit(at)).alias(f"g{i}") for i, at in enumerate(g)), *(F.get("h", F.lit(at)).alias(f"h{i}") for i, at in enumerate(h)))
-    for _ in range(max_depth):
+    apart, reading = [], None
+    for depth in range(max_depth):
         counted = level.counted(live, families)
         if len(columns) == 1:
             placed = base.withColumn("node", node_of(trees[0]))
@@ -168,7 +179,8 @@ def grow(rows: DataFrame, features: list[int], columns: list[tuple[list[int], li
             hist = histogram(placed, features, k, m, path=path)
         else:
             hist = group_histogram(rows, features, trees, counted, columns, path=path)
-        found, live, families = level.search(hist, live, counted), [], []
+        found, live, families, alive = level.search(hist, live, counted), [], [], 0
+        reading = max(b[6] for b in found) if reading is None else reading
         for key, position, split, nan_left, gain, left_n, all_n, left_g, left_h, all_g, all_h in found:
             s, node = divmod(key, STRUCTURE)
             sums[s].setdefault(node, (all_g, all_h))
@@ -179,9 +191,16 @@ def grow(rows: DataFrame, features: list[int], columns: list[tuple[list[int], li
                 sums[s][left], sums[s][right] = (left_g, left_h), (sums[s][node][0] - left_g, sums[s][node][1] - left_h)
                 pair = (key - node + left, key - node + right)
                 live += pair
+                alive += all_n
                 families.append((*pair, key) if 2 * left_n <= all_n else (*pair[::-1], key))
         if not live:
             break
+        if 2 * alive <= reading and depth + 2 < max_depth and (len(trees) == 1 or sum(len(t.feat) for t in trees) <= SQL_NODES):
+            apart.append(living(base if len(trees) == 1 else rows, trees, live).persist())
+            base = rows = apart[-1]
+            reading = alive
+    for held in apart:
+        held.unpersist()
     level.done()
     return trees, sums
 

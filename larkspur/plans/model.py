@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.losses import Loss, loss_from_name
 from larkspur.operators.binning import missing_to_null
-from larkspur.operators.columns import free, map_batches, named
+from larkspur.operators.columns import constants, free, map_batches, named
 
 
 @dataclass
@@ -75,19 +75,6 @@ class GroupTree:
         number[self.leaves] = np.arange(len(self.leaves))
         return number[self.nodes_of_codes(codes)]
 
-    def leaf_column(self, features: list[str]) -> Column:
-        """The leaf number as one nested condition over raw features, for whole-stage code."""
-        number = {node: k for k, node in enumerate(self.leaves)}
-
-        def at(node: int) -> Column:
-            if self.left[node] < 0:
-                return F.lit(number[node])
-            x = missing_to_null(named(features[self.feat[node]]))
-            right = F.when(x.isNull(), F.lit(not self.nan_left[node])).otherwise(x > F.lit(float(self.threshold[node])))
-            return F.when(right, at(self.right[node])).otherwise(at(self.left[node]))
-
-        return at(0)
-
 
 @dataclass
 class Tree:
@@ -169,6 +156,35 @@ class Packed:
             else:
                 into[:, outs] += self.values[k].take(leaf, axis=0)
 
+    def sql(self, features: list[str], base: list[float], keep: list[int]) -> str:
+        """The sums of the outputs in ``keep``, as an array, in SQL: every structure is walked over constant arrays, then each
+        output adds its values tree by tree. The text has more constants for more trees, but no more operators."""
+        places: dict[int, list[tuple[int, int]]] = {out: [] for out in keep}
+        at = 0
+        for s, (outs, values) in enumerate(zip(self.outputs, self.values, strict=True)):
+            for j, out in enumerate(outs):
+                if out in places:
+                    places[out].append((s, at + j * len(values)))
+            at += values.size
+        pairs = [p for out in keep for p in places[out]]
+        many = [len(places[out]) for out in keep]
+        flat = np.concatenate([v.T.ravel() for v in self.values]) if self.values else np.zeros(0)
+
+        def cells(edge: str) -> list[str]:
+            found = ("CAST(`" + f.replace("`", "``") + "` AS DOUBLE)" for f in features)
+            return [f"coalesce(nanvl({x}, CAST(NULL AS DOUBLE)), double('{edge}'))" for x in found]
+
+        row = ", ".join([*cells("-Infinity"), *cells("Infinity")]) or "double('-Infinity')"
+        low, copy, leaf = (constants(c, "INT") for c in (self.low, self.copy, self.leaf))
+        child = f"{low}[node] + IF(x[{copy}[node]] > {constants(self.threshold, 'DOUBLE')}[node], 1, 0)"
+        walk = f"aggregate(array_repeat(0, {max(self.depths, default=0)}), root, (node, step) -> {child}, node -> {leaf}[node])"
+        own = f"slice({constants(range(len(pairs)), 'INT')}, {constants(np.cumsum([0, *many])[:-1] + 1, 'INT')}[k], {constants(many, 'INT')}[k])"
+        value = f"{constants(flat, 'DOUBLE')}[{constants([p[1] for p in pairs], 'INT')}[pair] + ends[{constants([p[0] for p in pairs], 'INT')}[pair]]]"
+        sums = f"transform({constants([base[out] for out in keep], 'DOUBLE')}, (start, k) -> aggregate({own}, start, (total, pair) -> total + {value}))"
+        # arrays of one element bind the row and its leaves, so that they are found once
+        ends = f"array(transform({constants(self.roots, 'INT')}, root -> {walk}))"
+        return f"transform(array(array({row})), x -> transform({ends}, ends -> {sums})[0])[0]"
+
 
 def blocks_of_rows(score: Callable[[np.ndarray], np.ndarray]) -> Callable[[list[np.ndarray]], np.ndarray]:
     """``score`` of ``Packed.doubled`` features, for blocks of rows one after the other."""
@@ -241,14 +257,10 @@ class Model:
     transform = predict
 
     def predict_sql(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        """The same by generated conditions alone, for small models: no Python on the executors."""
-        sums = [F.lit(float(b)) for b in self.base]
-        for tree in self.trees:
-            for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
-                leaf = group.leaf_column(self.features)
-                for j, out in enumerate(outs):
-                    sums[out] = sums[out] + F.element_at(F.array(*(F.lit(float(v)) for v in values[:, j])), leaf + 1)
-        return df.withColumn(name, self.loss.postprocess(F.array(*sums)))
+        """The same by SQL alone: no Python on the executors, and a plan whose size does not follow the trees."""
+        packed = Packed(self.trees, len(self.features))
+        summed = df.withColumn(name, F.expr(packed.sql(self.features, self.base, list(range(len(self.base))))))
+        return summed.withColumn(name, self.loss.postprocess(named(name)))
 
     def _iterations(self, iterations: list[int] | None) -> list[int]:
         chosen = list(range(len(self.trees))) if iterations is None else list(iterations)

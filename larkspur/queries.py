@@ -895,6 +895,12 @@ def sketch_svd_randomized(spark, sf_dir):
     return _svd(spark, sf_dir, algorithm="randomized", n_iter=20)
 
 
+@query("sketch_svd_range", _SVD)
+def sketch_svd_range(spark, sf_dir):
+    """Passes over the rows instead of the products of all pairs of outputs, whatever their number."""
+    return _svd(spark, sf_dir, algorithm="randomized", n_iter=20, wide=0)
+
+
 @query("sketch_svd_sample", _SVD.replace("AS c FROM k)", "AS c FROM (SELECT * FROM k ORDER BY md5(concat('42:svd0:', CAST(id AS VARCHAR))), id LIMIT 300))"))
 def sketch_svd_sample(spark, sf_dir):
     return _svd(spark, sf_dir, sample=300)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from larkspur.functions.losses import sigmoid, softmax
 from larkspur.operators.binning import missing_to_null
 from larkspur.operators.columns import free, map_batches, named
-from larkspur.plans.model import Model
+from larkspur.plans.model import Model, Packed
 
 #: What a scorer may do with the sums (fixed values).
 POST_TRANSFORMS = ("NONE", "SOFTMAX", "LOGISTIC", "SOFTMAX_ZERO", "PROBIT")
@@ -191,37 +191,20 @@ def score_onnx(df: DataFrame, onnx: bytes, features: list[str], name: str = "pre
 
 
 class Compiled:
-    """A model as SQL text, one nested condition for each tree, which Spark compiles with the rest of a stage. The text
-    can be kept in a file and read back without the model. ``outputs``: the SQL of each output's sum."""
+    """A model as SQL text, which walks all trees over constant arrays (``Packed.sql``) as part of the plan, whose size does
+    not follow the trees. The text can be kept in a file and read back without the model. ``sums``: SQL of the array of
+    outputs' sums."""
 
-    def __init__(self, outputs: list[str]):
-        self.outputs = list(outputs)
+    def __init__(self, sums: str):
+        self.sums = sums
 
     @classmethod
     def convert(cls, model: Model, fltr: list[int] | None = None) -> Compiled:
-        def literal(v: float) -> str:
-            return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
-
-        def text(group, values, node: int, number: dict[int, int]) -> str:
-            if group.left[node] < 0:
-                return literal(float(values[number[node]]))
-            x = "`" + model.features[group.feat[node]].replace("`", "``") + "`"
-            left, right = text(group, values, group.left[node], number), text(group, values, group.right[node], number)
-            missing = left if group.nan_left[node] else right
-            return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN {missing} WHEN {x} > {literal(float(group.threshold[node]))} THEN {right} ELSE {left} END"
-
-        sums = {k: [literal(float(model.base[k]))] for k in chosen_outputs(model, fltr)}
-        for tree in model.trees:
-            for group, outs, values in zip(tree.groups, tree.outputs, tree.values, strict=True):
-                number = {node: k for k, node in enumerate(group.leaves)}
-                for j, out in enumerate(outs):
-                    if out in sums:
-                        sums[out].append(text(group, values[:, j], 0, number))
-        return cls([" + ".join(parts) for parts in sums.values()])
+        return cls(Packed(model.trees, len(model.features)).sql(model.features, model.base, chosen_outputs(model, fltr)))
 
     def dump(self, path: str) -> None:
         with open(path, "w") as file:
-            json.dump(self.outputs, file)
+            json.dump(self.sums, file)
 
     @classmethod
     def load(cls, path: str) -> Compiled:
@@ -230,4 +213,5 @@ class Compiled:
 
     def predict(self, df: DataFrame, name: str = "prediction", transform: str = "NONE") -> DataFrame:
         """``df`` with the array of sums, transformed."""
-        return df.withColumn(name, post_transform(F.array(*map(F.expr, self.outputs)), transform))
+        summed = df.withColumn(name, F.expr(self.sums))
+        return summed if transform == "NONE" else summed.withColumn(name, post_transform(named(name), transform))

@@ -1,14 +1,17 @@
 """What must not depend on the number of groups, outputs, parts, classes or trees: results against plain numpy, and jobs counted."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import losses, metrics
-from larkspur.operators import binning, ordered
+from larkspur.operators import binning, multioutput, ordered
 from larkspur.plans import adaptive, booster
 from larkspur.plans.booster import GradientBoosting
 from larkspur.plans.model import GroupTree, Model, Packed, Tree
+from larkspur.sources import export
 
 FEATURES = ["a", "b", "c"]
 QUIET = {"es": 0, "verbose": 0}
@@ -195,3 +198,98 @@ def test_nested_candidates_and_vector_sums(spark, df, data):
             for i, v in enumerate(r.path):
                 expected[r.fold, cand, clust, i] = expected.get((r.fold, cand, clust, i), 0.0) + v
     assert sums.keys() == expected.keys() and np.allclose([sums[k] for k in expected], list(expected.values()))
+
+
+def ensemble(count, depth, seed=3, outputs=((2, 0), (1,)), columns=3):
+    rng = np.random.default_rng(seed)
+    trees = []
+    for _ in range(count):
+        groups = [random_tree(rng, depth, columns) for _ in outputs]
+        trees.append(Tree(groups, [list(o) for o in outputs], [rng.normal(size=(len(g.leaves), len(o))) for g, o in zip(groups, outputs, strict=True)]))
+    return Model(FEATURES[:columns], losses.loss_from_name("mse"), [0.5, -1.0, 2.0], trees)
+
+
+def test_sql_of_an_ensemble_equals_batches_and_needs_no_python(df):
+    model = ensemble(100, 6)
+    scored = model.predict_sql(df.select("id", *FEATURES))
+    assert "Arrow" not in scored._jdf.queryExecution().executedPlan().toString()
+    want = {r.id: r.margin for r in model.margins(df.select("id", *FEATURES)).collect()}
+    assert {r.id: r.prediction for r in scored.collect()} == want
+    kept = export.Compiled.convert(model, [0, 2]).predict(df)
+    assert {r.id: r.prediction for r in kept.collect()} == {k: [v[0], v[2]] for k, v in want.items()}
+
+
+def test_the_operators_of_an_ensembles_sql_do_not_follow_its_trees():
+    sizes = {len(re.findall(r"\w+\(|\[", re.sub(r"'[^']*'", "''", export.Compiled.convert(ensemble(n, 6)).sums))) for n in (2, 20, 200)}
+    assert len(sizes) == 1
+
+
+@pytest.mark.parametrize("model", [ensemble(0, 0), ensemble(2, 0), Model(FEATURES, losses.loss_from_name("mse"), [1.5], [])])
+def test_sql_of_ensembles_without_trees_or_splits(df, model):
+    assert {r.id: r.prediction for r in model.predict_sql(df).collect()} == {r.id: r.margin for r in model.margins(df).collect()}
+
+
+def test_sql_of_awkward_values_and_names(spark):
+    awkward = ["x", "a`b.c", "Node"]
+    inf = float("inf")
+    rows = [(0, None, 1, 0.5), (1, inf, None, -inf), (2, -inf, -3, float("nan")), (3, float("nan"), 2, inf), (4, 0.0, 0, 0.0)]
+    frame = spark.createDataFrame(rows, "id int, x double, `a``b.c` int, Node float")
+    model = ensemble(12, 5).on(awkward)
+    assert {r.id: r.prediction for r in model.predict_sql(frame).collect()} == {r.id: r.margin for r in model.margins(frame).collect()}
+    assert model.predict_sql(frame.limit(0)).collect() == []
+
+
+def gradients(spark, rows=300, outputs=40, rank=6):
+    rng = np.random.default_rng(8)
+    g = rng.normal(size=(rows, rank)) * 2.0 ** -np.arange(rank) @ rng.normal(size=(rank, outputs)) + rng.normal(size=(rows, outputs)) * 1e-4
+    return g, spark.createDataFrame([(k, r.tolist(), [1.0]) for k, r in enumerate(g)], "id bigint, g array<double>, h array<double>").repartition(5).persist()
+
+
+def test_products_with_a_basis_need_no_products_of_pairs(spark):
+    g, rows = gradients(spark)
+    basis = np.random.default_rng(1).normal(size=(40, 7))
+    np.testing.assert_allclose(multioutput.gram_times(rows, basis), g.T @ g @ basis, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(multioutput.gram_times(rows.limit(0), basis), 0)
+
+
+def test_sketch_by_passes_equals_the_exact_decomposition(spark):
+    _, rows = gradients(spark)
+    context = {"n": 300, "seed": 42, "turn": 0, "row_id": "id"}
+
+    def sketched(**options):
+        found, k, m = multioutput.SVDSketch(n_components=3, **options).apply(rows, 40, 1, context)
+        assert (k, m) == (3, 1)
+        return np.array([r.g for r in found.orderBy("id").collect()])
+
+    exact = sketched()
+    np.testing.assert_allclose(sketched(algorithm="randomized", wide=0), exact, atol=1e-6)
+    np.testing.assert_allclose(sketched(algorithm="randomized", wide=100), exact, atol=1e-6)
+    assert sketched(algorithm="randomized", wide=0, sample=120).shape == exact.shape
+
+
+@pytest.mark.parametrize("splitter", ["Single", "OneVsAll"])
+def test_levels_do_not_read_the_rows_of_finished_leaves(spark, monkeypatch, splitter):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(k % 64), float(rng.normal()), float(rng.normal()) if k % 64 >= 56 else 4.0, 0.0 if k % 64 < 56 else 20.0 + 4 * (k % 8)) for k in range(1280)]
+    frame = spark.createDataFrame(rows, "id bigint, a double, b double, y0 double, y1 double").repartition(3).persist()
+    kept, living = [], booster.living
+
+    def counted(*args):
+        kept.append(living(*args))
+        kept[-1].alive = kept[-1].count()
+        return kept[-1]
+
+    def fitted():
+        made = GradientBoosting("mse", ntrees=1, lr=0.3, max_depth=6, min_data_in_leaf=3, min_gain_to_split=2.0, target_splitter=splitter, **QUIET)
+        return made.fit(frame, ["a", "b"], ["y0", "y1"], "id").model.to_json()
+
+    monkeypatch.setattr(booster, "living", counted)
+    found = fitted()
+    assert kept and all(2 * k.alive <= 1280 for k in kept) and [k.alive for k in kept] == sorted((k.alive for k in kept), reverse=True)
+    monkeypatch.setattr(booster, "living", lambda rows, trees, live: rows)
+    whole = fitted()
+    a, b = Model.from_json(found), Model.from_json(whole)
+    for x, y in zip(a.trees[0].groups, b.trees[0].groups, strict=True):
+        assert (x.feat, x.split, x.left) == (y.feat, y.split, y.left)
+    for x, y in zip(a.trees[0].values, b.trees[0].values, strict=True):
+        np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-9)

@@ -227,10 +227,15 @@ def route_by_table(spark, sf_dir):
     return routing.route_by_table(r_binned(spark, sf_dir), splits).select("id", "node")
 
 
-@query("child_ids", "SELECT * FROM (VALUES (1, 3, 4), (4, 5, 6), (7, 7, 8)) t(node, \"left\", \"right\")")
+_MONTHS = f"{RB}, mh AS (SELECT CAST(x1 AS INT) AS node, b0 AS bin, sum(y) AS g, CAST(count(*) AS DOUBLE) AS h, count(*) AS n FROM rb GROUP BY 1, 2), mp AS (SELECT node, bin, sum(g) OVER o AS g, sum(h) OVER o AS h, sum(g) OVER f AS gt, sum(h) OVER f AS ht, sum(n) OVER f AS nt FROM mh WINDOW o AS (PARTITION BY node ORDER BY bin ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY node)), mg AS (SELECT node, max({_GAIN}) AS gain FROM mp GROUP BY node)"
+
+
+@query("child_ids", f'WITH {_MONTHS}, k AS (SELECT node, row_number() OVER (ORDER BY node) AS place FROM mg WHERE gain > 8) SELECT node, CAST(12 + 2 * place - 1 AS INT) AS "left", CAST(12 + 2 * place AS INT) AS "right" FROM k')
 def child_ids(spark, sf_dir):
-    best = spark.createDataFrame([(4, 2.0), (1, 0.5), (6, 0.0), (7, 1.0)], "node int, gain double")
-    return routing.child_ids(best, 2).select("node", "left", "right")
+    """The months are a level's nodes; those whose best split gains more than 8 get children."""
+    rows = r_binned(spark, sf_dir).withColumn("node", F.col("x1").cast("int"))
+    best = histograms.split_search(rows, [0], 1, 1, 1.0, 10)
+    return routing.child_ids(best, 12, 8.0).select("node", "left", "right")
 
 
 @query("members", f"WITH {R} SELECT id, CAST(CASE x1 WHEN 2 THEN 0 WHEN 5 THEN 1 WHEN 9 THEN 2 ELSE -1 END AS INT) AS pos FROM r")
@@ -515,10 +520,24 @@ def sample_mvs_probs(spark, sf_dir):
     return sampling.MVSSampler(0.5).probabilities(rows, 1, 1).select("id", F.round("prob", 6).alias("prob"))
 
 
-@query("sample_column_probs", "SELECT k, round(0.1 / 4 + 0.9 * (v + 1e-3) / 10.004, 9) AS p FROM (VALUES (0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)) t(k, v)")
+_SHARES = _boost(2, 2, 0.3) + "SELECT f.feat AS k, round({p}, 7) AS p FROM (SELECT f.feat, coalesce(sum(b.gain), 0) + 1e-3 AS v FROM range(2) f(feat) LEFT JOIN (SELECT feat, gain FROM s0d0b UNION ALL SELECT feat, gain FROM s0d1b UNION ALL SELECT feat, gain FROM s1d0b UNION ALL SELECT feat, gain FROM s1d1b) b ON f.feat = b.feat GROUP BY f.feat) f, (SELECT sum(gain) + 2e-3 AS total FROM (SELECT gain FROM s0d0b UNION ALL SELECT gain FROM s0d1b UNION ALL SELECT gain FROM s1d0b UNION ALL SELECT gain FROM s1d1b)) t"
+
+
+def _shares(spark, sf_dir, inverse: bool) -> DataFrame:
+    """Shares of columns by the importance that two trees over orders give them."""
+    booster, _ = _fit(spark, sf_dir, 2, 2, 0.3)
+    p = sampling.ColumnImportanceSampler(smooth=0.1, inverse=inverse).shares(np.array(booster.feature_importance("gain"), dtype=float))
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)], "k bigint, p double").withColumn("p", F.round("p", 7))
+
+
+@query("sample_column_probs", _SHARES.format(p="0.1 / 2 + 0.9 * v / total"))
 def sample_column_probs(spark, sf_dir):
-    p = sampling.ColumnImportanceSampler(smooth=0.1).shares(np.array([1.0, 2.0, 3.0, 4.0]))
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)], "k int, p double").withColumn("p", F.round("p", 9))
+    return _shares(spark, sf_dir, False)
+
+
+@query("sample_column_probs_inverse", _SHARES.format(p="0.1 / 2 + 0.9 * (1 - v / total)"))
+def sample_column_probs_inverse(spark, sf_dir):
+    return _shares(spark, sf_dir, True)
 
 
 # sketches of three outputs: value, hour, minute
@@ -568,18 +587,36 @@ def sketch_filter_weights(spark, sf_dir):
     return spark.createDataFrame([tuple(round(float(v), 2) for v in w)], "w0 double, w1 double, w2 double")
 
 
+# outputs that share a tree: the first components of embeddings, as whole numbers
+
+_PARTS = "SELECT k, grp, CAST(sum(v) OVER (PARTITION BY grp) AS BIGINT) AS total FROM (SELECT k, sum(CAST(floor(256 * CAST(embedding[k + 1] AS DOUBLE)) AS BIGINT)) AS v FROM embeddings, range({n}) t(k) WHERE embedding IS NOT NULL GROUP BY k) JOIN ({groups}) USING (k)"
 _GROUPS = "SELECT k, ntile(2) OVER (ORDER BY substr(md5(concat('42:groups0:', CAST(k AS VARCHAR))), 1, 13)) - 1 AS grp FROM range(7) t(k)"
 
 
-@query("split_groups", _GROUPS)
+def _parted(spark, sf_dir, groups: list[list[int]]) -> DataFrame:
+    """Each output with its group and the sum of the group's outputs over all rows: the gradient sum of the root of
+    the tree that they share."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    cells = [(k, g, F.floor(256 * F.get("embedding", F.lit(k)).cast("double"))) for g, part in enumerate(groups) for k in part]
+    totals = {g: F.sum(sum((v for _, h, v in cells if h == g), F.lit(0))) for g in range(len(groups))}
+    sums = rows.agg(*(total.alias(f"t{g}") for g, total in totals.items()))
+    made = F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(g).cast("bigint").alias("grp"), F.col(f"t{g}").cast("bigint").alias("total")) for k, g, _ in cells))
+    return sums.select(F.inline(made))
+
+
+@query("split_groups", _PARTS.format(n=7, groups=_GROUPS))
 def split_groups(spark, sf_dir):
-    found = multioutput.RandomGroups(2)(7, 42, 0)
-    return spark.createDataFrame([(k, g) for g, part in enumerate(found) for k in part], "k bigint, grp bigint")
+    return _parted(spark, sf_dir, multioutput.RandomGroups(2)(7, 42, 0))
 
 
-@query("split_one_vs_all", "SELECT k, k AS grp FROM range(3) t(k)")
+@query("split_one_vs_all", _PARTS.format(n=3, groups="SELECT k, k AS grp FROM range(3) t(k)"))
 def split_one_vs_all(spark, sf_dir):
-    return spark.createDataFrame([(k, g) for g, part in enumerate(multioutput.one_vs_all_groups(3)) for k in part], "k bigint, grp bigint")
+    return _parted(spark, sf_dir, multioutput.one_vs_all_groups(3))
+
+
+@query("split_single", _PARTS.format(n=3, groups="SELECT k, CAST(0 AS BIGINT) AS grp FROM range(3) t(k)"))
+def split_single(spark, sf_dir):
+    return _parted(spark, sf_dir, multioutput.single_groups(3))
 
 
 # cross-validation and adaptive stopping
@@ -704,7 +741,7 @@ _U = "(CAST('0x' || substr(md5(concat('42:{turn}:', CAST(i AS VARCHAR))), 1, 13)
 _N = "sqrt(-2 * ln(1 - " + _U.replace("{turn}", "{turn}:radius") + ")) * cos(2 * pi() * " + _U.replace("{turn}", "{turn}:angle") + ")"
 _WEIGHT = "(({k} * 37 + {t} * 101 + 42) % 97 + 1.0)"
 ORACLE_SQL["synthetic_regression"] = (
-    "WITH n AS (SELECT i, " + ", ".join(f"{_N.format(turn=f'x{k}')} AS x{k}" for k in range(5)) + ", " + ", ".join(f"{_N.format(turn=f'y{t}')} AS e{t}" for t in range(2)) + " FROM range(1000) t(i)) "
+    "WITH n AS (SELECT i, " + ", ".join(f"{_N.format(turn=f'x{k}')} AS x{k}" for k in range(5)) + ", " + ", ".join(f"{_N.format(turn=f'y{t}')} AS e{t}" for t in range(2)) + " FROM (SELECT o_orderkey AS i FROM orders)) "
     "SELECT i AS row_id, " + ", ".join(f"round(x{k}, 6) AS x{k}" for k in range(5)) + ", "
     + ", ".join("round(e%d + %s, 4) AS y%d" % (t, " + ".join(f"x{k} * {_WEIGHT.format(k=k, t=t)}" for k in range(5)), t) for t in range(2)) + " FROM n"
 )
@@ -712,7 +749,8 @@ ORACLE_SQL["synthetic_regression"] = (
 
 @query("synthetic_regression", ORACLE_SQL["synthetic_regression"])
 def synthetic_regression(spark, sf_dir):
-    made = frames.make_regression(spark, 1000, 5, 2)
+    """Features and targets for the identifiers of orders."""
+    made = frames.make_regression(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id")), 5, 2)
     return made.select("row_id", *(F.round(f"x{k}", 6).alias(f"x{k}") for k in range(5)), *(F.round(f"y{t}", 4).alias(f"y{t}") for t in range(2)))
 
 
@@ -866,11 +904,6 @@ def gain_two_outputs(spark, sf_dir):
     return found.select("feat", F.col("bin").cast("bigint").alias("bin"), F.round("gain", 4).alias("gain"))
 
 
-@query("split_single", "SELECT k, CAST(0 AS BIGINT) AS grp FROM range(3) t(k)")
-def split_single(spark, sf_dir):
-    return spark.createDataFrame([(k, g) for g, part in enumerate(multioutput.single_groups(3)) for k in part], "k bigint, grp bigint")
-
-
 @query("sketch_identity", f"WITH {K} SELECT id, round(g0, 6) AS s0, g1 AS s1, g2 AS s2 FROM k")
 def sketch_identity(spark, sf_dir):
     return _cells(multioutput.Sketch().apply(k_rows(spark, sf_dir), 3, 1, {})[0], 3)
@@ -965,62 +998,74 @@ def scorer_compiled(spark, sf_dir):
 
 # training's frame: parameters, callbacks, logging
 
-@query("infer_params", "SELECT * FROM (VALUES ('bce', 'bce', 'bce', 2), ('mse', 'mse', 'rmse', 1), ('msle', 'msle', 'rmsle', 1), ('multiclass', 'crossentropy', 'crossentropy', 1)) t(asked, loss, metric, groups)")
+_INFERRED = [("bce", "bce", "bce", 2), ("mse", "mse", "rmse", 1), ("msle", "msle", "rmsle", 1), ("multiclass", "crossentropy", "crossentropy", 1)]
+
+
+@query("infer_params", f"WITH {E}, {M}, v AS (SELECT 'rmse' AS metric, sqrt(avg((y - p) * (y - p))) AS value FROM e UNION ALL SELECT 'rmsle', sqrt(avg((ln(1 + y) - ln(1 + p)) * (ln(1 + y) - ln(1 + p)))) FROM e UNION ALL SELECT 'bce', avg(-ln(t * q + (1 - q) * (1 - t))) FROM e UNION ALL SELECT 'crossentropy', avg(-ln(p[y + 1])) FROM m) SELECT asked, loss, metric, CAST(groups AS INT) AS groups, round(value, 7) AS value FROM v JOIN (VALUES {', '.join(map(str, _INFERRED))}) t(asked, loss, metric, groups) USING (metric)")
 def infer_params(spark, sf_dir):
-    """What a booster makes of names: loss, metric and groups of two outputs."""
-    rows = []
+    """What a booster makes of names: loss, metric and groups of two outputs; the metric judges scores of events, or
+    of the labels of embeddings."""
+    events, labels = e_rows(spark, sf_dir), m_rows(spark, sf_dir)
+    found = None
     for asked, splitter in (("mse", "Single"), ("msle", "Single"), ("bce", "OneVsAll"), ("multiclass", "Single")):
         booster = GradientBoosting(asked, target_splitter=splitter)
         loss, metric = booster._parts()
-        rows.append((asked, loss.name, metric.name, len(booster._groups()(2, 42, 0))))
-    return spark.createDataFrame(rows, "asked string, loss string, metric string, groups int")
+        rows = labels if loss.multiclass else events.select(*((F.array("t").alias("y"), F.array("q").alias("p")) if loss.name == "bce" else (F.array("y").alias("y"), F.array("p").alias("p"))))
+        row = metric.frame(rows).select(F.lit(asked).alias("asked"), F.lit(loss.name).alias("loss"), F.lit(metric.name).alias("metric"), F.lit(len(booster._groups()(2, 42, 0))).alias("groups"), F.round("value", 7).alias("value"))
+        found = row if found is None else found.unionByName(row)
+    return found
 
 
 class _Told(callbacks.Callback):
     def __init__(self, name: str, into: list, last: int | None = None):
         self.name, self.into, self.last = name, into, last
 
-    def _say(self, what: str) -> None:
-        self.into.append((len(self.into), self.name, what))
+    def _say(self, what: str, state: dict) -> None:
+        off = F.get("pred", F.lit(0)) - F.get("y", F.lit(0))
+        self.into.append((len(self.into), self.name, what, state["train"].agg(F.sqrt(F.avg(off * off))).first()[0]))
 
     def before_train(self, state):
-        self._say("before train")
+        self._say("before train", state)
 
     def before_iteration(self, state):
-        self._say(f"before {state['num_iter']}")
+        self._say(f"before {state['num_iter']}", state)
 
     def after_iteration(self, state):
-        self._say(f"after {state['num_iter']}")
+        self._say(f"after {state['num_iter']}", state)
         return state["num_iter"] == self.last
 
     def after_train(self, state):
-        self._say("after train")
+        self._say("after train", state)
 
 
-_CALLS = ["a before train", "b before train", "a before 0", "b before 0", "a after 0", "b after 0", "a before 1", "b before 1", "a after 1", "a after train", "b after train"]
+#: Calls in their order, and the trees that the margins hold by then.
+_CALLS = [("a before train", 0), ("b before train", 0), ("a before 0", 0), ("b before 0", 0), ("a after 0", 1), ("b after 0", 1), ("a before 1", 1), ("b before 1", 1), ("a after 1", 2), ("a after train", 2), ("b after train", 2)]
 
 
-@query("callback_order", "SELECT * FROM (VALUES " + ", ".join(str((k, c[0], c[2:])) for k, c in enumerate(_CALLS)) + ") t(k, who, what)")
+@query("callback_order", _boost(2, 1, 0.3) + "SELECT k, who, what, round(s.error, 7) AS error FROM (VALUES " + ", ".join(str((k, c[0], c[2:], trees)) for k, (c, trees) in enumerate(_CALLS)) + ") t(k, who, what, trees) JOIN (" + " UNION ALL ".join(f"SELECT {k} AS trees, sqrt(avg((y - pred) * (y - pred))) AS error FROM t{k}" for k in range(3)) + ") s USING (trees)")
 def callback_order(spark, sf_dir):
-    """Two callbacks; the first stops training after its second iteration, so the second is not asked."""
+    """Two callbacks, and the error of the margins that each finds; the first stops training after its second
+    iteration, so the second is not asked."""
     calls: list = []
     _fit(spark, sf_dir, 5, 1, 0.3, callbacks=[_Told("a", calls, 1), _Told("b", calls)])
-    return spark.createDataFrame(calls, "k int, who string, what string")
+    return spark.createDataFrame(calls, "k int, who string, what string, error double").withColumn("error", F.round("error", 7))
 
 
-@query("log_lines", "SELECT * FROM (VALUES (0, 17, 'one'), (1, 17, 'two'), (2, 17, 'three')) t(k, level, line)")
+@query("log_lines", _boost(3, 1, 0.3) + "SELECT k, 20 AS level, 'Iter ' || k || '; set 0: ' || printf('%g', error) AS line FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, sqrt(avg((y - pred) * (y - pred))) AS error FROM t{k + 1}" for k in range(3)) + ")")
 def log_lines(spark, sf_dir):
-    """Text written to a logger's stream: whole lines, each once, at the level of verbosity 2."""
-    logger, lines = logging.getLogger("larkspur.lines"), []
+    """What training on orders logs, each line once."""
+    lines: list = []
     handler = logging.Handler()
     handler.emit = lambda record: lines.append((len(lines), record.levelno, record.getMessage()))
     handler.addFilter(callbacks.DuplicateFilter())
-    logger.handlers, logger.propagate = [handler], False
-    logger.setLevel(logging.DEBUG)
-    stream = callbacks.LoggerStream(logger, callbacks.verbosity_to_loglevel(2))
-    stream.write("one\none\ntw")
-    stream.write("o\nthree")
-    stream.flush()
+    rows, before = r_rows(spark, sf_dir), callbacks.log.level
+    callbacks.log.addHandler(handler)
+    callbacks.log.setLevel(callbacks.verbosity_to_loglevel(1))
+    try:
+        GradientBoosting("mse", ntrees=3, max_depth=1, lr=0.3, es=0, verbose=1).fit(rows, ["x0", "x1"], "y", "id", eval_sets=[rows])
+    finally:
+        callbacks.log.removeHandler(handler)
+        callbacks.log.setLevel(before)
     return spark.createDataFrame(lines, "k int, level int, line string")
 
 
@@ -1088,12 +1133,6 @@ def adaptive_predict(spark, sf_dir):
     return booster.predict(rows).select("id", F.round(F.get("prediction", F.lit(0)), 7).alias("prediction"))
 
 
-@query("sample_column_probs_inverse", "SELECT k, round(0.1 / 4 + 0.9 * (1 - (v + 1e-3) / 10.004) / 3, 9) AS p FROM (VALUES (0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)) t(k, v)")
-def sample_column_probs_inverse(spark, sf_dir):
-    p = sampling.ColumnImportanceSampler(smooth=0.1, inverse=True).shares(np.array([1.0, 2.0, 3.0, 4.0]))
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(p)], "k int, p double").withColumn("p", F.round("p", 9))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small regression on orders: the price from date parts, priority, status and the customer's balance."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey", "left")

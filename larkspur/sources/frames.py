@@ -42,10 +42,12 @@ def normal(seed: object, turn: object, key: Column) -> Column:
     return F.sqrt(-2 * F.ln(1 - uniform(seed, f"{turn}:radius", key))) * F.cos(2 * math.pi * uniform(seed, f"{turn}:angle", key))
 
 
-def make_regression(spark: SparkSession, rows: int, features: int, targets: int = 1, informative: int = 10, noise: float = 1.0, seed: int = 42) -> DataFrame:
-    """``row_id, x0.., y0..``: normal features, targets that are linear in the first ``informative`` of them."""
+def make_regression(spark: SparkSession, rows: int | DataFrame, features: int, targets: int = 1, informative: int = 10, noise: float = 1.0, seed: int = 42) -> DataFrame:
+    """``row_id, x0.., y0..``: normal features, targets that are linear in the first ``informative`` of them. ``rows``
+    is their number, or a frame with the ``row_id`` to make them for."""
     row_id = F.col("row_id")
-    df = spark.range(rows).withColumnRenamed("id", "row_id").select("row_id", *(normal(seed, f"x{k}", row_id).alias(f"x{k}") for k in range(features)))
+    keys = spark.range(rows).withColumnRenamed("id", "row_id") if isinstance(rows, int) else rows
+    df = keys.select("row_id", *(normal(seed, f"x{k}", row_id).alias(f"x{k}") for k in range(features)))
     made = []
     for t in range(targets):
         total = F.lit(noise) * normal(seed, f"y{t}", row_id)

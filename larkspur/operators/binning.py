@@ -2,8 +2,8 @@
 
 Borders of a feature ascend; a value's code is one more than the number of borders below it, and 0 if the value is
 missing (null or NaN). So code c means that the value lies above border c - 1 and at most at border c. Borders are
-found from counts of distinct values, which partial aggregation makes small before the shuffle; beyond ``sample``
-rows, exactly ``sample`` of them are used, those with the smallest hashes.
+found from counts of distinct values of all rows, which partial aggregation makes small before the shuffle. Only if a
+``sample`` is asked for (boosters do), exactly ``sample`` rows are used where there are more, those with the smallest hashes.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ def missing_to_null(x: Column) -> Column:
     return F.when(F.isnan(x), None).otherwise(x)
 
 
-def sampled(df: DataFrame, row_id: str, sample: int, seed: object = 42) -> DataFrame:
-    """Exactly ``sample`` rows, or all if there are no more; identifiers must be unique."""
-    return df.where(among_first(df, row_id, sample, seed, "bins"))
+def sampled(df: DataFrame, row_id: str, sample: int | None, seed: object = 42) -> DataFrame:
+    """Exactly ``sample`` rows, or all if it is None or there are no more; identifiers must be unique."""
+    return df if sample is None else df.where(among_first(df, row_id, sample, seed, "bins"))
 
 
 def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
 class Binner:
     """Base of the binners: ``fit`` finds borders, ``transform`` adds an array column of codes."""
 
-    def __init__(self, sample: int = 2_000_000, max_bin: int = 256, min_data_in_bin: int = 3, seed: int = 42):
+    def __init__(self, sample: int | None = None, max_bin: int = 256, min_data_in_bin: int = 3, seed: int = 42):
         if not 1 < max_bin <= 256 or min_data_in_bin <= 0:
             raise ValueError("max_bin must lie between 2 and 256, min_data_in_bin above 0")
         self.sample, self.most, self.seed = sample, max_bin - 1, seed

@@ -21,7 +21,7 @@ COUNTED = 4
 class SummaryBinner(QuantileBinner):
     """Borders at even ranks of all rows, each within ``1 / accuracy`` of its rank."""
 
-    def __init__(self, sample: int = 2_000_000, max_bin: int = 256, min_data_in_bin: int = 3, seed: int = 42, accuracy: int = 100_000):
+    def __init__(self, sample: int | None = None, max_bin: int = 256, min_data_in_bin: int = 3, seed: int = 42, accuracy: int = 100_000):
         super().__init__(sample, max_bin, min_data_in_bin, seed)
         if accuracy < 1:
             raise ValueError("accuracy must be positive")

@@ -1,11 +1,14 @@
 """What must not depend on the number of groups, outputs, parts, classes or trees: results against plain numpy, and jobs counted."""
 
+import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur import queries
 from larkspur.functions import losses, metrics
 from larkspur.operators import binning, multioutput, ordered
 from larkspur.plans import adaptive, booster
@@ -160,6 +163,27 @@ def test_borders_are_the_values_at_even_ranks(spark):
             assert found.tolist() == sorted({values[r] for r in binning.quantile_places(199, n)})
 
 
+@pytest.fixture(scope="module")
+def many_events(spark, tmp_path_factory):
+    """More rows than a booster's sample takes by default; the greatest value is in a row that the sample leaves out."""
+    folder, rows, i = tmp_path_factory.mktemp("many"), 2_100_000, F.col("event_id")
+    last = max((k for k in range(1000) if k % 7), key=lambda k: hashlib.md5(f"42:bins:{k}".encode()).hexdigest())
+    value = F.when(i == last, 2e6).otherwise((i * 7919 % 1_000_003).cast("double"))
+    spark.range(rows).toDF("event_id").select(i, value.alias("value"), F.lit("click").alias("event_type")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["bin_apply"])
+def test_codes_come_from_borders_of_all_rows(spark, many_events, tmp_path, name):
+    queries.QUERIES[name](spark, str(many_events)).write.parquet(f"{tmp_path}/ours")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{many_events}/events.parquet/*.parquet'")
+    con.execute(f"CREATE TABLE theirs AS {queries.ORACLE_SQL[name]}")
+    ours = f"SELECT id, code FROM '{tmp_path}/ours/*.parquet'"
+    assert con.execute(f"SELECT count(*) FROM ({ours})").fetchone()[0] == con.execute("SELECT count(*) FROM theirs").fetchone()[0] == 2_100_000
+    assert con.execute(f"SELECT count(*) FROM ({ours} EXCEPT ALL SELECT id, code FROM theirs)").fetchone()[0] == 0
+
+
 def test_metrics_of_many_outputs(spark):
     rng = np.random.default_rng(12)
     y, p, w = rng.integers(0, 2, size=(300, 4)).astype(float), rng.random((300, 4)).round(2), rng.integers(1, 4, 300).astype(float)

@@ -173,7 +173,7 @@ def many_events(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["bin_apply"])
+@pytest.mark.parametrize("name", ["bin_apply", "bin_missing"])
 def test_codes_come_from_borders_of_all_rows(spark, many_events, tmp_path, name):
     queries.QUERIES[name](spark, str(many_events)).write.parquet(f"{tmp_path}/ours")
     con = duckdb.connect()
